@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 TOKEN = r"^[A-Z0-9]{1,64}\z"
 
@@ -35,7 +35,7 @@ def is_symbol_identity(col: Column) -> Column:
     )
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def is_composed(values: pd.Series) -> pd.Series:
     """Unicode NFC test (Spark has no built-in); only needed for non-ASCII identities."""
     return values.map(lambda v: None if v is None else unicodedata.is_normalized("NFC", v))

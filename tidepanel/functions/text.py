@@ -12,7 +12,7 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from tidepanel import fixed_values as fv
 
@@ -225,7 +225,7 @@ def _plain_text(body: str | None) -> str | None:
     return "\n".join(line for line in lines if line)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def article_text(bodies: pd.Series) -> pd.Series:
     """Visible text of a JSON tree or HTML body, one line per text node.
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from tidepanel import fixed_values as fv
 from tidepanel.functions.identity import is_symbol_identity
 from tidepanel.functions.timefn import MICROS, age_days, micros
-from tidepanel.operators.contracts import ContractViolation, duplicate_keys
+from tidepanel.operators.contracts import ContractViolation
 from tidepanel.schemas import as_timestamp, intervals_column, require_columns
 
 CONTRACT_COLUMNS = [
@@ -18,8 +18,7 @@ CONTRACT_COLUMNS = [
 _OUTPUT = ["contract_age_days", "is_eligible", "is_eth", "is_benchmark"]
 
 
-def unverified_contracts(contracts: DataFrame) -> DataFrame:
-    """Contracts whose age anchor is not an exact, verified first trade; must be empty."""
+def _is_verified(contracts: DataFrame) -> Column:
     verified = (
         (F.col("eligibility_age_anchor_basis") == fv.ANCHOR_BASIS)
         & (F.col("first_observed_trade_evidence_status") == fv.TRADE_EVIDENCE_STATUS)
@@ -28,7 +27,12 @@ def unverified_contracts(contracts: DataFrame) -> DataFrame:
             == as_timestamp(contracts, "first_observed_trade_at")
         )
     )
-    return contracts.filter(~F.coalesce(verified, F.lit(False)))
+    return F.coalesce(verified, F.lit(False))
+
+
+def unverified_contracts(contracts: DataFrame) -> DataFrame:
+    """Contracts whose age anchor is not an exact, verified first trade; must be empty."""
+    return contracts.filter(~_is_verified(contracts))
 
 
 def exploded_intervals(contracts: DataFrame) -> DataFrame:
@@ -60,17 +64,39 @@ def overlapping_intervals(intervals: DataFrame) -> DataFrame:
     ).drop("__reach")
 
 
-def _require_sound(bars: DataFrame, contracts: DataFrame, time: str, nested: bool) -> None:
-    if not unverified_contracts(contracts).isEmpty():
+def contract_profile(contracts: DataFrame) -> Row:
+    """Soundness of a contract table in one small job."""
+    size = (
+        F.coalesce(F.size(intervals_column(contracts)), F.lit(0))
+        if "lifecycle_intervals" in contracts.columns
+        else F.lit(0)
+    )
+    per_symbol = contracts.groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(~_is_verified(contracts)).alias("unverified"),
+        F.max(size).alias("intervals"),
+    )
+    return per_symbol.agg(
+        F.count_if(F.col("n") > 1).alias("repeated_symbols"),
+        F.sum("unverified").alias("unverified"),
+        F.count_if(~is_symbol_identity(F.col("symbol").cast("string"))).alias("malformed"),
+        F.max(F.col("intervals") > 0).alias("has_intervals"),
+    ).first()
+
+
+def _require_sound(bars: DataFrame, contracts: DataFrame, time: str, profile: Row) -> None:
+    if profile["unverified"]:
         raise ContractViolation("contracts lack an exact verified first-trade age anchor")
-    if not duplicate_keys(contracts, ["symbol"]).isEmpty():
+    if profile["repeated_symbols"]:
         raise ContractViolation("contracts must have one row per symbol")
-    for side in (bars, contracts):
-        if not side.filter(~is_symbol_identity(F.col("symbol").cast("string"))).isEmpty():
-            raise ContractViolation("malformed symbol identity")
-    if nested:
+    symbols = bars.select(F.col("symbol").cast("string").alias("symbol")).distinct()
+    if profile["malformed"] or not symbols.filter(~is_symbol_identity(F.col("symbol"))).isEmpty():
+        raise ContractViolation("malformed symbol identity")
+    if profile["has_intervals"]:
         suspects = overlapping_intervals(exploded_intervals(contracts)).select("symbol").distinct()
-        # Only bars of symbols with overlapping intervals can match twice; usually there are none.
+        if suspects.isEmpty():
+            return
+        # Only bars of symbols with overlapping intervals can match twice.
         intervals = contracts.join(suspects, "symbol", "left_semi").select(
             "symbol", intervals_column(contracts).alias("__intervals")
         )
@@ -98,11 +124,12 @@ def apply_eligibility(
     contract carries intervals, every anchor comes from intervals.
     """
     require_columns(contracts, CONTRACT_COLUMNS, "contract metadata")
-    nested = "lifecycle_intervals" in contracts.columns and not contracts.filter(
-        F.size(intervals_column(contracts)) > 0
-    ).isEmpty()
-    if strict:
-        _require_sound(bars, contracts, time, nested)
+    nested = False
+    if strict or "lifecycle_intervals" in contracts.columns:
+        profile = contract_profile(contracts)
+        nested = bool(profile["has_intervals"])
+        if strict:
+            _require_sound(bars, contracts, time, profile)
     own = [c for c in contracts.columns if c != "symbol" and c not in bars.columns]
     casts = {
         c: as_timestamp(contracts, c)

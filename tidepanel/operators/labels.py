@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidepanel import fixed_values as fv
 from tidepanel.functions.timefn import Split, horizon_in_split, micros
@@ -122,20 +122,32 @@ def duplicate_benchmarks(df: DataFrame, benchmark: str = fv.BENCHMARK_SYMBOL) ->
 
 
 def add_benchmark_relative(
-    df: DataFrame, benchmark: str = fv.BENCHMARK_SYMBOL, horizons: Sequence[str] = tuple(HORIZONS)
+    df: DataFrame, benchmark: str = fv.BENCHMARK_SYMBOL, horizons: Sequence[str] = tuple(HORIZONS),
+    strategy: str = "auto",
 ) -> DataFrame:
     """Forward returns minus the benchmark's at the same timestamp.
 
-    One benchmark row per timestamp: the aggregate keeps the join many-to-one, and Spark broadcasts
-    it only while it is below the broadcast threshold.
+    ``direct`` takes the benchmark's value inside the timestamp's own window: no join, and no
+    shuffle where the input is already partitioned by timestamp. ``split`` joins the benchmark rows
+    (one per timestamp), which AQE can broadcast or skew-split.
     """
-    rows = (
-        df.filter(F.col("symbol") == benchmark)
-        .groupBy("open_time")
-        .agg(*[F.max(f"fwd_return_{h}").alias(f"btc_fwd_return_{h}") for h in horizons])
-    )
-    joined = df.join(rows, "open_time", "left")
-    return joined.withColumns(
+    if strategy == "auto":
+        strategy = choose_strategy(df, ["open_time"])
+    is_benchmark = F.col("symbol") == benchmark
+    if strategy == "direct":
+        together = Window.partitionBy("open_time")
+        with_benchmark = df.withColumns(
+            {
+                f"btc_fwd_return_{h}": F.max(F.when(is_benchmark, F.col(f"fwd_return_{h}"))).over(together)
+                for h in horizons
+            }
+        )
+    else:
+        rows = df.filter(is_benchmark).groupBy("open_time").agg(
+            *[F.max(f"fwd_return_{h}").alias(f"btc_fwd_return_{h}") for h in horizons]
+        )
+        with_benchmark = df.join(rows, "open_time", "left")
+    return with_benchmark.withColumns(
         {
             f"btc_relative_return_{h}": F.col(f"fwd_return_{h}") - F.col(f"btc_fwd_return_{h}")
             for h in horizons
@@ -150,9 +162,14 @@ def add_median_excess(
     if strategy == "auto":
         strategy = choose_strategy(df, ["open_time"])
     names = [f"fwd_return_{h}" for h in horizons]
-    medians = group_medians(df.filter(rankable()), "open_time", names, strategy)
-    renamed = medians.select("open_time", *[F.col(n).alias(f"__median_{n}") for n in names])
-    joined = df.join(renamed, "open_time", "left")
+    if strategy == "direct":
+        together = Window.partitionBy("open_time")
+        medians = {n: F.median(F.when(rankable(), F.col(n))).over(together) for n in names}
+        joined = df.withColumns({f"__median_{n}": m for n, m in medians.items()})
+    else:
+        medians = group_medians(df.filter(rankable()), "open_time", names)
+        renamed = medians.select("open_time", *[F.col(n).alias(f"__median_{n}") for n in names])
+        joined = df.join(renamed, "open_time", "left")
     return joined.withColumns(
         {
             f"cross_sectional_excess_return_{h}": F.col(f"fwd_return_{h}")
@@ -174,5 +191,7 @@ def add_outcome_labels(
         if not duplicate_benchmarks(observations, benchmark).isEmpty():
             raise ValueError("the benchmark must have one row per timestamp")
     labelled = add_symbol_labels(observations, splits, grid, horizons, path_horizons)
-    relative = add_benchmark_relative(labelled, benchmark, tuple(horizons))
+    if strategy == "auto":
+        strategy = choose_strategy(observations, ["open_time"])
+    relative = add_benchmark_relative(labelled, benchmark, tuple(horizons), strategy)
     return add_median_excess(relative, tuple(horizons), strategy)

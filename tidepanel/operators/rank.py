@@ -31,10 +31,13 @@ def rankable() -> Column:
     return F.coalesce(F.col("is_eligible") & ~F.col("is_benchmark"), F.lit(False))
 
 
+def strategy_for(largest_group: int | None, limit: int = MAX_WINDOW_ROWS) -> str:
+    return "direct" if (largest_group or 0) <= limit else "split"
+
+
 def choose_strategy(probe: DataFrame, group: Sequence[str], limit: int = MAX_WINDOW_ROWS) -> str:
     """``direct`` if no group is larger than the limit, else ``split`` (one narrow aggregate job)."""
-    largest = probe.groupBy(*group).count().agg(F.max("count")).first()[0]
-    return "direct" if (largest or 0) <= limit else "split"
+    return strategy_for(probe.groupBy(*group).count().agg(F.max("count")).first()[0], limit)
 
 
 def _bucket(value: Column) -> Column:
@@ -83,37 +86,42 @@ def add_percentiles(
     """Average-tie percentile rank of each source among masked, non-null rows of the group.
 
     A row's percentile is (rows below + (ties + 1) / 2) / size; rows outside the mask get NULL and
-    do not count. In the direct form each source needs one sort: rank, ties and size share a
-    window specification, and all specifications share one shuffle by the group.
+    do not count.
     """
     mask = rankable() if mask is None else mask
     if strategy == "auto":
         strategy = choose_strategy(df if probe is None else probe, [group])
+    return (_direct if strategy == "direct" else _split)(df, sources, mask, group)
+
+
+def _direct(df: DataFrame, sources: Mapping[str, str], mask: Column, group: str) -> DataFrame:
+    """One window specification, hence one sort, per source; one shuffle for all of them."""
     for source, target in sources.items():
-        value = F.when(mask, F.col(source))
-        if strategy == "direct":
-            # The masked value is its own sort key: NULLs go last and are never counted.
-            keyed = df.withColumn("__value", value)
-            order = Window.partitionBy(group).orderBy(F.col("__value").asc_nulls_last())
-            everyone = order.rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-            ties = F.count("__value").over(order.rangeBetween(0, 0))
-            pct = (F.rank().over(order) + (ties - 1) / 2) / F.count("__value").over(everyone)
-            df = keyed.withColumn(
-                target, F.when(F.col("__value").isNotNull(), pct)
-            ).drop("__value")
-        else:
-            keyed = df.withColumn("__value", value)
-            placed = ordered_counts(
-                keyed.select(group, "__value"), [group], "__value"
-            ).select(
-                group,
-                "__value",
-                ((F.col("below") + (F.col("ties") + 1) / 2) / F.col("size")).alias(target),
-            )
-            df = keyed.join(placed, [group, "__value"], "left").drop("__value")
+        # The masked value is its own sort key: NULLs go last and are never counted.
+        keyed = df.withColumn("__value", F.when(mask, F.col(source)))
+        order = Window.partitionBy(group).orderBy(F.col("__value").asc_nulls_last())
+        everyone = order.rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        ties = F.count("__value").over(order.rangeBetween(0, 0))
+        pct = (F.rank().over(order) + (ties - 1) / 2) / F.count("__value").over(everyone)
+        df = keyed.withColumn(target, F.when(F.col("__value").isNotNull(), pct)).drop("__value")
     return df
 
 
+def _split(df: DataFrame, sources: Mapping[str, str], mask: Column, group: str) -> DataFrame:
+    """Rank the distinct values of each source, then join the percentiles back.
+
+    Every rank is computed from the input, not from the table already joined so far.
+    """
+    result = df.withColumns({f"__v_{s}": F.when(mask, F.col(s)) for s in sources})
+    for source, target in sources.items():
+        value = f"__v_{source}"
+        values = df.select(group, F.when(mask, F.col(source)).alias(value))
+        pct = (F.col("below") + (F.col("ties") + 1) / 2) / F.col("size")
+        placed = ordered_counts(values, [group], value).select(group, value, pct.alias(target))
+        result = result.join(placed, [group, value], "left").drop(value)
+    return result
+
+
 def score_columns() -> dict[str, Column]:
     """Mean of the five component percentiles, present only when all five are."""
     total = None
@@ -144,10 +152,8 @@ def top_decile(df: DataFrame) -> DataFrame:
     return df.filter(F.col("is_hot"))
 
 
-def group_medians(df: DataFrame, group: str, values: Sequence[str], strategy: str) -> DataFrame:
-    """Exact median of every value column per group."""
-    if strategy == "direct":
-        return df.groupBy(group).agg(*[F.median(v).alias(v) for v in values])
+def group_medians(df: DataFrame, group: str, values: Sequence[str]) -> DataFrame:
+    """Exact median of every value column per group, without holding a group in one task."""
     result = df.select(group).distinct()
     for value in values:
         placed = ordered_counts(df.select(group, value), [group], value)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -32,9 +32,14 @@ def guard_splits(
 
     Only distinct split names reach the driver, at most one per defined split plus NULL.
     """
+    seen = with_split(df, splits, time).select("split").distinct().collect()
+    require_splits({row[0] for row in seen}, allowed)
+
+
+def require_splits(seen: Collection[str | None], allowed: Sequence[str] | None = None) -> None:
+    """Fail when a split name is missing (a row outside all splits) or not allowed."""
     permitted = set(allowed or fv.DEFAULT_ALLOWED_SPLITS)
-    seen = {r[0] for r in with_split(df, splits, time).select("split").distinct().collect()}
     if None in seen:
         raise SplitAccessError("rows lie outside the registered splits")
-    if seen - permitted:
-        raise SplitAccessError(f"split access denied for {sorted(seen - permitted)}")
+    if set(seen) - permitted:
+        raise SplitAccessError(f"split access denied for {sorted(set(seen) - permitted)}")

@@ -24,15 +24,14 @@ from tidepanel.operators.labels import (
     PATH_HORIZONS,
     add_benchmark_relative,
     add_median_excess,
-    duplicate_benchmarks,
     label_columns,
     labels_from_futures,
     with_futures,
 )
-from tidepanel.operators.rank import add_cross_sectional_ranks, choose_strategy
+from tidepanel.operators.rank import add_cross_sectional_ranks, strategy_for
 from tidepanel.operators.scope import filter_scope, semi_scope
 from tidepanel.operators.series import Grid
-from tidepanel.operators.splits import guard_splits
+from tidepanel.operators.splits import require_splits
 
 
 @dataclass(frozen=True)
@@ -47,7 +46,6 @@ class SliceSpec:
     stablecoins: Sequence[str] = tuple(fv.STABLECOIN_UNDERLYINGS)
     minimum_age_days: int = 30
     benchmark: str = fv.BENCHMARK_SYMBOL
-    strategy: str = "auto"
 
 
 def features_and_labels(eligible: DataFrame, spec: SliceSpec) -> DataFrame:
@@ -71,24 +69,77 @@ def features_and_labels(eligible: DataFrame, spec: SliceSpec) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class PanelProfile:
+    """What one narrow pass over a panel tells: sizes that choose strategies, and guard findings."""
+
+    row_count: int
+    largest_cross_section: int
+    largest_series: int
+    benchmark_repeats: int
+    split_names: frozenset[str | None]
+
+    @property
+    def cross_strategy(self) -> str:
+        return strategy_for(self.largest_cross_section)
+
+    @property
+    def series_strategy(self) -> str:
+        return strategy_for(self.largest_series)
+
+
+def profile_panel(bars: DataFrame, spec: SliceSpec) -> PanelProfile:
+    """One job, two map-side combined aggregates over (symbol, open_time) alone."""
+    keys = bars.select("symbol", "open_time")
+    per_time = (
+        keys.groupBy("open_time")
+        .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("symbol") == spec.benchmark).alias("b"))
+        .agg(
+            F.sum("n").alias("rows"),
+            F.max("n").alias("largest"),
+            F.count_if(F.col("b") > 1).alias("repeats"),
+            # At most one name per defined split, plus the mark for rows outside all of them.
+            F.collect_set(
+                F.coalesce(classify_split(F.col("open_time"), spec.splits), F.lit(""))
+            ).alias("names"),
+        )
+    )
+    per_symbol = keys.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).agg(
+        F.sum("n").alias("rows"), F.max("n").alias("largest"),
+        F.lit(0).cast("bigint").alias("repeats"), F.array().cast("array<string>").alias("names"),
+    )
+    marked = per_time.withColumn("by", F.lit("time")).unionByName(
+        per_symbol.withColumn("by", F.lit("symbol"))
+    )
+    found = {row["by"]: row for row in marked.collect()}
+    times, symbols = found["time"], found["symbol"]
+    return PanelProfile(
+        times["rows"] or 0, times["largest"] or 0, symbols["largest"] or 0, times["repeats"],
+        frozenset(name or None for name in times["names"]),
+    )
+
+
 def observations_from_eligible(
-    eligible: DataFrame, spec: SliceSpec = SliceSpec(), probe: DataFrame | None = None
+    eligible: DataFrame, spec: SliceSpec = SliceSpec(), profile: PanelProfile | None = None
 ) -> DataFrame:
-    """Ranks, episodes and relative labels on top of an eligibility stage.
+    """Ranks, relative labels and episodes on top of an eligibility stage.
 
-    Three shuffles after the input: by (symbol, chunk), by timestamp and by (symbol, chunk) again
-    for episode numbers. Rows outside every split are dropped last, after episodes were numbered.
+    Three shuffles of wide rows: by (symbol, chunk) for features and labels, by timestamp for
+    ranks, benchmark and medians, by series for episode numbers. Rows outside every split are
+    dropped last, after episodes were numbered; they carry no labels and whole timestamps fall
+    away, so nothing else depends on when they go. For cross-sections or series beyond the checked
+    size the split forms take over.
     """
-    strategy = spec.strategy
-    if strategy == "auto":
-        strategy = choose_strategy(eligible if probe is None else probe, ["open_time"])
-    panel = features_and_labels(eligible, spec)
-    ranked = add_cross_sectional_ranks(panel, strategy)
-    in_splits = classify_split(F.col("open_time"), spec.splits).isNotNull()
-    registered = add_episodes(ranked, spec.grid).filter(in_splits)
+    profile = profile or profile_panel(eligible, spec)
     horizons = tuple(spec.horizons)
-    relative = add_benchmark_relative(registered, spec.benchmark, horizons)
-    return add_median_excess(relative, horizons, strategy)
+    cross = profile.cross_strategy
+    panel = features_and_labels(eligible, spec)
+    relative = add_median_excess(
+        add_benchmark_relative(panel, spec.benchmark, horizons, cross), horizons, cross
+    )
+    ranked = add_cross_sectional_ranks(relative, cross)
+    episodic = add_episodes(ranked, spec.grid, strategy=profile.series_strategy)
+    return episodic.filter(classify_split(F.col("open_time"), spec.splits).isNotNull())
 
 
 def build_slice(
@@ -96,25 +147,24 @@ def build_slice(
     contracts: DataFrame,
     spec: SliceSpec = SliceSpec(),
     allowed: Sequence[str] | None = None,
-    strict: bool = True,
 ) -> DataFrame:
     """From completed bars and contract rows to labelled observations.
 
-    ``strict`` runs the fail-closed checks (scope not empty, contracts sound, splits allowed, one
-    benchmark row per timestamp) as small jobs before the plan is returned.
+    Fail-closed checks (scope not empty, splits allowed, one benchmark row per timestamp, sound
+    contracts) run first: one narrow job over the bars and one over the contracts.
     """
     scoped_contracts = filter_scope(contracts, spec.stablecoins)
     scoped = semi_scope(bars, scoped_contracts)
-    if strict:
-        if scoped.isEmpty():
-            raise ValueError("no bars remain after instrument scope classification")
-        guard_splits(scoped, spec.splits, allowed)
-        if not duplicate_benchmarks(scoped, spec.benchmark).isEmpty():
-            raise ValueError("the benchmark must have one row per timestamp")
+    profile = profile_panel(scoped, spec)
+    if not profile.row_count:
+        raise ValueError("no bars remain after instrument scope classification")
+    require_splits(profile.split_names, allowed)
+    if profile.benchmark_repeats:
+        raise ValueError("the benchmark must have one row per timestamp")
     eligible = apply_eligibility(
-        scoped, scoped_contracts, spec.minimum_age_days, benchmark=spec.benchmark, strict=strict
+        scoped, scoped_contracts, spec.minimum_age_days, benchmark=spec.benchmark
     )
-    return observations_from_eligible(eligible, spec, probe=scoped)
+    return observations_from_eligible(eligible, spec, profile)
 
 
 def analysis_window(observations: DataFrame, start: str, end: str) -> DataFrame:

@@ -1 +1,6 @@
 """Registered queries over the supplied tables, each with its DuckDB counterpart."""
+
+from tidepanel.workload import core, slices  # noqa: F401
+from tidepanel.workload.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
