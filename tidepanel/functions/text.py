@@ -16,32 +16,51 @@ from pyspark.sql import Column, functions as F, types as T
 
 from tidepanel import fixed_values as fv
 
-_PLACED = "array<struct<pos:int,value:string>>"
-_TIMED = "array<struct<pos:int,value:timestamp>>"
-
-
-def match_offsets(text: Column, pattern: str) -> Column:
-    """Start offset of every match: lengths of the pieces between matches plus earlier matches."""
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    spans = F.transform(whole, F.length)
-    count = F.size(whole)
-    return F.transform(
-        F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1),
-        lambda i: F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0), lambda a, b: a + b)
-        + F.aggregate(F.slice(spans, 1, i), F.lit(0), lambda a, b: a + b),
+_ELEMENT = "struct<pos:int,value:string>"
+
+
+def _placed(text: Column, pattern: str, groups: dict[str, int], build, element: str) -> Column:
+    """Array of one struct per match, built from its offset and its capture groups.
+
+    The text is split and matched once per needed group; a single fold then walks gaps and matches
+    together. The offset of a match is the length of everything before it.
+    """
+
+    def all_of(group: int) -> Column:
+        return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+
+    parts = F.arrays_zip(
+        F.split(text, pattern, -1).alias("gap"),
+        all_of(0).alias("whole"),
+        *[all_of(g).alias(name) for name, g in groups.items()],
     )
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{element}>").alias("found"))
+
+    def step(state: Column, part: Column) -> Column:
+        at = state["at"] + F.length(part["gap"])
+        grown = F.struct(
+            (at + F.length(part["whole"])).alias("at"),
+            F.array_append(state["found"], build(at, part)).alias("found"),
+        )
+        # The piece after the last match has no match of its own.
+        return F.when(part["whole"].isNull(), state).otherwise(grown)
+
+    return F.aggregate(parts, start, step, lambda state: state["found"])
 
 
-def placed_matches(text: Column, pattern: str, group: int = 1) -> Column:
-    """array<struct<pos, value>> of one capture group; NULL text gives an empty array."""
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    pairs = F.zip_with(
-        match_offsets(text, pattern),
-        values,
-        lambda pos, value: F.struct(pos.cast("int").alias("pos"), value.alias("value")),
+def placed_matches(text: Column, pattern: str, group: int = 1, present: Column | None = None) -> Column:
+    """array<struct<pos, value>> of one capture group, in order.
+
+    ``present`` is a cheap test without which no match is possible; most texts stop there.
+    """
+    found = _placed(
+        text, pattern, {"value": group},
+        lambda at, part: F.struct(at.alias("pos"), part["value"].alias("value")),
+        _ELEMENT,
     )
-    return F.when(F.size(values) > 0, pairs).otherwise(F.array().cast(_PLACED))
+    if present is None:
+        return found
+    return F.when(present, found).otherwise(F.array().cast(f"array<{_ELEMENT}>"))
 
 
 def symbol_mentions(text: Column) -> Column:
@@ -57,9 +76,12 @@ def symbol_mentions(text: Column) -> Column:
             ),
         )
 
+    quoted = text.contains(fv.QUOTE_ASSET)
+    any_quote = quoted | text.contains("BUSD") | text.contains("USDC")
+    margined = F.lower(text).contains("usdt-margined")
     shared = F.flatten(
         F.transform(
-            placed_matches(text, fv.SHARED_SYMBOLS),
+            placed_matches(text, fv.SHARED_SYMBOLS, present=margined),
             lambda outer: F.transform(
                 placed_matches(outer["value"], fv.SHARED_BASE),
                 lambda inner: F.struct(
@@ -70,9 +92,9 @@ def symbol_mentions(text: Column) -> Column:
         )
     )
     return F.concat(
-        placed_matches(text, fv.DIRECT_SYMBOL),
-        suffixed(placed_matches(text, fv.SLASH_SYMBOL)),
-        suffixed(placed_matches(text, fv.MARGINED_SYMBOL), upper=True),
+        placed_matches(text, fv.DIRECT_SYMBOL, present=any_quote),
+        suffixed(placed_matches(text, fv.SLASH_SYMBOL, present=quoted & text.contains("/"))),
+        suffixed(placed_matches(text, fv.MARGINED_SYMBOL, present=margined), upper=True),
         shared,
     )
 
@@ -98,25 +120,24 @@ def _instant(date: Column, clock: Column, ampm: Column) -> Column:
     )
 
 
-def placed_instants(text: Column, pattern: str, date: int, clock: int, ampm: int) -> Column:
-    """array<struct<pos, value timestamp>> for a pattern with date, clock and AM/PM groups."""
+def placed_instants(
+    text: Column, pattern: str, date: int, clock: int, ampm: int, symbol: int | None = None
+) -> Column:
+    """array<struct<pos, value, name>>: instants of a pattern with date, clock and AM/PM groups.
 
-    def group(i: int) -> Column:
-        return F.regexp_extract_all(text, F.lit(pattern), F.lit(i))
-
-    found = F.arrays_zip(
-        match_offsets(text, pattern).alias("pos"),
-        group(date).alias("d"),
-        group(clock).alias("c"),
-        group(ampm).alias("m"),
-    )
-    stamped = F.transform(
-        found,
-        lambda x: F.struct(
-            x["pos"].cast("int").alias("pos"), _instant(x["d"], x["c"], x["m"]).alias("value")
+    ``symbol`` names a further group returned as ``name``. Impossible dates give a NULL value.
+    """
+    groups = {"d": date, "c": clock, "m": ampm, "n": symbol or 0}
+    element = "struct<pos:int,value:timestamp,name:string>"
+    found = _placed(
+        text, pattern, groups,
+        lambda at, p: F.struct(
+            at.alias("pos"), _instant(p["d"], p["c"], p["m"]).alias("value"), p["n"].alias("name")
         ),
+        element,
     )
-    return F.when(F.size(group(date)) > 0, stamped).otherwise(F.array().cast(_TIMED))
+    present = F.upper(text).contains("(UTC)")
+    return F.when(present, found).otherwise(F.array().cast(f"array<{element}>"))
 
 
 def instants_in_order(text: Column) -> Column:

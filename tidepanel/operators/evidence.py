@@ -112,14 +112,11 @@ def anchored_times(
     one_line = tx.squeezed(F.col("__text"))
 
     def table_rows(pattern: str, date: int, clock: int, ampm: int, symbol: int, rank: int) -> Column:
-        stamped = tx.placed_instants(one_line, pattern, date, clock, ampm)
-        named = F.regexp_extract_all(one_line, F.lit(pattern), F.lit(symbol))
-        return F.zip_with(
-            stamped,
-            named,
-            lambda t, s: F.struct(
+        return F.transform(
+            tx.placed_instants(one_line, pattern, date, clock, ampm, symbol),
+            lambda t: F.struct(
                 F.lit(rank).alias("rank"), t["pos"].alias("pos"), t["value"].alias("at"),
-                F.upper(s).alias("symbol"),
+                F.upper(t["name"]).alias("symbol"),
             ),
         )
 

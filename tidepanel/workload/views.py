@@ -355,6 +355,15 @@ _ARTICLES = """
         DATE '2024-01-01' + CAST(doc_id % 300 AS INTEGER) AS day, text
     FROM documents"""
 
+_SUPPLIERS = """
+    SELECT s_suppkey AS k, 'S' || CAST(s_suppkey AS VARCHAR) AS base,
+        CASE WHEN s_suppkey % 11 = 4 THEN 'BUSD' ELSE 'USDT' END AS suffix,
+        s_suppkey % 5 = 1 AS stable_tag, s_suppkey % 5 = 2 AS lever_tag,
+        s_suppkey % 5 <> 3 AND s_suppkey % 7 <> 6 AND s_suppkey % 11 <> 4 AS ok,
+        CASE WHEN s_acctbal > 0 THEN s_acctbal > 8000 END AS stable_review,
+        CASE WHEN s_nationkey > 3 AND s_suppkey % 11 <> 4 THEN s_nationkey > 20 END AS lever_review
+    FROM supplier"""
+
 # name -> (views it needs, query)
 SQL_VIEWS: dict[str, tuple[str, str]] = {
     "bars_1h": ("", _bars_sql(3600, 1)),
@@ -382,4 +391,5 @@ SQL_VIEWS: dict[str, tuple[str, str]] = {
     "contracts2": ("spans2", _CONTRACTS.format(spans="spans2")),
     "intervals": ("spans", _INTERVALS),
     "articles": ("", _ARTICLES),
+    "instruments": ("", _SUPPLIERS),
 }
