@@ -52,6 +52,8 @@ def anchored_times(
 ) -> DataFrame:
     """Event time per (article, symbol), only where the text ties it to an action.
 
+    Symbols that no action row names are absent; several distinct times give NULL.
+
     ``articles`` has (article_key, body_text, article_class). A time counts in a sentence holding
     the action, the symbol and exactly one time, or in a bare symbol/time row below an action
     header. A header stays in force over bare rows and ends with anything else, so it is the last
@@ -136,13 +138,8 @@ def anchored_times(
         .groupBy("article_key", F.col("r.symbol").alias("symbol"))
         .agg(F.max_by("r.at", F.col("r.rank").cast("bigint") * F.lit(1 << 32) + F.col("r.pos")).alias("table_at"))
     )
-    return (
-        symbols.select("article_key", "symbol")
-        .join(anchored, ["article_key", "symbol"], "left")
-        .join(tables, ["article_key", "symbol"], "left")
-        .select(
-            "article_key", "symbol", F.coalesce("table_at", "anchored_at").alias("official_event_at")
-        )
+    return anchored.join(tables, ["article_key", "symbol"], "full_outer").select(
+        "article_key", "symbol", F.coalesce("table_at", "anchored_at").alias("official_event_at")
     )
 
 

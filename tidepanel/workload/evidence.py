@@ -169,7 +169,7 @@ def _(v: Views):
 
 @query(
     "event_time_anchor", "article_code symbol t:official_event_at",
-    "SELECT article_code, symbol, happened AS official_event_at FROM planted WHERE k IN (0, 1, 4, 5)", "planted",
+    "SELECT article_code, symbol, happened AS official_event_at FROM planted WHERE k IN (0, 1, 4)", "planted",
 )
 def _(v: Views):
     keyed = v.articles.withColumns(
