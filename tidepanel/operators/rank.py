@@ -11,6 +11,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidepanel.session import materialize
+
 SCORE_SOURCES = {
     "return_1d": "rs_1d_pct",
     "return_3d": "rs_3d_pct",
@@ -143,6 +145,9 @@ def add_cross_sectional_ranks(
     if strategy == "auto":
         strategy = choose_strategy(df if probe is None else probe, ["open_time"])
     ranked = add_percentiles(df, RANK_SOURCES, strategy=strategy).withColumns(score_columns())
+    if strategy == "split":
+        # The score is ranked in turn: without a cut every branch would repeat the joins above.
+        ranked = materialize(ranked, "ranked")
     scored = add_percentiles(ranked, {"hot_score": "hot_score_pct"}, strategy=strategy)
     flagged = scored.withColumn("hot_decile", decile(F.col("hot_score_pct")))
     return flagged.withColumn("is_hot", F.coalesce(F.col("hot_decile") == 10, F.lit(False)))

@@ -32,6 +32,7 @@ from tidepanel.operators.rank import add_cross_sectional_ranks, strategy_for
 from tidepanel.operators.scope import filter_scope, semi_scope
 from tidepanel.operators.series import Grid
 from tidepanel.operators.splits import require_splits
+from tidepanel.session import materialize
 
 
 @dataclass(frozen=True)
@@ -128,16 +129,22 @@ def observations_from_eligible(
     ranks, benchmark and medians, by series for episode numbers. Rows outside every split are
     dropped last, after episodes were numbered; they carry no labels and whole timestamps fall
     away, so nothing else depends on when they go. For cross-sections or series beyond the checked
-    size the split forms take over.
+    size the split forms take over; they read their input more than once, so it is stored first.
     """
     profile = profile or profile_panel(eligible, spec)
     horizons = tuple(spec.horizons)
     cross = profile.cross_strategy
     panel = features_and_labels(eligible, spec)
+    if cross == "split":
+        panel = materialize(panel, "panel")
     relative = add_median_excess(
         add_benchmark_relative(panel, spec.benchmark, horizons, cross), horizons, cross
     )
+    if cross == "split":
+        relative = materialize(relative, "relative")
     ranked = add_cross_sectional_ranks(relative, cross)
+    if profile.series_strategy == "split":
+        ranked = materialize(ranked, "scored")
     episodic = add_episodes(ranked, spec.grid, strategy=profile.series_strategy)
     return episodic.filter(classify_split(F.col("open_time"), spec.splits).isNotNull())
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings every plan in this package relies on. They are plain Spark SQL settings and
 # can also be given to spark-submit; AQE picks partition counts, join sides and skew splits.
@@ -63,3 +63,14 @@ def shared_folder(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder; nothing is ever overwritten or cleared."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Store a table in the shared folder and read it back.
+
+    Cuts the lineage where several later branches would each recompute it. The files outlive lost
+    executors, so nothing upstream is ever repeated.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.parquet(path)
