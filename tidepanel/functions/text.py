@@ -63,6 +63,19 @@ def placed_matches(text: Column, pattern: str, group: int = 1, present: Column |
     return F.when(present, found).otherwise(F.array().cast(f"array<{_ELEMENT}>"))
 
 
+def may_name_symbols(text: Column) -> Column:
+    """Cheap necessary condition: every notation names a quote asset."""
+    return (
+        text.contains(fv.QUOTE_ASSET) | text.contains("BUSD") | text.contains("USDC")
+        | F.lower(text).contains("usdt-margined")
+    )
+
+
+def may_hold_instants(text: Column) -> Column:
+    """Cheap necessary condition: every notation ends its clock with the zone in brackets."""
+    return F.upper(text).contains("(UTC)")
+
+
 def symbol_mentions(text: Column) -> Column:
     """All symbol candidates of the four notations with their positions (not yet distinct)."""
     quote = F.lit(fv.QUOTE_ASSET)
@@ -136,8 +149,7 @@ def placed_instants(
         ),
         element,
     )
-    present = F.upper(text).contains("(UTC)")
-    return F.when(present, found).otherwise(F.array().cast(f"array<{element}>"))
+    return F.when(may_hold_instants(text), found).otherwise(F.array().cast(f"array<{element}>"))
 
 
 def instants_in_order(text: Column) -> Column:

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidepanel import fixed_values as fv
 from tidepanel.functions import text as tx
 
 
-def article_symbols(articles: DataFrame, known: DataFrame) -> DataFrame:
-    """One row per (article, known symbol) with its rank of appearance; title symbols win.
+def symbols_per_article(articles: DataFrame, known: DataFrame) -> DataFrame:
+    """Known symbols of every article as an ordered array; title symbols win over body symbols.
 
-    ``articles`` has (article_key, title, body_text), ``known`` has (symbol). Candidates are
-    exploded and joined, so the known set is never carried into a task as a whole.
+    ``articles`` has (article_key, title, body_text), ``known`` has (symbol). Mentions are exploded
+    and joined, so the known set is never carried into a task as a whole; what is folded again is
+    at most the distinct symbols of one text.
     """
 
     def mentions(column: str, source: int) -> Column:
@@ -25,20 +26,29 @@ def article_symbols(articles: DataFrame, known: DataFrame) -> DataFrame:
 
     found = articles.select(
         "article_key",
-        F.explode(F.concat(mentions("title", 0), mentions("body_text", 1))).alias("m"),
-    ).select("article_key", "m.source", "m.pos", "m.symbol")
+        # The outer form: Spark would guard a plain explode by evaluating the array once more.
+        F.explode_outer(F.concat(mentions("title", 0), mentions("body_text", 1))).alias("m"),
+    ).select("article_key", "m.source", "m.pos", "m.symbol").filter("symbol IS NOT NULL")
     # Repeats of a symbol in one article collapse on the map side before the join.
     first = found.groupBy("article_key", "symbol").agg(
-        F.min(F.when(F.col("source") == 0, F.col("pos"))).alias("__title"),
-        F.min(F.when(F.col("source") == 1, F.col("pos"))).alias("__body"),
+        F.min(F.when(F.col("source") == 0, F.col("pos"))).alias("titled"),
+        F.min(F.when(F.col("source") == 1, F.col("pos"))).alias("in_body"),
     ).join(known.select("symbol").distinct(), "symbol", "left_semi")
-    titled = first.groupBy("article_key").agg(
-        F.max(F.col("__title").isNotNull()).alias("__has_title")
+    folded = first.groupBy("article_key").agg(
+        F.collect_list(F.when(F.col("titled").isNotNull(), F.struct("titled", "symbol"))).alias("t"),
+        F.collect_list(F.when(F.col("in_body").isNotNull(), F.struct("in_body", "symbol"))).alias("b"),
     )
-    kept = first.join(titled, "article_key").withColumn(
-        "position", F.when(F.col("__has_title"), F.col("__title")).otherwise(F.col("__body"))
+    ordered = F.when(
+        F.size("t") > 0, F.transform(F.array_sort("t"), lambda x: x["symbol"])
+    ).otherwise(F.transform(F.array_sort("b"), lambda x: x["symbol"]))
+    return folded.select("article_key", ordered.alias("symbols"))
+
+
+def article_symbols(articles: DataFrame, known: DataFrame) -> DataFrame:
+    """One row per (article, known symbol) with its rank of appearance."""
+    return symbols_per_article(articles, known).select(
+        "article_key", F.posexplode("symbols").alias("position", "symbol")
     )
-    return kept.filter(F.col("position").isNotNull()).select("article_key", "symbol", "position")
 
 
 def _without(segment: Column, symbols: Column) -> Column:
@@ -47,100 +57,121 @@ def _without(segment: Column, symbols: Column) -> Column:
     return F.regexp_replace(bare, fv.ROW_FILLER, "")
 
 
-def anchored_times(
-    articles: DataFrame, symbols: DataFrame, body_chars: int | None = fv.ANCHOR_BODY_CHARS
-) -> DataFrame:
-    """Event time per (article, symbol), only where the text ties it to an action.
+def _acts(segment: Column, launch: Column) -> Column:
+    """Does the segment state the action? Word stems are tested before the full pattern."""
+
+    def stated(stems: list[str], pattern: str) -> Column:
+        return F.lower(segment).rlike("|".join(stems)) & segment.rlike(pattern)
+
+    return F.when(
+        launch, stated(["launch", "list", "introduce", "begin", "trading"], fv.LAUNCH_ACTION)
+    ).otherwise(stated(["delist", "cease", "settle", "close", "terminate"], fv.DELIST_ACTION))
 
-    Symbols that no action row names are absent; several distinct times give NULL.
 
-    ``articles`` has (article_key, body_text, article_class). A time counts in a sentence holding
-    the action, the symbol and exactly one time, or in a bare symbol/time row below an action
-    header. A header stays in force over bare rows and ends with anything else, so it is the last
-    segment that is not itself a bare row: a window over the segments of one article, with no
-    running Python state. One distinct time per symbol is kept, several leave it unresolved.
+def _anchored_hits(text: Column, one_line: Column, launch: Column, symbols: Column) -> Column:
+    """array<struct<symbol, at>>: every (symbol, time) the text ties to an action.
+
+    A time counts in a sentence holding the action, the symbol and exactly one time, or in a bare
+    symbol/time row below an action header. A header stays in force over bare rows and ends with
+    anything else; the fold over the segments of one article carries just that flag.
+    """
+    pieces = F.concat(tx.segments(text), tx.segments(one_line))
+    # Most segments hold neither a symbol nor a time; plain substring tests settle them.
+    read = F.transform(
+        pieces,
+        lambda s: F.struct(
+            s.alias("segment"),
+            F.when(tx.may_name_symbols(s), F.array_intersect(tx.symbols_in_order(s), symbols))
+            .otherwise(F.array().cast("array<string>"))
+            .alias("found"),
+            F.when(tx.may_hold_instants(s), tx.instants_in_order(s))
+            .otherwise(F.array().cast("array<timestamp>"))
+            .alias("times"),
+            _acts(s, launch).alias("acts"),
+        ),
+    )
+
+    def judge(f: Column) -> Column:
+        one_time = (F.size(f["found"]) > 0) & (F.size(f["times"]) == 1)
+        mixed = F.lit(False)
+        for marker in fv.MIXED_PURPOSE_MARKERS:
+            mixed = mixed | F.lower(f["segment"]).contains(marker)
+        return F.struct(
+            F.transform(
+                f["found"], lambda x: F.struct(x.alias("symbol"), F.get(f["times"], F.lit(0)).alias("at"))
+            ).alias("hits"),
+            (one_time & (F.length(_without(f["segment"], f["found"])) == 0)).alias("bare_row"),
+            (f["acts"] & one_time & ~mixed).alias("stated"),
+            (f["acts"] & (F.size(f["found"]) == 0) & (F.size(f["times"]) == 0)).alias("header"),
+        )
+
+    start = F.struct(
+        F.lit(False).alias("below_header"),
+        F.array().cast("array<struct<symbol:string,at:timestamp>>").alias("hits"),
+    )
+
+    def step(state: Column, f: Column) -> Column:
+        counts = f["stated"] | (f["bare_row"] & state["below_header"])
+        return F.struct(
+            F.when(f["bare_row"], state["below_header"]).otherwise(f["header"]).alias("below_header"),
+            F.when(counts, F.concat(state["hits"], f["hits"])).otherwise(state["hits"]).alias("hits"),
+        )
+
+    return F.aggregate(F.transform(read, judge), start, step, lambda state: state["hits"])
+
+
+def _table_hits(one_line: Column, symbols: Column) -> Column:
+    """Explicit launch-table rows by increasing precedence; a later one overrides an earlier one."""
+
+    def rows(pattern: str, date: int, clock: int, ampm: int, symbol: int) -> Column:
+        return F.transform(
+            tx.placed_instants(one_line, pattern, date, clock, ampm, symbol),
+            lambda t: F.struct(F.upper(t["name"]).alias("symbol"), t["value"].alias("at")),
+        )
+
+    both = F.concat(rows(fv.STRUCTURED_LAUNCH, 1, 2, 3, 4), rows(fv.LEGACY_LAUNCH, 2, 3, 4, 1))
+    return F.filter(both, lambda r: F.array_contains(symbols, r["symbol"]))
+
+
+def with_event_times(articles: DataFrame, body_chars: int | None = fv.ANCHOR_BODY_CHARS) -> DataFrame:
+    """Add ``events``: array<struct<symbol, official_event_at>>, one item per symbol in order.
+
+    ``articles`` has (body_text, article_class, symbols). Only classes that can prove an event are
+    searched. Everything happens inside the article's row: no shuffle, no Python. One distinct time
+    per symbol is kept, several leave it unresolved; launch-table rows override for launches.
     """
     shown = F.col("body_text")
     if body_chars is not None:
         shown = F.substring(shown, 1, body_chars)
-    per_article = symbols.groupBy("article_key").agg(
-        F.collect_set("symbol").alias("__symbols")
-    )
-    base = articles.join(per_article, "article_key").select(
-        "article_key", "article_class", "__symbols", shown.alias("__text")
-    )
-    pieces = base.select(
-        "article_key",
-        "article_class",
-        "__symbols",
-        F.posexplode(
-            F.concat(tx.segments(F.col("__text")), tx.segments(tx.squeezed(F.col("__text"))))
-        ).alias("no", "segment"),
-    )
-    read = pieces.withColumns(
+    launch = F.col("article_class") == fv.LAUNCH_CLASS
+    proving = launch | (F.col("article_class") == fv.DELISTING_CLASS)
+    none = F.array().cast("array<struct<symbol:string,at:timestamp>>")
+    dated = tx.may_hold_instants(shown)
+    lined = articles.withColumn("__line", F.when(proving & dated, tx.squeezed(shown)))
+    hits = lined.withColumns(
         {
-            "found": F.array_intersect(tx.symbols_in_order(F.col("segment")), F.col("__symbols")),
-            "times": tx.instants_in_order(F.col("segment")),
-            "acts": F.when(
-                F.col("article_class") == fv.LAUNCH_CLASS, F.col("segment").rlike(fv.LAUNCH_ACTION)
-            ).otherwise(F.col("segment").rlike(fv.DELIST_ACTION)),
+            "__hits": F.when(
+                proving & dated, _anchored_hits(shown, F.col("__line"), launch, F.col("symbols"))
+            ).otherwise(none),
+            "__table": F.when(
+                launch & dated, _table_hits(F.col("__line"), F.col("symbols"))
+            ).otherwise(none),
         }
     )
-    mixed = F.lit(False)
-    for marker in fv.MIXED_PURPOSE_MARKERS:
-        mixed = mixed | F.lower("segment").contains(marker)
-    one_time = (F.size("found") > 0) & (F.size("times") == 1)
-    header = F.col("acts") & (F.size("found") == 0) & (F.size("times") == 0)
-    shaped = read.withColumns(
-        {
-            "row_shaped": one_time & (F.length(_without(F.col("segment"), F.col("found"))) == 0),
-            "header": header,
-            "shared": F.col("acts") & one_time & ~mixed,
-        }
-    )
-    earlier = (
-        Window.partitionBy("article_key").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    context = F.last(F.when(~F.col("row_shaped"), F.col("header")), ignorenulls=True).over(earlier)
-    counted = shaped.withColumn(
-        "counts", F.col("shared") | (F.col("row_shaped") & F.coalesce(context, F.lit(False)))
-    )
-    anchored = (
-        counted.filter("counts")
-        .select("article_key", F.explode("found").alias("symbol"), F.get("times", F.lit(0)).alias("at"))
-        .groupBy("article_key", "symbol")
-        .agg(F.when(F.min("at") == F.max("at"), F.min("at")).alias("anchored_at"))
-    )
-    one_line = tx.squeezed(F.col("__text"))
 
-    def table_rows(pattern: str, date: int, clock: int, ampm: int, symbol: int, rank: int) -> Column:
-        return F.transform(
-            tx.placed_instants(one_line, pattern, date, clock, ampm, symbol),
-            lambda t: F.struct(
-                F.lit(rank).alias("rank"), t["pos"].alias("pos"), t["value"].alias("at"),
-                F.upper(t["name"]).alias("symbol"),
-            ),
-        )
+    def event(symbol: Column) -> Column:
+        def of(column: str) -> Column:
+            mine = F.filter(column, lambda h: h["symbol"] == symbol)
+            return F.transform(mine, lambda h: h["at"])
 
-    tables = (
-        base.filter(F.col("article_class") == fv.LAUNCH_CLASS)
-        .select(
-            "article_key",
-            "__symbols",
-            F.explode(
-                F.concat(
-                    table_rows(fv.STRUCTURED_LAUNCH, 1, 2, 3, 4, 0),
-                    table_rows(fv.LEGACY_LAUNCH, 2, 3, 4, 1, 1),
-                )
-            ).alias("r"),
+        anchored = F.array_distinct(of("__hits"))
+        tabled = of("__table")
+        at = F.when(F.size(tabled) > 0, F.element_at(tabled, -1)).when(
+            F.size(anchored) == 1, F.get(anchored, F.lit(0))
         )
-        .filter(F.array_contains("__symbols", F.col("r.symbol")))
-        .groupBy("article_key", F.col("r.symbol").alias("symbol"))
-        .agg(F.max_by("r.at", F.col("r.rank").cast("bigint") * F.lit(1 << 32) + F.col("r.pos")).alias("table_at"))
-    )
-    return anchored.join(tables, ["article_key", "symbol"], "full_outer").select(
-        "article_key", "symbol", F.coalesce("table_at", "anchored_at").alias("official_event_at")
-    )
+        return F.struct(symbol.alias("symbol"), at.alias("official_event_at"))
+
+    return hits.withColumn("events", F.transform("symbols", event)).drop("__line", "__hits", "__table")
 
 
 def evidence_rows(
@@ -152,36 +183,36 @@ def evidence_rows(
     """One row per (article, symbol) with semantic class, status and event time.
 
     ``articles`` has (event_type, article_code, title, body_text, article_published_at) and may
-    carry snapshot columns; they pass through.
+    carry snapshot columns; they pass through. Texts are read twice, once for mentions and once for
+    class and times; articles without a known symbol never reach the second step.
     """
-    keyed = articles.withColumns(
-        {
-            "article_key": F.concat_ws("\u0001", "event_type", "article_code"),
-            "article_class": tx.article_class(F.col("title"), F.col("body_text"), class_chars),
-        }
+    keyed = articles.withColumn("article_key", F.concat_ws("\u0001", "event_type", "article_code"))
+    named = keyed.join(symbols_per_article(keyed, known), "article_key")
+    classed = named.withColumn(
+        "article_class", tx.article_class(F.col("title"), F.col("body_text"), class_chars)
     )
     expected = F.when(F.col("event_type") == "listing", fv.LAUNCH_CLASS).otherwise(fv.DELISTING_CLASS)
-    accepted = F.col("article_class") == expected
-    symbols = article_symbols(keyed, known)
-    times = anchored_times(keyed.filter(accepted), symbols, anchor_chars)
     carried = [c for c in articles.columns if c not in ("title", "body_text")]
-    return (
-        keyed.join(symbols, "article_key")
-        .join(times, ["article_key", "symbol"], "left")
-        .select(
-            *carried,
-            "symbol",
-            F.col("title").alias("article_title"),
-            F.when(accepted, "accepted").otherwise("rejected_semantic_class").alias("match_status"),
-            F.col("article_class").alias("article_semantic_class"),
-            F.when(accepted, "accepted_positive_semantic_evidence")
-            .otherwise("rejected_not_applicable_event_semantics")
-            .alias("semantic_evidence_status"),
-            "official_event_at",
-            F.when(F.col("official_event_at").isNotNull(), "action_symbol_time_anchored")
-            .otherwise("unresolved")
-            .alias("event_time_evidence_status"),
-        )
+    timed = with_event_times(classed, anchor_chars).select(
+        *carried, "title", "article_class", (F.col("article_class") == expected).alias("__accepted"),
+        # Never empty here; the outer form keeps Spark from evaluating the array in a guard first.
+        F.explode_outer("events").alias("e"),
+    )
+    accepted = F.col("__accepted")
+    event_at = F.when(accepted, F.col("e.official_event_at"))
+    return timed.select(
+        *carried,
+        F.col("e.symbol").alias("symbol"),
+        F.col("title").alias("article_title"),
+        F.when(accepted, "accepted").otherwise("rejected_semantic_class").alias("match_status"),
+        F.col("article_class").alias("article_semantic_class"),
+        F.when(accepted, "accepted_positive_semantic_evidence")
+        .otherwise("rejected_not_applicable_event_semantics")
+        .alias("semantic_evidence_status"),
+        event_at.alias("official_event_at"),
+        F.when(event_at.isNotNull(), "action_symbol_time_anchored")
+        .otherwise("unresolved")
+        .alias("event_time_evidence_status"),
     )
 
 

@@ -61,7 +61,8 @@ def in_chunks(df: DataFrame, grid: Grid, back: int = 0, ahead: int = 0) -> DataF
         copies.append(F.when(offset >= F.lit(span - back * grid.step_us), own + 1))
     if ahead:
         copies.append(F.when(offset < F.lit(ahead * grid.step_us), own - 1))
-    spread = df.withColumn(CHUNK, F.explode(F.array_compact(F.array(*copies))))
+    # Never empty, hence the outer form: it spares the guard Spark adds below a plain explode.
+    spread = df.withColumn(CHUNK, F.explode_outer(F.array_compact(F.array(*copies))))
     return spread.withColumn(OWN, F.col(CHUNK) == chunk_id(grid))
 
 

@@ -132,13 +132,9 @@ def _(v: Views):
     "SELECT article_code, symbol, place FROM planted", "planted",
 )
 def _(v: Views):
-    from pyspark.sql import Window
-
     keyed = v.articles.withColumn("article_key", F.col("article_code"))
-    found = ev.article_symbols(keyed, v.known_symbols)
-    order = Window.partitionBy("article_key").orderBy("position")
-    return found.select(
-        F.col("article_key").alias("article_code"), "symbol", (F.row_number().over(order) - 1).alias("place")
+    return ev.article_symbols(keyed, v.known_symbols).select(
+        F.col("article_key").alias("article_code"), "symbol", F.col("position").alias("place")
     )
 
 
@@ -169,17 +165,16 @@ def _(v: Views):
 
 @query(
     "event_time_anchor", "article_code symbol t:official_event_at",
-    "SELECT article_code, symbol, happened AS official_event_at FROM planted WHERE k IN (0, 1, 4)", "planted",
+    "SELECT article_code, symbol, CASE WHEN k IN (0, 1, 4) THEN happened END AS official_event_at FROM planted", "planted",
 )
 def _(v: Views):
-    keyed = v.articles.withColumns(
-        {
-            "article_key": F.col("article_code"),
-            "article_class": tx.article_class(F.col("title"), F.col("body_text"), None),
-        }
-    ).filter(F.col("article_class").isin(fv.LAUNCH_CLASS, fv.DELISTING_CLASS))
-    symbols = ev.article_symbols(keyed, v.known_symbols)
-    return ev.anchored_times(keyed, symbols, None).withColumnRenamed("article_key", "article_code")
+    keyed = v.articles.withColumn("article_key", F.col("article_code"))
+    named = keyed.join(ev.symbols_per_article(keyed, v.known_symbols), "article_key").withColumn(
+        "article_class", tx.article_class(F.col("title"), F.col("body_text"), None)
+    )
+    return ev.with_event_times(named, None).select("article_code", F.explode_outer("events").alias("e")).select(
+        "article_code", "e.symbol", "e.official_event_at"
+    )
 
 
 _EVIDENCE = f"""SELECT event_type, article_code, symbol, CASE WHEN k IN (0, 1, 4, 5) THEN 'accepted' ELSE 'rejected_semantic_class' END AS match_status,
