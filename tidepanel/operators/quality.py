@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidepanel.functions.hashing import row_hash
 from tidepanel.functions.timefn import Split, classify_split
-from tidepanel.operators.contracts import duplicate_keys
 from tidepanel.operators.rank import rankable
 
 
@@ -223,6 +222,3 @@ def evidence_role(path: Column, rules: Sequence[tuple[str, str]]) -> Column:
         role = F.when(path.rlike(pattern), F.lit(name)).otherwise(role)
     return role
 
-
-def unique_keys_check(df: DataFrame, keys: list[str]) -> bool:
-    return duplicate_keys(df, keys).isEmpty()
