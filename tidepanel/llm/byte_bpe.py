@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 MEMO_ENTRIES = 1_000_000
 BATCH_PIECES = 1_000_000
@@ -229,7 +229,7 @@ def _small(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
 def encode_documents(docs: DataFrame, tokenizer: Tokenizer, text: str = "text", name: str = "ids") -> DataFrame:
     """Add the ids of a text column as an array of ints; other columns stay as they are."""
     docs = docs.drop(name)
-    schema = StructType(list(docs.schema.fields)).add(name, "array<int>", False)
+    schema = StructType(list(docs.schema.fields)).add(name, ArrayType(IntegerType(), False), False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -7,7 +7,9 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidepanel.llm import byte_bpe, chat_format, lz_fingerprint, sharding
+from tidepanel.llm import (
+    byte_bpe, chat_format, decontaminate, line_dedup, lz_fingerprint, quality, secret_scan, sharding,
+)
 from tidepanel.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +84,84 @@ def op5_two_pass_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query
+def op8_line_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.drop_spread_lines(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    text = F.coalesce("text", F.lit(""))
+    return done.select(
+        "doc_id", "n_lines", "n_removed", F.char_length(text).cast("bigint").alias("kept_chars"), F.sha2(text, 256).alias("kept_sha256")
+    )
+
+
+ORACLES["op8_line_sites"] = f"""
+WITH split AS (
+  SELECT doc_id, coalesce(source, '') AS source, unnest(string_split(text, chr(10))) AS raw,
+         generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  FROM documents),
+spread AS (
+  SELECT trim(raw, ' ') AS line, min({{'d': doc_id, 'p': pos}}) AS first
+  FROM split WHERE trim(raw, ' ') <> '' GROUP BY 1 HAVING count(DISTINCT source) >= {line_dedup.SITES}),
+judged AS (
+  SELECT s.doc_id, s.pos, s.raw, first IS NULL OR first = {{'d': s.doc_id, 'p': s.pos}} AS stays
+  FROM split s LEFT JOIN spread ON trim(s.raw, ' ') = line),
+kept AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_removed,
+         coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (stays), '') AS text
+  FROM judged GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+       length(coalesce(k.text, '')) AS kept_chars, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k USING (doc_id)"""
+
+
+@query
+def op9_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (table(spark, sf_dir, n) for n in ("documents", "labels"))
+    return quality.classify(docs.select("doc_id", "text"), labels).select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op4_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [
+        F.size(F.filter("base", lambda b, k=k: b["kind"] == k)).cast("bigint").alias(f"n_{name}")
+        for k, name in enumerate(secret_scan.KINDS[:3])
+    ]
+    return found.select(
+        "doc_id", *counts, F.sha2(secret_scan.as_text(F.col("base")), 256).alias("base_sha256"),
+        secret_scan.as_text(F.concat("base", "found")).alias("spans"),
+    )
+
+
+@query
+def op6_winnow_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = (table(spark, sf_dir, n) for n in ("documents", "benchmark"))
+    done = decontaminate.measure(docs.select("doc_id", "text"), items)
+    return done.select(
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), "contaminated"
+    )
+
+
+_SQL_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+)
+ORACLES["op6_winnow_decontamination"] = f"""
+WITH dw AS (SELECT doc_id, {_SQL_WORDS} AS w FROM documents),
+iw AS (SELECT item_id, w, least(len(w), 10) AS m FROM (SELECT item_id, {_SQL_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT m FROM iw),
+item_windows AS (
+  SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS words
+  FROM (SELECT item_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM iw)),
+doc_windows AS (
+  SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS words
+  FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM dw, sizes WHERE len(w) >= m)),
+hits AS (SELECT doc_id, i, m, item_id FROM doc_windows JOIN item_windows USING (m, words)),
+spots AS (SELECT doc_id, count(DISTINCT at) AS n FROM (SELECT doc_id, unnest(range(i, i + m)) AS at FROM hits) GROUP BY 1),
+found AS (
+  SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY 1)
+SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(spots.n, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(found.n, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, spots.n IS NOT NULL AS contaminated
+FROM dw LEFT JOIN spots USING (doc_id) LEFT JOIN found USING (doc_id)"""

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, LongType, StructType
 
 from tidepanel.session import scratch_path
 
@@ -47,7 +47,7 @@ def shuffle_into_shards(
     before = np.cumsum(counts)
     rows = int(before[-1])
     bounds = np.array([i * rows // shards for i in range(shards + 1)], np.int64)
-    out = StructType(list(df.schema.fields)).add("shard", "int", False).add("slot", "bigint", False)
+    out = StructType(list(df.schema.fields)).add("shard", IntegerType(), False).add("slot", LongType(), False)
 
     def fisher_yates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = list(batches)
