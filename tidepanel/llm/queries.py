@@ -158,7 +158,7 @@ doc_windows AS (
   SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS words
   FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM dw, sizes WHERE len(w) >= m)),
 hits AS (SELECT doc_id, i, m, item_id FROM doc_windows JOIN item_windows USING (m, words)),
-spots AS (SELECT doc_id, count(DISTINCT at) AS n FROM (SELECT doc_id, unnest(range(i, i + m)) AS at FROM hits) GROUP BY 1),
+spots AS (SELECT doc_id, count(DISTINCT spot) AS n FROM (SELECT doc_id, unnest(range(i, i + m)) AS spot FROM hits) GROUP BY 1),
 found AS (
   SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items
   FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY 1)
