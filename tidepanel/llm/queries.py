@@ -8,7 +8,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidepanel.llm import (
-    byte_bpe, chat_format, decontaminate, line_dedup, lz_fingerprint, quality, secret_scan, sharding,
+    byte_bpe, chat_format, decontaminate, line_dedup, lz_fingerprint, near_dedup, quality, secret_scan, sharding,
 )
 from tidepanel.llm.common import table
 
@@ -165,3 +165,8 @@ found AS (
 SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(spots.n, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(found.n, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, spots.n IS NOT NULL AS contaminated
 FROM dw LEFT JOIN spots USING (doc_id) LEFT JOIN found USING (doc_id)"""
+
+
+@query
+def op7_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
