@@ -8,7 +8,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidepanel.llm import (
-    byte_bpe, chat_format, decontaminate, line_dedup, lz_fingerprint, near_dedup, quality, secret_scan, sharding,
+    byte_bpe, chat_format, decontaminate, line_dedup, lz_fingerprint, near_dedup, quality, secret_scan, sharding, suffix_dedup,
 )
 from tidepanel.llm.common import table
 
@@ -170,3 +170,9 @@ FROM dw LEFT JOIN spots USING (doc_id) LEFT JOIN found USING (doc_id)"""
 @query
 def op7_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op10_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), digest_only=True)
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("text_bytes").cast("string").alias("kept_sha256"))
