@@ -9,10 +9,9 @@ Links are searched without listing all pairs of a bucket:
 
 1. Every member of a bucket is paired with the bucket's least member. Pairs are first compared by
    the low bytes of their minima, then confirmed on full sets; components follow from the links.
-2. A pair inside one component needs no test. Buckets that still hold several components are open.
-   In open buckets of up to ``PAIR_BUCKET`` members all pairs across components are tested. Members of
-   larger open buckets (many documents around one common passage) are joined exactly by their rarest
-   shingles instead: two sets linked at 0.85 must share one of the rarest 15 % + 1 of either.
+2. A pair inside one component needs no test. Buckets that still hold several components (many documents
+   around one common passage, say) are open, and their members are joined exactly by their rarest shingles:
+   two sets linked at 0.85 must share one of the rarest of each, at places that leave room for the rest.
 3. Components are taken again over all links.
 
 Sets are recomputed for documents in a candidate pair only. Null, empty and wordless texts have empty
@@ -37,7 +36,6 @@ from tidepanel.llm.components import components
 SHINGLE = 5
 BANDS, ROWS = 36, 7
 LEAST = Fraction(85, 100)
-PAIR_BUCKET = 128
 SLACK = 0.15  # over five standard errors of the signature's estimate
 BATCH_CHARS = 1_000_000
 _rng = np.random.Generator(np.random.PCG64(85))
@@ -165,29 +163,36 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _rare_shingle_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (u, v) across components among ``members`` that share one of their rarest shingles.
+    """Pairs (u, v) across components among ``members`` whose rarest shingles allow a link.
 
-    Two linked sets of n and m shingles share at least 0.85 of the larger, so each has a shared one
-    among its rarest n - ceil(0.85 n) + 1, and in a common order the rarest shared one is among both.
+    Linked sets of x <= y shingles share o = ceil(0.85 / 1.85 * (x + y)) or more, and x >= 0.85 y. Put
+    every set in the common order of rarity. The first shared shingle is then among the first x - o' + 1
+    of the smaller set (o' for y = x, the least o can be) and the first y - ceil(0.85 y) + 1 of the larger,
+    and from its places i and j on, both must still hold o shingles.
     """
     own = sets.join(members, "doc_id").select("doc_id", "c", F.size("s").alias("n"), F.explode("s").alias("x"))
     often = own.groupBy("x").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
-    # Shingles of one member only link nothing; they stay in the count of the rarest.
+    # Shingles of one member only link nothing; they come first in the order and take up places.
     ranked = own.join(often, "x", "left").groupBy("doc_id", "c", "n").agg(
         F.count_if(F.col("f").isNull()).alias("single"),
         F.sort_array(F.collect_list(F.when(F.col("f").isNotNull(), F.struct("f", "x")))).alias("xs"),
     )
-    most = F.col("n") - F.ceil(F.col("n") * LEAST.numerator / LEAST.denominator) + 1
-    rarest = ranked.select("doc_id", "c", F.explode(F.slice("xs", 1, F.greatest((most - F.col("single")).cast("int"), F.lit(0)))).alias("r"))
-    keyed = rarest.select("doc_id", "c", F.col("r.x").alias("x"))
-    return _across(keyed, "x")
-
-
-def _across(keyed: DataFrame, key: str) -> DataFrame:
-    """Pairs u < v of one key and different components."""
-    a = keyed.select(key, F.col("doc_id").alias("u"), F.col("c").alias("cu"))
-    b = keyed.select(key, F.col("doc_id").alias("v"), F.col("c").alias("cv"))
-    return a.join(b, key).where("u < v AND cu != cv").select("u", "v").distinct()
+    p, q = LEAST.numerator, LEAST.denominator
+    most = F.col("n") - F.ceil(F.col("n") * p / q) + 1
+    rarest = materialize(
+        ranked.select(
+            "doc_id", "c", "n", "single",
+            F.posexplode(F.slice("xs", 1, F.greatest((most - F.col("single")).cast("int"), F.lit(0)))).alias("at", "r"),
+        ).select("doc_id", "c", F.col("n").cast("bigint").alias("n"), (F.col("single") + F.col("at") + 1).alias("i"), F.col("r.x").alias("x")),
+        "rarest",
+    )
+    small = rarest.where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * (2 * p) / (p + q)) + 1)
+    a = small.select("x", F.col("doc_id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("i").alias("ia"))
+    b = rarest.select("x", F.col("doc_id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("i").alias("ib"))
+    rest = f"1 + least(na - ia, nb - ib) >= ceil((na + nb) * {p} / {p + q})"
+    ordered = "(na < nb OR (na = nb AND a < b))"
+    found = a.join(b, "x").where(f"ca != cb AND {ordered} AND {q} * na >= {p} * nb AND {rest}")
+    return found.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
 
 
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -197,7 +202,7 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """
     buckets = classes.select("doc_id", F.explode("bands").alias("key"))
     heads = materialize(
-        buckets.groupBy("key").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets"
+        buckets.groupBy("key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).where("head != last").drop("last"), "buckets"
     )
     members = materialize(buckets.join(heads, "key"), "members")
     low = classes.select("doc_id", "low")
@@ -211,17 +216,13 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     first = materialize(confirmed(stars, sets), "links")
     found = components(first)
     labelled = members.join(found, members["doc_id"] == found["node"], "left").select(
-        "key", "size", "doc_id", F.coalesce("component", "doc_id").alias("c")
+        "key", "doc_id", F.coalesce("component", "doc_id").alias("c")
     )
     several = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
-    open_ = materialize(labelled.join(several, "key", "left_semi"), "open")
-    small = open_.where(F.col("size") <= PAIR_BUCKET)
-    pairs = _resembling(_across(small.select("key", "doc_id", "c"), "key").join(stars, ["u", "v"], "left_anti"), low)
-    large = open_.where(F.col("size") > PAIR_BUCKET).select("doc_id", "c").distinct()
-    pairs = materialize(pairs, "pairs")
-    more_sets = sets_of(large.select("doc_id").unionByName(pairs.select(F.explode(F.array("u", "v")).alias("doc_id"))))
-    rare = materialize(_resembling(_rare_shingle_pairs(large, more_sets).join(stars, ["u", "v"], "left_anti"), low), "rare")
-    second = confirmed(pairs.unionByName(rare).distinct(), more_sets)
+    open_ = materialize(labelled.join(several, "key", "left_semi").select("doc_id", "c").distinct(), "open")
+    more_sets = sets_of(open_.select("doc_id"))
+    rare = materialize(_resembling(_rare_shingle_pairs(open_, more_sets).join(stars, ["u", "v"], "left_anti"), low), "rare")
+    second = confirmed(rare, more_sets)
     return materialize(first.unionByName(second), "links")
 
 
