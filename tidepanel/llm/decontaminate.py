@@ -84,8 +84,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
     )
     suspects = seen.where("hit").select(F.col("_id").alias("_sid"), F.col("_th").alias("_sth"))
     texts = materialize(
-        keyed.join(suspects, F.col("_id").eqNullSafe(F.col("_sid")) & (F.col("_th") == F.col("_sth")))
-        .select("_id", "_th", "dw").dropDuplicates(["_id", "_th"]), "suspects",
+        docs.select(*row_key(F.col("doc_id"), F.col("text")), "text")
+        .join(suspects, F.col("_id").eqNullSafe(F.col("_sid")) & (F.col("_th") == F.col("_sth")))
+        .dropDuplicates(["_id", "_th"]).select("_id", "_th", words(F.col("text")).alias("dw")), "suspects",
     )
     # Hits as (document, item, diagonal), each once however many hashes lie on it.
     every = [gram, *lengths]
