@@ -137,17 +137,6 @@ def test_slice_end_to_end(spark):
         build_slice(bars, contracts.withColumn("is_leveraged_token", F.lit(True)))
 
 
-def test_direct_and_split_forms_give_the_same_slice(spark, monkeypatch):
-    bars, contracts = slice_input(spark, 60)
-    plain = build_slice(bars, contracts).drop("underlying_subtype").toPandas()
-    from tidepanel.operators import rank
-
-    monkeypatch.setattr(rank.strategy_for, "__defaults__", (0,))
-    split = build_slice(bars, contracts).drop("underlying_subtype").toPandas()
-    order = lambda df: df.sort_values(["symbol", "open_time"], ignore_index=True)[sorted(df)]
-    pd.testing.assert_frame_equal(order(plain), order(split))
-
-
 def test_stage_chain_and_gates(spark, tmp_path):
     hours = 24 * 70
     frames = [hourly(s, hours, "2023-01-01") for s in ("BTCUSDT", "ETHUSDT")]

@@ -110,8 +110,6 @@ OPERATIONAL_TERMS = ["maintenance", "system upgrade", "temporary suspension"]
 MULTI_ASSET_TERMS = ["portfolio margin", "multi-assets mode", "multi-assets"]
 LAUNCH_CLASS = "original_perpetual_launch"
 DELISTING_CLASS = "delisting_or_settlement"
-CLASS_BODY_CHARS = 4000
-ANCHOR_BODY_CHARS = 8000
 
 # --- fixed values: paging --------------------------------------------------------------------
 TAIL_PAGE_HOURS = 1500

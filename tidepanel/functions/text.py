@@ -180,11 +180,10 @@ def _mentions(text: Column, terms: list[str]) -> Column:
     return any_term
 
 
-def article_class(title: Column, body: Column, body_chars: int | None = fv.CLASS_BODY_CHARS) -> Column:
+def article_class(title: Column, body: Column) -> Column:
     """Product intent by ordered keyword rules; the first rule that holds decides."""
-    shown = body if body_chars is None else F.substring(body, 1, body_chars)
     t = F.lower(title)
-    both = F.lower(F.concat(title, F.lit("\n"), F.coalesce(shown, F.lit(""))))
+    both = F.lower(F.concat(title, F.lit("\n"), F.coalesce(body, F.lit(""))))
     venue = _mentions(t, [fv.VENUE_TERM, fv.MARGINED_MARKET_TERM])
     perpetual = t.contains("contract") & _mentions(
         t, ["perpetual", "usdt-margined", fv.MARGINED_MARKET_TERM]

@@ -133,7 +133,7 @@ def _table_hits(one_line: Column, symbols: Column) -> Column:
     return F.filter(both, lambda r: F.array_contains(symbols, r["symbol"]))
 
 
-def with_event_times(articles: DataFrame, body_chars: int | None = fv.ANCHOR_BODY_CHARS) -> DataFrame:
+def with_event_times(articles: DataFrame) -> DataFrame:
     """Add ``events``: array<struct<symbol, official_event_at>>, one item per symbol in order.
 
     ``articles`` has (body_text, article_class, symbols). Only classes that can prove an event are
@@ -141,8 +141,6 @@ def with_event_times(articles: DataFrame, body_chars: int | None = fv.ANCHOR_BOD
     per symbol is kept, several leave it unresolved; launch-table rows override for launches.
     """
     shown = F.col("body_text")
-    if body_chars is not None:
-        shown = F.substring(shown, 1, body_chars)
     launch = F.col("article_class") == fv.LAUNCH_CLASS
     proving = launch | (F.col("article_class") == fv.DELISTING_CLASS)
     none = F.array().cast("array<struct<symbol:string,at:timestamp>>")
@@ -177,8 +175,6 @@ def with_event_times(articles: DataFrame, body_chars: int | None = fv.ANCHOR_BOD
 def evidence_rows(
     articles: DataFrame,
     known: DataFrame,
-    class_chars: int | None = fv.CLASS_BODY_CHARS,
-    anchor_chars: int | None = fv.ANCHOR_BODY_CHARS,
 ) -> DataFrame:
     """One row per (article, symbol) with semantic class, status and event time.
 
@@ -189,11 +185,11 @@ def evidence_rows(
     keyed = articles.withColumn("article_key", F.concat_ws("\u0001", "event_type", "article_code"))
     named = keyed.join(symbols_per_article(keyed, known), "article_key")
     classed = named.withColumn(
-        "article_class", tx.article_class(F.col("title"), F.col("body_text"), class_chars)
+        "article_class", tx.article_class(F.col("title"), F.col("body_text"))
     )
     expected = F.when(F.col("event_type") == "listing", fv.LAUNCH_CLASS).otherwise(fv.DELISTING_CLASS)
     carried = [c for c in articles.columns if c not in ("title", "body_text")]
-    timed = with_event_times(classed, anchor_chars).select(
+    timed = with_event_times(classed).select(
         *carried, "title", "article_class", (F.col("article_class") == expected).alias("__accepted"),
         # Never empty here; the outer form keeps Spark from evaluating the array in a guard first.
         F.explode_outer("events").alias("e"),

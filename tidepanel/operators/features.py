@@ -72,7 +72,12 @@ class FeatureSpec:
         bars = max(grid.chunk_bars, self.lookback)
         if self.atr_period > 1:
             bars = min(bars, int(_MAX_EXPONENT / self.decay) - self.lookback)
-        return grid.with_chunk(max(bars, self.lookback))
+            if bars < self.lookback:
+                raise ValueError(
+                    f"a look-back of {self.lookback} bars is too long for atr_period {self.atr_period}: "
+                    "the average would leave the range of a double"
+                )
+        return grid.with_chunk(bars)
 
     def carried_chunks(self, grid: Grid) -> int:
         """Earlier chunks that can still weigh anything in the recursive average."""

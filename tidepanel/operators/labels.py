@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidepanel import fixed_values as fv
 from tidepanel.functions.timefn import Split, horizon_in_split, micros
-from tidepanel.operators.rank import choose_strategy, group_medians, rankable
+from tidepanel.operators.rank import group_medians, rankable
 from tidepanel.operators.series import Grid, chunk_window, in_chunks, own_rows
 from tidepanel.operators.splits import guard_splits
 
@@ -122,31 +122,16 @@ def duplicate_benchmarks(df: DataFrame, benchmark: str = fv.BENCHMARK_SYMBOL) ->
 
 
 def add_benchmark_relative(
-    df: DataFrame, benchmark: str = fv.BENCHMARK_SYMBOL, horizons: Sequence[str] = tuple(HORIZONS),
-    strategy: str = "auto",
+    df: DataFrame, benchmark: str = fv.BENCHMARK_SYMBOL, horizons: Sequence[str] = tuple(HORIZONS)
 ) -> DataFrame:
     """Forward returns minus the benchmark's at the same timestamp.
 
-    ``direct`` takes the benchmark's value inside the timestamp's own window: no join, and no
-    shuffle where the input is already partitioned by timestamp. ``split`` joins the benchmark rows
-    (one per timestamp), which AQE can broadcast or skew-split.
+    Joins the benchmark rows, one per timestamp, which AQE can broadcast or skew-split.
     """
-    if strategy == "auto":
-        strategy = choose_strategy(df, ["open_time"])
-    is_benchmark = F.col("symbol") == benchmark
-    if strategy == "direct":
-        together = Window.partitionBy("open_time")
-        with_benchmark = df.withColumns(
-            {
-                f"btc_fwd_return_{h}": F.max(F.when(is_benchmark, F.col(f"fwd_return_{h}"))).over(together)
-                for h in horizons
-            }
-        )
-    else:
-        rows = df.filter(is_benchmark).groupBy("open_time").agg(
-            *[F.max(f"fwd_return_{h}").alias(f"btc_fwd_return_{h}") for h in horizons]
-        )
-        with_benchmark = df.join(rows, "open_time", "left")
+    rows = df.filter(F.col("symbol") == benchmark).groupBy("open_time").agg(
+        *[F.max(f"fwd_return_{h}").alias(f"btc_fwd_return_{h}") for h in horizons]
+    )
+    with_benchmark = df.join(rows, "open_time", "left")
     return with_benchmark.withColumns(
         {
             f"btc_relative_return_{h}": F.col(f"fwd_return_{h}") - F.col(f"btc_fwd_return_{h}")
@@ -155,21 +140,12 @@ def add_benchmark_relative(
     )
 
 
-def add_median_excess(
-    df: DataFrame, horizons: Sequence[str] = tuple(HORIZONS), strategy: str = "auto"
-) -> DataFrame:
+def add_median_excess(df: DataFrame, horizons: Sequence[str] = tuple(HORIZONS)) -> DataFrame:
     """Forward return minus the median of rankable rows at the same timestamp, for all rows."""
-    if strategy == "auto":
-        strategy = choose_strategy(df, ["open_time"])
     names = [f"fwd_return_{h}" for h in horizons]
-    if strategy == "direct":
-        together = Window.partitionBy("open_time")
-        medians = {n: F.median(F.when(rankable(), F.col(n))).over(together) for n in names}
-        joined = df.withColumns({f"__median_{n}": m for n, m in medians.items()})
-    else:
-        medians = group_medians(df.filter(rankable()), "open_time", names)
-        renamed = medians.select("open_time", *[F.col(n).alias(f"__median_{n}") for n in names])
-        joined = df.join(renamed, "open_time", "left")
+    medians = group_medians(df.filter(rankable()), "open_time", names)
+    renamed = medians.select("open_time", *[F.col(n).alias(f"__median_{n}") for n in names])
+    joined = df.join(renamed, "open_time", "left")
     return joined.withColumns(
         {
             f"cross_sectional_excess_return_{h}": F.col(f"fwd_return_{h}")
@@ -183,7 +159,7 @@ def add_outcome_labels(
     observations: DataFrame, splits: Sequence[Split] = tuple(fv.DEFAULT_SPLITS),
     allowed: Sequence[str] | None = None, grid: Grid = Grid(),
     horizons: Mapping[str, int] = HORIZONS, path_horizons: Sequence[str] = PATH_HORIZONS,
-    benchmark: str = fv.BENCHMARK_SYMBOL, strategy: str = "auto", strict: bool = True,
+    benchmark: str = fv.BENCHMARK_SYMBOL, strict: bool = True,
 ) -> DataFrame:
     """All outcome labels. ``strict`` runs the split and benchmark guards first."""
     if strict:
@@ -191,7 +167,5 @@ def add_outcome_labels(
         if not duplicate_benchmarks(observations, benchmark).isEmpty():
             raise ValueError("the benchmark must have one row per timestamp")
     labelled = add_symbol_labels(observations, splits, grid, horizons, path_horizons)
-    if strategy == "auto":
-        strategy = choose_strategy(observations, ["open_time"])
-    relative = add_benchmark_relative(labelled, benchmark, tuple(horizons), strategy)
-    return add_median_excess(relative, tuple(horizons), strategy)
+    relative = add_benchmark_relative(labelled, benchmark, tuple(horizons))
+    return add_median_excess(relative, tuple(horizons))

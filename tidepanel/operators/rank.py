@@ -1,8 +1,8 @@
 """Cross-sectional ranks with average ties, score, deciles and medians per timestamp.
 
-``direct`` ranks each timestamp in one window task. ``split`` ranks over the distinct values, cut
-into order-preserving buckets, for cross-sections too large for one task. Both are exact; ``auto``
-measures the largest cross-section first and picks.
+One plan at every size: ranks are taken over the distinct values of a timestamp, cut into
+order-preserving buckets, in narrow rows, and joined back once. NaN counts as missing (NULL); both
+infinities rank at the ends; -0.0 and 0.0 are one value.
 """
 
 from __future__ import annotations
@@ -22,8 +22,6 @@ SCORE_SOURCES = {
 }
 RANK_SOURCES = {**SCORE_SOURCES, "median_30d_daily_quote_volume": "liquidity_pct"}
 
-# A window task sorts this many narrow rows comfortably in memory.
-MAX_WINDOW_ROWS = 2_000_000
 # Buckets per factor e of the value; neighbouring values share a bucket only when within 0.1 %.
 _BUCKETS_PER_E = 1024
 
@@ -33,22 +31,19 @@ def rankable() -> Column:
     return F.coalesce(F.col("is_eligible") & ~F.col("is_benchmark"), F.lit(False))
 
 
-def strategy_for(largest_group: int | None, limit: int = MAX_WINDOW_ROWS) -> str:
-    return "direct" if (largest_group or 0) <= limit else "split"
-
-
-def choose_strategy(probe: DataFrame, group: Sequence[str], limit: int = MAX_WINDOW_ROWS) -> str:
-    """``direct`` if no group is larger than the limit, else ``split`` (one narrow aggregate job)."""
-    return strategy_for(probe.groupBy(*group).count().agg(F.max("count")).first()[0], limit)
+def present(value: Column) -> Column:
+    """A value as it takes part in ranks and medians."""
+    return F.when(~F.isnan(value.cast("double")), value)
 
 
 def _bucket(value: Column) -> Column:
     """A coarse key that never decreases with the value."""
-    size = F.floor(F.log(F.abs(value)) * _BUCKETS_PER_E) + F.lit(1_000_000)
+    # The logarithm of a finite double is below 710; infinities take the outermost buckets.
+    size = F.floor(F.least(F.log(F.abs(value)), F.lit(800.0)) * _BUCKETS_PER_E) + F.lit(1_000_000)
     return F.when(value == 0, F.lit(0)).when(value > 0, size).otherwise(-size).cast("bigint")
 
 
-def ordered_counts(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+def ordered_counts(df: DataFrame, group: Sequence[str], value: str, weight: Column | None = None) -> DataFrame:
     """Distinct values of every group with multiplicity, rows below and group size.
 
     Ties are pre-aggregated on the map side, so a value shared by most rows is one row here; the
@@ -58,7 +53,7 @@ def ordered_counts(df: DataFrame, group: Sequence[str], value: str) -> DataFrame
     counts = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("ties"))
+        .agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("ties"))
         .withColumn("__bucket", _bucket(F.col(value)))
     )
     per_bucket = counts.groupBy(*keys, "__bucket").agg(F.sum("ties").alias("__held"))
@@ -82,46 +77,39 @@ def add_percentiles(
     sources: Mapping[str, str],
     mask: Column | None = None,
     group: str = "open_time",
-    strategy: str = "auto",
-    probe: DataFrame | None = None,
 ) -> DataFrame:
     """Average-tie percentile rank of each source among masked, non-null rows of the group.
 
     A row's percentile is (rows below + (ties + 1) / 2) / size; rows outside the mask get NULL and
-    do not count.
+    do not count. Rows that agree in the group and all sources share one narrow row, which is ranked
+    for all sources together and joined back to the wide rows once.
     """
     mask = rankable() if mask is None else mask
-    if strategy == "auto":
-        strategy = choose_strategy(df if probe is None else probe, [group])
-    return (_direct if strategy == "direct" else _split)(df, sources, mask, group)
-
-
-def _direct(df: DataFrame, sources: Mapping[str, str], mask: Column, group: str) -> DataFrame:
-    """One window specification, hence one sort, per source; one shuffle for all of them."""
-    for source, target in sources.items():
-        # The masked value is its own sort key: NULLs go last and are never counted.
-        keyed = df.withColumn("__value", F.when(mask, F.col(source)))
-        order = Window.partitionBy(group).orderBy(F.col("__value").asc_nulls_last())
-        everyone = order.rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        ties = F.count("__value").over(order.rangeBetween(0, 0))
-        pct = (F.rank().over(order) + (ties - 1) / 2) / F.count("__value").over(everyone)
-        df = keyed.withColumn(target, F.when(F.col("__value").isNotNull(), pct)).drop("__value")
-    return df
-
-
-def _split(df: DataFrame, sources: Mapping[str, str], mask: Column, group: str) -> DataFrame:
-    """Rank the distinct values of each source, then join the percentiles back.
-
-    Every rank is computed from the input, not from the table already joined so far.
-    """
-    result = df.withColumns({f"__v_{s}": F.when(mask, F.col(s)) for s in sources})
-    for source, target in sources.items():
-        value = f"__v_{source}"
-        values = df.select(group, F.when(mask, F.col(source)).alias(value))
-        pct = (F.col("below") + (F.col("ties") + 1) / 2) / F.col("size")
-        placed = ordered_counts(values, [group], value).select(group, value, pct.alias(target))
-        result = result.join(placed, [group, value], "left").drop(value)
-    return result
+    values = {source: f"__v{i}" for i, source in enumerate(sources)}
+    keyed = df.withColumns(
+        {v: F.when(mask, present(F.col(s))).cast("double") + F.lit(0.0) for s, v in values.items()}
+    )
+    rows = keyed.groupBy(group, *values.values()).agg(F.count(F.lit(1)).alias("__n"))
+    cells = F.array(*[
+        F.struct(F.lit(i).alias("__s"), F.col(v).alias("__x")) for i, v in enumerate(values.values())
+    ])
+    long = rows.select("*", F.explode(cells).alias("__c")).select(
+        group, *values.values(), "__n", "__c.__s", "__c.__x"
+    ).where(F.col("__x").isNotNull())
+    pct = (F.col("below") + (F.col("ties") + 1) / 2) / F.col("size")
+    placed = ordered_counts(long, [group, "__s"], "__x", F.col("__n")).select(
+        group, "__s", "__x", pct.alias("__pct")
+    )
+    back = long.join(placed, [group, "__s", "__x"]).groupBy(group, *values.values()).agg(
+        *[F.max(F.when(F.col("__s") == i, F.col("__pct"))).alias(t) for i, t in enumerate(sources.values())]
+    )
+    renamed = {c: f"__r_{c}" for c in (group, *values.values())}
+    right = back.withColumnsRenamed(renamed)
+    same = F.lit(True)
+    for ours, theirs in renamed.items():
+        same = same & keyed[ours].eqNullSafe(right[theirs])
+    joined = keyed.drop(*[t for t in sources.values()]).join(right, same, "left")
+    return joined.drop(*values.values(), *renamed.values())
 
 
 def score_columns() -> dict[str, Column]:
@@ -138,17 +126,11 @@ def decile(pct: Column, buckets: int = 10) -> Column:
     return F.when(pct.isNotNull(), bucket.cast("int"))
 
 
-def add_cross_sectional_ranks(
-    df: DataFrame, strategy: str = "auto", probe: DataFrame | None = None
-) -> DataFrame:
+def add_cross_sectional_ranks(df: DataFrame) -> DataFrame:
     """Component percentiles, score, score percentile, decile and top-bucket flag."""
-    if strategy == "auto":
-        strategy = choose_strategy(df if probe is None else probe, ["open_time"])
-    ranked = add_percentiles(df, RANK_SOURCES, strategy=strategy).withColumns(score_columns())
-    if strategy == "split":
-        # The score is ranked in turn: without a cut every branch would repeat the joins above.
-        ranked = materialize(ranked, "ranked")
-    scored = add_percentiles(ranked, {"hot_score": "hot_score_pct"}, strategy=strategy)
+    # The score is ranked in turn: without a cut its branches would repeat the joins above.
+    ranked = materialize(add_percentiles(df, RANK_SOURCES).withColumns(score_columns()), "ranked")
+    scored = add_percentiles(ranked, {"hot_score": "hot_score_pct"})
     flagged = scored.withColumn("hot_decile", decile(F.col("hot_score_pct")))
     return flagged.withColumn("is_hot", F.coalesce(F.col("hot_decile") == 10, F.lit(False)))
 
@@ -161,7 +143,8 @@ def group_medians(df: DataFrame, group: str, values: Sequence[str]) -> DataFrame
     """Exact median of every value column per group, without holding a group in one task."""
     result = df.select(group).distinct()
     for value in values:
-        placed = ordered_counts(df.select(group, value), [group], value)
+        plain = df.select(group, present(F.col(value)).alias(value))
+        placed = ordered_counts(plain, [group], value)
         low, high = F.floor((F.col("size") - 1) / 2), F.floor(F.col("size") / 2)
         last = F.col("below") + F.col("ties")
         middle = placed.groupBy(group).agg(

@@ -28,7 +28,7 @@ from tidepanel.operators.labels import (
     labels_from_futures,
     with_futures,
 )
-from tidepanel.operators.rank import add_cross_sectional_ranks, strategy_for
+from tidepanel.operators.rank import add_cross_sectional_ranks
 from tidepanel.operators.scope import filter_scope, semi_scope
 from tidepanel.operators.series import Grid
 from tidepanel.operators.splits import require_splits
@@ -72,32 +72,20 @@ def features_and_labels(eligible: DataFrame, spec: SliceSpec) -> DataFrame:
 
 @dataclass(frozen=True)
 class PanelProfile:
-    """What one narrow pass over a panel tells: sizes that choose strategies, and guard findings."""
+    """What one narrow pass over a panel tells the guards."""
 
     row_count: int
-    largest_cross_section: int
-    largest_series: int
     benchmark_repeats: int
     split_names: frozenset[str | None]
 
-    @property
-    def cross_strategy(self) -> str:
-        return strategy_for(self.largest_cross_section)
-
-    @property
-    def series_strategy(self) -> str:
-        return strategy_for(self.largest_series)
-
 
 def profile_panel(bars: DataFrame, spec: SliceSpec) -> PanelProfile:
-    """One job, two map-side combined aggregates over (symbol, open_time) alone."""
-    keys = bars.select("symbol", "open_time")
+    """One job, one map-side combined aggregate over (symbol, open_time) alone."""
     per_time = (
-        keys.groupBy("open_time")
+        bars.select("symbol", "open_time").groupBy("open_time")
         .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("symbol") == spec.benchmark).alias("b"))
         .agg(
             F.sum("n").alias("rows"),
-            F.max("n").alias("largest"),
             F.count_if(F.col("b") > 1).alias("repeats"),
             # At most one name per defined split, plus the mark for rows outside all of them.
             F.collect_set(
@@ -105,47 +93,26 @@ def profile_panel(bars: DataFrame, spec: SliceSpec) -> PanelProfile:
             ).alias("names"),
         )
     )
-    per_symbol = keys.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).agg(
-        F.sum("n").alias("rows"), F.max("n").alias("largest"),
-        F.lit(0).cast("bigint").alias("repeats"), F.array().cast("array<string>").alias("names"),
-    )
-    marked = per_time.withColumn("by", F.lit("time")).unionByName(
-        per_symbol.withColumn("by", F.lit("symbol"))
-    )
-    found = {row["by"]: row for row in marked.collect()}
-    times, symbols = found["time"], found["symbol"]
+    found = per_time.first()
     return PanelProfile(
-        times["rows"] or 0, times["largest"] or 0, symbols["largest"] or 0, times["repeats"],
-        frozenset(name or None for name in times["names"]),
+        found["rows"] or 0, found["repeats"], frozenset(name or None for name in found["names"])
     )
 
 
-def observations_from_eligible(
-    eligible: DataFrame, spec: SliceSpec = SliceSpec(), profile: PanelProfile | None = None
-) -> DataFrame:
+def observations_from_eligible(eligible: DataFrame, spec: SliceSpec = SliceSpec()) -> DataFrame:
     """Ranks, relative labels and episodes on top of an eligibility stage.
 
     Three shuffles of wide rows: by (symbol, chunk) for features and labels, by timestamp for
     ranks, benchmark and medians, by series for episode numbers. Rows outside every split are
     dropped last, after episodes were numbered; they carry no labels and whole timestamps fall
-    away, so nothing else depends on when they go. For cross-sections or series beyond the checked
-    size the split forms take over; they read their input more than once, so it is stored first.
+    away, so nothing else depends on when they go. Tables that later branches read more than once
+    are stored first.
     """
-    profile = profile or profile_panel(eligible, spec)
     horizons = tuple(spec.horizons)
-    cross = profile.cross_strategy
-    panel = features_and_labels(eligible, spec)
-    if cross == "split":
-        panel = materialize(panel, "panel")
-    relative = add_median_excess(
-        add_benchmark_relative(panel, spec.benchmark, horizons, cross), horizons, cross
-    )
-    if cross == "split":
-        relative = materialize(relative, "relative")
-    ranked = add_cross_sectional_ranks(relative, cross)
-    if profile.series_strategy == "split":
-        ranked = materialize(ranked, "scored")
-    episodic = add_episodes(ranked, spec.grid, strategy=profile.series_strategy)
+    panel = materialize(features_and_labels(eligible, spec), "panel")
+    relative = add_median_excess(add_benchmark_relative(panel, spec.benchmark, horizons), horizons)
+    ranked = materialize(add_cross_sectional_ranks(materialize(relative, "relative")), "scored")
+    episodic = add_episodes(ranked, spec.grid)
     return episodic.filter(classify_split(F.col("open_time"), spec.splits).isNotNull())
 
 
@@ -171,7 +138,7 @@ def build_slice(
     eligible = apply_eligibility(
         scoped, scoped_contracts, spec.minimum_age_days, benchmark=spec.benchmark
     )
-    return observations_from_eligible(eligible, spec, profile)
+    return observations_from_eligible(eligible, spec)
 
 
 def analysis_window(observations: DataFrame, start: str, end: str) -> DataFrame:

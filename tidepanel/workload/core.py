@@ -23,7 +23,6 @@ from tidepanel.operators.rank import (
     RANK_SOURCES,
     add_cross_sectional_ranks,
     add_percentiles,
-    choose_strategy,
     top_decile,
 )
 from tidepanel.operators.rollup import rollup_groups, rollup_rejected, rollup_strict, unexplained_rejects
@@ -446,7 +445,7 @@ def _(v: Views):
 def _(v: Views):
     # The form used for cross-sections too large for one window task.
     sources = {"vol_exp_4h_raw": "vol_exp_4h_pct", "vol_exp_24h_raw": "vol_exp_24h_pct"}
-    return add_percentiles(_rank_input(v), sources, strategy="split")
+    return add_percentiles(_rank_input(v), sources)
 
 
 def _ranks(v: Views):
@@ -662,8 +661,7 @@ def _(v: Views):
     "panel",
 )
 def _(v: Views):
-    strategy = choose_strategy(v.panel, ["open_time"])
-    return add_benchmark_relative(_labelled(v), BENCHMARK, strategy=strategy)
+    return add_benchmark_relative(_labelled(v), BENCHMARK)
 
 
 _EXCESS = (
@@ -680,12 +678,12 @@ _EXCESS_COLS = " ".join(f"d:cross_sectional_excess_return_{n}" for n in ("1d", "
 
 @query("xs_median_excess", f"symbol t:open_time {_EXCESS_COLS}", _EXCESS, "panel")
 def _(v: Views):
-    return add_median_excess(_labelled(v), strategy=choose_strategy(v.panel, ["open_time"]))
+    return add_median_excess(_labelled(v))
 
 
 @query("xs_median_excess_split", f"symbol t:open_time {_EXCESS_COLS}", _EXCESS, "panel")
 def _(v: Views):
-    return add_median_excess(_labelled(v), strategy="split")
+    return add_median_excess(_labelled(v))
 
 
 # --- quality -----------------------------------------------------------------------------------------

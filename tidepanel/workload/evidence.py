@@ -116,7 +116,7 @@ _CLASS = """CASE WHEN k IN (0, 4, 5) THEN 'original_perpetual_launch' WHEN k = 1
     f"SELECT article_code, {_CLASS} AS article_class FROM articles", "articles",
 )
 def _(v: Views):
-    return v.articles.withColumn("article_class", tx.article_class(F.col("title"), F.col("body_text"), None))
+    return v.articles.withColumn("article_class", tx.article_class(F.col("title"), F.col("body_text")))
 
 
 @query(
@@ -170,9 +170,9 @@ def _(v: Views):
 def _(v: Views):
     keyed = v.articles.withColumn("article_key", F.col("article_code"))
     named = keyed.join(ev.symbols_per_article(keyed, v.known_symbols), "article_key").withColumn(
-        "article_class", tx.article_class(F.col("title"), F.col("body_text"), None)
+        "article_class", tx.article_class(F.col("title"), F.col("body_text"))
     )
-    return ev.with_event_times(named, None).select("article_code", F.explode_outer("events").alias("e")).select(
+    return ev.with_event_times(named).select("article_code", F.explode_outer("events").alias("e")).select(
         "article_code", "e.symbol", "e.official_event_at"
     )
 
@@ -183,7 +183,7 @@ _EVIDENCE = f"""SELECT event_type, article_code, symbol, CASE WHEN k IN (0, 1, 4
 
 
 def _evidence(v: Views):
-    return ev.evidence_rows(v.articles, v.known_symbols, None, None)
+    return ev.evidence_rows(v.articles, v.known_symbols)
 
 
 @query(
