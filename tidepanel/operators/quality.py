@@ -11,14 +11,18 @@ from tidepanel.functions.timefn import Split, classify_split
 from tidepanel.operators.rank import rankable
 
 
-def frame_fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def frame_fingerprint(
+    df: DataFrame, columns: Sequence[str] | None = None, hashed: Column | None = None
+) -> DataFrame:
     """Content identity of a table: row count, hash sum and hash xor.
 
     Order and partitioning do not matter, so no sort is needed; the sum tells repeated rows apart
-    from the xor. One pass, one small row out.
+    from the xor. One pass, one small row out. ``hashed`` (bigint) stands in for the built-in row
+    hash where other systems must compute the same fingerprint.
     """
-    columns = sorted(columns or df.columns)
-    hashed = df.select(row_hash(columns).alias("h"))
+    if hashed is None:
+        hashed = row_hash(sorted(columns or df.columns))
+    hashed = df.select(hashed.alias("h"))
     return hashed.agg(
         F.count(F.lit(1)).alias("row_count"),
         F.coalesce(F.sum(F.col("h").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("hash_sum"),

@@ -114,27 +114,30 @@ def _(v: Views):
     return sc.unknown_identities(v.bars_4h_wide, known)
 
 
+# Every piece of a page is an identity to judge: its URL, what stands between tags or quotes, and each word.
+_PIECES, _WORDS = r'[<>"]+', r'[<>"\s]+'
+_LOWER = "abcdefghijklmnopqrstuvwxyz"
+
+
 @query(
-    "identity_rules", "i:page_id token semantic symbolic canonical path",
-    """SELECT page_id, regexp_full_match(t, '[A-Z0-9]{1,64}') AS token,
-        regexp_full_match(t, '[^/\\\\:\\p{C}]{1,128}') AND trim(t) = t AND t <> '' AS semantic,
-        CASE WHEN regexp_full_match(t, '[\\x00-\\x7F]*') THEN regexp_full_match(t, '[A-Z0-9]{1,64}')
-            ELSE regexp_full_match(t, '[\\p{L}\\p{N}]{1,128}') END AS symbolic,
+    "identity_rules", "i:page_id t token semantic symbolic canonical path",
+    f"""SELECT page_id, t, regexp_full_match(t, '[A-Z0-9]{{1,64}}') AS token,
+        regexp_full_match(t, '[^/\\\\:\\p{{C}}]{{1,128}}') AND trim(t) = t AND t <> '' AS semantic,
+        CASE WHEN regexp_full_match(t, '[\\x00-\\x7F]*') THEN regexp_full_match(t, '[A-Z0-9]{{1,64}}')
+            ELSE regexp_full_match(t, '[\\p{{L}}\\p{{N}}]{{1,128}}') END AS symbolic,
         regexp_full_match(t, '[\\x21-\\x7E]([\\x20-\\x7E]*[\\x21-\\x7E])?') AS canonical,
-        CASE WHEN regexp_full_match(t, '[^/\\\\:\\p{C}]{1,128}') AND trim(t) = t AND t <> '' THEN 'identity_' || sha256(t) END AS path
-        FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN upper(regexp_extract(html, '<title>(\\w+)', 1))
-            WHEN 1 THEN regexp_extract(html, '<title>([^<]*)', 1) WHEN 2 THEN url
-            ELSE split_part(regexp_extract(html, '<title>([^<]*)', 1), ' ', 1) END AS t FROM pages)""",
+        CASE WHEN regexp_full_match(t, '[^/\\\\:\\p{{C}}]{{1,128}}') AND trim(t) = t AND t <> '' THEN 'identity_' || sha256(t) END AS path
+        FROM (SELECT DISTINCT page_id, CASE WHEN page_id % 4 = 0 THEN translate(x, '{_LOWER}', '{_LOWER.upper()}') ELSE x END AS t FROM (
+            SELECT page_id, unnest(list_concat([url], string_split_regex(html, '{_PIECES}'), string_split_regex(html, '{_WORDS}'))) AS x FROM pages))""",
 )
 def _(v: Views):
-    title = F.regexp_extract("html", "<title>([^<]*)", 1)
-    k = F.col("page_id") % 4
-    text = (
-        F.when(k == 0, F.upper(F.regexp_extract("html", r"<title>(\w+)", 1)))
-        .when(k == 1, title).when(k == 2, F.col("url")).otherwise(F.split(title, " ")[0])
-    )
+    pieces = F.concat(F.array("url"), F.split("html", _PIECES), F.split("html", _WORDS))
+    text = F.explode(F.array_distinct(pieces)).alias("x")
     c = F.col("t")
-    return v.table("pages").withColumn("t", text).withColumns(
+    listed = v.table("pages").select("page_id", text).select(
+        "page_id", F.when(F.col("page_id") % 4 == 0, F.translate("x", _LOWER, _LOWER.upper())).otherwise(F.col("x")).alias("t")
+    ).distinct()
+    return listed.withColumns(
         {
             "token": is_token(c), "semantic": is_semantic_identity(c), "symbolic": is_symbol_identity(c),
             "canonical": is_canonical_text(c), "path": identity_path(c),
@@ -143,17 +146,22 @@ def _(v: Views):
 
 
 @query(
-    "identity_tag_list", "i:doc_id tags_ok tokens_ok",
-    """SELECT doc_id, len(l) > 0 AND coalesce(list_bool_and(list_transform(l, lambda x: regexp_full_match(x, '[\\x21-\\x7E]([\\x20-\\x7E]*[\\x21-\\x7E])?'))), true) AS tags_ok,
-        len(l) > 0 AND len(list_distinct(u)) = len(u) AND coalesce(list_bool_and(list_transform(u, lambda x: regexp_full_match(x, '[A-Z0-9]{1,64}'))), true) AS tokens_ok
-        FROM (SELECT doc_id, string_split(regexp_extract(text, '^[^\\n]*'), ' ') AS l,
-            list_transform(string_split(regexp_extract(text, '^[^\\n]*'), ' '), lambda x: upper(regexp_replace(x, '[^A-Za-z0-9]', '', 'g'))) AS u FROM documents)""",
+    "identity_tag_list", "i:doc_id i:words tags_ok tokens_ok distinct_ok",
+    """SELECT doc_id, len(l) AS words, len(l) > 0 AND coalesce(list_bool_and(list_transform(l, lambda x: regexp_full_match(x, '[\\x21-\\x7E]([\\x20-\\x7E]*[\\x21-\\x7E])?'))), true) AS tags_ok,
+        len(l) > 0 AND len(list_distinct(u)) = len(u) AND coalesce(list_bool_and(list_transform(u, lambda x: regexp_full_match(x, '[A-Z0-9]{1,64}'))), true) AS tokens_ok,
+        len(l) > 0 AND coalesce(list_bool_and(list_transform(u, lambda x: regexp_full_match(x, '[A-Z0-9]{1,64}'))), true) AS distinct_ok
+        FROM (SELECT doc_id, l, list_transform(l, lambda x: upper(regexp_replace(x, '[^A-Za-z0-9]', '', 'g'))) AS u
+            FROM (SELECT doc_id, string_split_regex(text, '[ \\n]') AS l FROM documents))""",
 )
 def _(v: Views):
-    words = F.split(F.regexp_extract("text", r"^[^\n]*", 0), " ")
+    # The words of the whole text as a list; repeats make it no list of distinct tokens.
+    words = F.split("text", r"[ \n]")
     upper = F.transform(words, lambda w: F.upper(F.regexp_replace(w, "[^A-Za-z0-9]", "")))
     return v.table("documents").withColumns(
-        {"tags_ok": is_tag_list(words), "tokens_ok": is_distinct_token_list(upper)}
+        {
+            "words": F.size(words), "tags_ok": is_tag_list(words), "tokens_ok": is_distinct_token_list(upper),
+            "distinct_ok": is_distinct_token_list(F.array_distinct(upper)),
+        }
     )
 
 
@@ -292,13 +300,17 @@ def _(v: Views):
 
 SQL_VIEWS["order_ranges"] = (
     "",
-    """SELECT 'P' || substr(o_orderpriority, 1, 1) || 'USDT' AS symbol, min(o_orderdate) AS lo, max(o_orderdate) AS hi
+    """SELECT 'C' || CAST(o_custkey AS VARCHAR) || 'USDT' AS symbol, min(o_orderdate) AS lo, max(o_orderdate) AS hi
         FROM orders GROUP BY 1""",
 )
 
 
+def _customer_symbol():
+    return F.concat(F.lit("C"), F.col("o_custkey").cast("string"), F.lit("USDT"))
+
+
 def _order_ranges(v: Views):
-    return v.table("orders").groupBy(order_symbol().alias("symbol")).agg(
+    return v.table("orders").groupBy(_customer_symbol().alias("symbol")).agg(
         F.min("o_orderdate").cast("timestamp").alias("range_start"),
         F.date_add(F.max("o_orderdate").cast("date"), 1).cast("timestamp").alias("range_end"),
     )
@@ -308,13 +320,13 @@ def _order_ranges(v: Views):
     "missing_periods_anti", "symbol period",
     """SELECT symbol, strftime(m, '%Y-%m') AS period FROM (SELECT symbol, unnest(generate_series(date_trunc('month', lo), date_trunc('month', hi), INTERVAL 1 MONTH)) AS m FROM order_ranges)
         WHERE m BETWEEN TIMESTAMP '1995-03-01' AND TIMESTAMP '2001-06-01' AND (symbol, strftime(m, '%Y-%m')) NOT IN (
-        SELECT 'P' || substr(o_orderpriority, 1, 1) || 'USDT', strftime(o_orderdate, '%Y-%m') FROM orders WHERE o_totalprice > 490000)""",
+        SELECT 'C' || CAST(o_custkey AS VARCHAR) || 'USDT', strftime(o_orderdate, '%Y-%m') FROM orders)""",
     "order_ranges",
 )
 def _(v: Views):
-    # Only months with a large order count as observed.
-    observed = v.table("orders").filter(F.col("o_totalprice") > 490_000).select(
-        order_symbol().alias("symbol"), F.date_format("o_orderdate", "yyyy-MM").alias("period")
+    # Months between the first and the last order of a customer; those with any order count as observed.
+    observed = v.table("orders").select(
+        _customer_symbol().alias("symbol"), F.date_format("o_orderdate", "yyyy-MM").alias("period")
     ).distinct()
     return gp.missing_months(_order_ranges(v), observed, F.lit("1995-03-10").cast("date"), F.lit("2001-06-20").cast("date"))
 
