@@ -36,4 +36,7 @@ def test_entry_has_rows(spark):
 
 def test_registry_is_consistent():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert not [n for n in entry.queries() if re.match(r"op\d+_", n) or n == "pipeline"]
+    # The text queries come and go with their folder, all eleven at once.
+    named = [n for n in entry.queries() if re.match(r"op\d+_", n) or n == "pipeline"]
+    there = os.path.isfile(os.path.join(os.path.dirname(entry.__file__), "corpus_pipeline.py"))
+    assert len(named) == (11 if there else 0)
