@@ -735,7 +735,7 @@ def _(v: Views):
     "SELECT count(*) AS row_count, true AS order_invariant FROM orders",
 )
 def _(v: Views):
-    # The fingerprint itself has no SQL counterpart; its invariance under reshuffling has.
+    # The built-in row hash has no SQL counterpart; its invariance under reshuffling has.
     orders = v.table("orders")
     one = ql.frame_fingerprint(orders).select("row_count", F.struct("*").alias("a"))
     other = ql.frame_fingerprint(orders.repartition("o_custkey").sortWithinPartitions("o_totalprice"))
