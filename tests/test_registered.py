@@ -28,6 +28,11 @@ def test_query_agrees_with_sql(spark, name):
     assert compare(spark, duck(DATA), name, DATA).startswith("ok")
 
 
+@needs_data
+def test_planned_period_keys_has_the_rows_of_its_sql(spark):
+    assert re.fullmatch(r"ok \(\d+ rows\)", compare(spark, duck(DATA), "planned_period_keys", DATA))
+
+
 @needs_data
 def test_entry_has_rows(spark):
     result = entry.entry(spark)

@@ -512,7 +512,10 @@ def _(v: Views):
     "order_keys",
 )
 def _(v: Views):
-    ready = _order_ranges(v).filter(F.col("symbol").isin("P1USDT", "P2USDT"))
+    # One row per symbol of the keys; the customers' symbols of order_ranges are others.
+    ready = v.table("orders").select(order_symbol().alias("symbol")).distinct().filter(
+        F.col("symbol").isin("P1USDT", "P2USDT")
+    )
     return pl.planned_period_keys(pl.parsed_keys(v.order_keys), ready, F.lit("2000-02"), F.lit("2000-11"))
 
 
