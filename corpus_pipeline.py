@@ -6,12 +6,15 @@ columns of ``documents``. Labels, benchmark items and the tokenizer are read as
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidepanel.llm import byte_bpe, decontaminate, line_dedup, near_dedup, quality
 from tidepanel.llm.common import materialize, table
 from tidepanel.llm.queries import public_tokenizer
 
+NEAR = Fraction(8, 10)
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -32,8 +35,8 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates the document with the smallest id stays."""
-    return near_dedup.keep_one(docs.select(*COLUMNS))
+    """Of near-duplicates (0.8 or more alike) the document with the smallest id stays."""
+    return near_dedup.keep_one(docs.select(*COLUMNS), NEAR)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,11 +7,13 @@ import hashlib
 import itertools
 import random
 import re
+from fractions import Fraction
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidepanel.llm import (
     byte_bpe, chat_format, decontaminate, line_dedup, lz_fingerprint, near_dedup, quality, secret_scan,
     sharding, suffix_dedup,
@@ -247,6 +249,42 @@ def test_rare_shingle_join_loses_no_link(spark):
     assert linked and linked <= pairs
 
 
+def test_near_duplicates_at_four_fifths(spark):
+    """The pipeline's stage links from 0.8 on, the query of its own from 0.85 on."""
+    assert [near_dedup.shape(Fraction(n, 100)) for n in (85, 80)] == [(36, 7), (46, 6)]
+    base = [f"w{i}" for i in range(400)]
+    rows = [(1, " ".join(base))]
+    for k in range(2, 32):  # each new word takes away five shingles: 0.78 to 1 alike with document 1
+        words = list(base)
+        words[10 : 10 + 9 * (k % 11) : 9] = [f"n{k}_{j}" for j in range(k % 11)]
+        rows.append((k, " ".join(words)))
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    sets = {i: {tuple(w[s : s + 5]) for s in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+
+    def kept(least):
+        group = {i: i for i in sets}
+        for a, b in itertools.combinations(sets, 2):
+            if 100 * len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+                x, y = sorted((group[a], group[b]))
+                group = {i: x if g == y else g for i, g in group.items()}
+        return {i for i, g in group.items() if i == g}
+
+    assert kept(80) < kept(85)
+    stage = dict(corpus_pipeline.STAGES)["minhash_near_dedup"]
+    assert {r.doc_id for r in stage(spark, frame, "").collect()} == kept(80)
+    assert {r.doc_id for r in near_dedup.keep_one(frame).collect()} == kept(85)
+
+
+def test_rare_shingle_join_at_four_fifths_loses_no_link(spark):
+    rng = random.Random(9)
+    sets = {i: sorted({*rng.sample(range(60), 55), *[1000 + rng.randrange(40) for _ in range(rng.randrange(9))]}) for i in range(80)}
+    frame = spark.createDataFrame(list(sets.items()), "doc_id bigint, s array<bigint>")
+    members = frame.select("doc_id", F.col("doc_id").alias("c"))
+    pairs = {tuple(r) for r in near_dedup._rare_shingle_pairs(members, frame, Fraction(8, 10)).collect()}
+    alike = {(a, b): Fraction(len({*sets[a]} & {*sets[b]}), len({*sets[a]} | {*sets[b]})) for a, b in itertools.combinations(sets, 2)}
+    assert any(0.8 <= x < 0.85 for x in alike.values()) and {p for p, x in alike.items() if x >= Fraction(8, 10)} <= pairs
+
+
 def test_components_of_long_paths(spark):
     edges = [(i + 1, i) for i in range(40)] + [(100, 200), (200, 150), (7, 7)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()))

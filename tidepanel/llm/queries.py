@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -169,7 +170,8 @@ FROM dw LEFT JOIN spots USING (doc_id) LEFT JOIN found USING (doc_id)"""
 
 @query
 def op7_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Linked at 85/100."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), Fraction(85, 100))
 
 
 @query
