@@ -351,6 +351,29 @@ def test_repeats_equal_brute_force(spark, docs, nothing, monkeypatch):
     assert suffix_dedup.remove_repeats(nothing).count() == 0
 
 
+def test_spans_that_differ_only_outside_their_sides_stay_apart():
+    """Around one passage the gram and both sides are the same everywhere; 32 bits for the rest are too few here."""
+    rng = np.random.default_rng(12)
+    passage = np.frombuffer(prose(20, 40).encode()[:75], np.uint8)
+    n, step = 300_000, 30_000
+    texts = np.concatenate([rng.integers(97, 123, (n, 12), np.uint8), np.broadcast_to(passage, (n, 75))], axis=1)
+    parts = [
+        suffix_dedup.anchors([(i, 0, 0, 87 - 49, texts[i].tobytes()) for i in range(at, at + step)]) for at in range(0, n, step)
+    ]
+    removed, _ = suffix_dedup.index_family(suffix_dedup.Entries.join(parts))
+    whole = suffix_dedup.Entries.join(parts)
+    least = {}
+    for d, s, z in sorted(zip(whole.doc.tolist(), whole.start.tolist(), whole.size.tolist(), strict=True)):
+        least.setdefault(texts[d, s : s + z].tobytes(), d)
+    assert len(least) > n
+    assert all(
+        least[texts[d, s : s + z].tobytes()] < d
+        for d, s, z in zip(removed.doc.tolist(), removed.start.tolist(), removed.size.tolist(), strict=True)
+    )
+    again = suffix_dedup.Entries.unpack(parts[0].pack())
+    assert all((getattr(again, f) == getattr(parts[0], f)).all() for f in ("k1", "id2", "id3", "doc", "start", "size"))
+
+
 def test_rank_file_is_read_by_path(tmp_path):
     path = tmp_path / "tiny.tiktoken"
     path.write_bytes(b"\n".join(base64.b64encode(bytes([i])) + b" %d" % i for i in range(256)))

@@ -18,8 +18,9 @@ Neighbouring windows with one anchor form its span of at most 84 bytes.
    looked up in the texts and their single windows go through the same blocks.
 4. Removed spans meet the texts again, by blocks of the document, and are cut out.
 
-The texts are shuffled once (steps 3 and 4 share one exchange). Entries carry 64 bits of the suffix itself
-and 96 bits of fingerprints. Null texts are empty; rows without doc_id are kept whole and match nothing;
+The texts are shuffled once (steps 3 and 4 share one exchange). Entries carry 64 bits of the suffix itself,
+64 bits of fingerprint over the whole span (all that tells spans apart which differ in their outer bytes only) and
+64 bits over the rest of the gram and its two sides. Null texts are empty; rows without doc_id are kept whole and match nothing;
 rows of one doc_id are one document for comparison. Long texts are read in pieces of ``PIECE`` bytes.
 """
 
@@ -86,9 +87,13 @@ def _words8(data: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Entries:
-    """Columns of equal length. k1, id2, id3 identify a span; doc, start, size say where it is."""
+    """Columns of equal length. k1, gram2, id2, id3 identify a span; doc, start, size say where it is.
+
+    k1 and gram2 are of the gram, id2 is the fingerprint of the span, id3 holds those of the two sides.
+    """
 
     k1: np.ndarray
+    gram2: np.ndarray
     id2: np.ndarray
     id3: np.ndarray
     doc: np.ndarray
@@ -106,19 +111,21 @@ class Entries:
         return Entries(*(np.concatenate([getattr(p, f.name) for p in parts]) for f in fields(Entries)))
 
     def ordered(self) -> Entries:
-        return self.take(np.lexsort((self.doc, self.id3, self.id2, self.k1)))
+        return self.take(np.lexsort((self.doc, self.id3, self.id2, self.gram2, self.k1)))
 
     def firsts(self) -> np.ndarray:
         """True at the first entry of each identity; the entries must be ordered."""
-        new = np.ones(len(self), bool)
-        new[1:] = (self.k1[1:] != self.k1[:-1]) | (self.id2[1:] != self.id2[:-1]) | (self.id3[1:] != self.id3[:-1])
+        new = np.zeros(len(self), bool)
+        new[:1] = True
+        for x in (self.k1, self.gram2, self.id2, self.id3):
+            new[1:] |= x[1:] != x[:-1]
         return new
 
     def pack(self) -> bytes:
         """Compressed columns, bytes of equal weight together; ids as differences."""
         ids, place = np.unique(self.doc, return_inverse=True)
         columns = [
-            self.k1, self.id2, self.id3.astype(np.uint32), place.astype(np.uint32), self.start.astype(np.uint64),
+            self.k1, self.gram2.astype(np.uint32), self.id2, self.id3.astype(np.uint32), place.astype(np.uint32), self.start.astype(np.uint64),
             self.size.astype(np.uint16), np.diff(ids, prepend=np.int64(0)),
         ]
         raw = b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(-1, c.itemsize).T.tobytes() for c in columns)
@@ -128,13 +135,13 @@ class Entries:
     def unpack(blob: bytes) -> Entries:
         n, m = struct.unpack_from("<II", blob)
         raw, at, out = zstandard.decompress(blob[8:]), 0, []
-        for kind, size in (("u8", n), ("u8", n), ("u4", n), ("u4", n), ("u8", n), ("u2", n), ("i8", m)):
+        for kind, size in (("u8", n), ("u4", n), ("u8", n), ("u4", n), ("u4", n), ("u8", n), ("u2", n), ("i8", m)):
             width = np.dtype(kind).itemsize
             planes = np.frombuffer(raw, np.uint8, width * size, at).reshape(width, size)
             out.append(np.ascontiguousarray(planes.T).view(kind).reshape(-1))
             at += width * size
-        ids = np.cumsum(out[6])
-        return Entries(out[0], out[1], out[2], ids[out[3]], out[4].astype(np.int64), out[5].astype(np.int64))
+        ids = np.cumsum(out[7])
+        return Entries(*out[:4], ids[out[4]], out[5].astype(np.int64), out[6])
 
 
 def _runs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,12 +179,11 @@ def anchors(pieces: list[tuple[int, int, int, int, bytes]]) -> Entries:
     left = np.where(has_left, strings.hash(np.maximum(p - SIDE, 0), p) >> np.uint64(48) | np.uint64(1), np.uint64(0))
     tail = np.minimum(p + GRAM + SIDE, len(data))
     right = np.where(has_right, strings.hash(p + GRAM, tail) >> np.uint64(48) | np.uint64(1), np.uint64(0))
-    second = _mix(words[p + 8]) >> np.uint64(32)
-    span = strings.hash(s1, s2) >> np.uint64(32)
+    gram2 = (_mix(words[p + 8]) >> np.uint64(32)).astype(np.uint32)
     docs, offsets = np.array([x[0] for x in pieces], np.int64), np.array([x[1] for x in pieces])
     return Entries(
-        words[p], second << np.uint64(32) | span, (left << np.uint64(16) | right).astype(np.uint32), docs[piece],
-        s1 - begins[piece] + offsets[piece], s2 - s1,
+        words[p], gram2, strings.hash(s1, s2), (left << np.uint64(16) | right).astype(np.uint32), docs[piece],
+        s1 - begins[piece] + offsets[piece], (s2 - s1).astype(np.uint16),
     )
 
 
@@ -214,7 +220,7 @@ def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 
 def _spans(found: Entries, blocks: int, kind: int = _SPAN) -> list[tuple[int, int, bytes]]:
     """Places packed by block of the document; only doc, start and size matter."""
-    bare = Entries(*(np.zeros_like(x) for x in (found.k1, found.id2, found.id3)), found.doc, found.start, found.size)
+    bare = Entries(*(np.zeros_like(x) for x in (found.k1, found.gram2, found.id2, found.id3)), found.doc, found.start, found.size)
     return [(kind, b, bare.take(at).pack()) for b, at in _grouped(_block(found.doc, blocks))] if len(found) else []
 
 
@@ -224,7 +230,7 @@ def _settle(found: Entries, blocks: int) -> list[tuple[int, int, bytes]]:
     first = np.flatnonzero(found.firsts())
     owner = np.repeat(found.doc[first], np.diff(np.append(first, len(found))))
     sent = found.take(found.doc == owner)
-    place = (_mix(sent.k1 + (sent.id2 >> np.uint64(32)) * _C3) % np.uint64(blocks)).astype(np.int64)
+    place = (_mix(sent.k1 + sent.gram2.astype(np.uint64) * _C3) % np.uint64(blocks)).astype(np.int64)
     return [(_INDEX, b, sent.take(at).pack()) for b, at in _grouped(place)] + _spans(found.take(found.doc > owner), blocks)
 
 
@@ -232,7 +238,7 @@ def _earlier(level: Entries, batch: Entries) -> np.ndarray:
     """Merge-scan: the level's doc for each entry of an ordered batch, or the largest number."""
     both = Entries.join([level, batch])
     of_batch = np.repeat([0, 1], [len(level), len(batch)])
-    order = np.lexsort((of_batch, both.id3, both.id2, both.k1))
+    order = np.lexsort((of_batch, both.id3, both.id2, both.gram2, both.k1))
     both = both.take(order)
     first = np.flatnonzero(both.firsts())
     head = np.where(order[first] < len(level), both.doc[first], np.iinfo(np.int64).max)
@@ -273,10 +279,9 @@ def index_family(found: Entries) -> tuple[Entries, Entries]:
 def _edges(known: Entries) -> Entries:
     """Spans that may share a window with another document's: same gram and same bytes on one side."""
     ask = np.zeros(len(known), bool)
-    gram2 = known.id2 >> np.uint64(32)
     for side in (known.id3 >> np.uint32(16), known.id3 & np.uint32(0xFFFF)):
-        order = np.lexsort((known.doc, side, gram2, known.k1))
-        k1, k2, x, doc = known.k1[order], gram2[order], side[order], known.doc[order]
+        order = np.lexsort((known.doc, side, known.gram2, known.k1))
+        k1, k2, x, doc = known.k1[order], known.gram2[order], side[order], known.doc[order]
         new = np.ones(len(order), bool)
         new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]) | (x[1:] != x[:-1])
         first = np.flatnonzero(new)
@@ -346,10 +351,10 @@ def _windows(blocks: int):
         begins, n = np.cumsum(sizes) - sizes, sizes - MATCH + 1
         at = np.repeat(begins - (np.cumsum(n) - n), n) + np.arange(n.sum())
         shift = at - np.repeat(begins, n)
-        zero = np.zeros(len(at), np.uint32)
+        whole, zero = Strings(data).hash(at, at + MATCH), np.zeros(len(at), np.uint32)
         found = Entries(
-            _words8(data)[at], Strings(data).hash(at, at + MATCH), zero, np.repeat(np.array([c[0] for c in cut], np.int64), n),
-            np.repeat(np.array([c[1] for c in cut]), n) + shift, np.full(len(at), MATCH),
+            _words8(data)[at], (whole >> np.uint64(32)).astype(np.uint32), whole, zero, np.repeat(np.array([c[0] for c in cut], np.int64), n),
+            np.repeat(np.array([c[1] for c in cut]), n) + shift, np.full(len(at), MATCH, np.uint16),
         )
         return pa.Table.from_batches([_batch(_settle(found, blocks))])
 
