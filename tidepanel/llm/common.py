@@ -58,3 +58,18 @@ def running_total(values: Column, block: int = 256) -> Column:
             ),
         )
     )
+
+
+def many_to_one(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", heavy: int = 1024) -> DataFrame:
+    """Join of a stored table with one whose key columns are unique, safe against hot keys.
+
+    Keys that hold more than 1/heavy of the left rows, fewer than ``heavy`` by arithmetic, are joined by
+    broadcast; all others meet in a shuffle, where none has more than that share of the rows.
+    """
+    total = left.count()
+    hot = left.groupBy(*on).count().where(F.col("count") * heavy > total).select(*on)
+    few = F.broadcast(right.join(F.broadcast(hot), on, "left_semi"))
+    return (
+        left.join(F.broadcast(hot), on, "left_semi").join(few, on, how)
+        .unionByName(left.join(F.broadcast(hot), on, "left_anti").join(right.join(F.broadcast(hot), on, "left_anti"), on, how))
+    )

@@ -6,10 +6,11 @@ from collections.abc import Callable
 from fractions import Fraction
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidepanel.llm import (
-    byte_bpe, chat_format, decontaminate, line_dedup, lz_fingerprint, near_dedup, quality, secret_scan, sharding, suffix_dedup,
+    byte_bpe, chat_format, collocations, decontaminate, line_dedup, lz_fingerprint, near_dedup, packing, prefix_trie, quality, secret_scan,
+    sharding, suffix_dedup,
 )
 from tidepanel.llm.common import table
 
@@ -125,10 +126,10 @@ def op9_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [
-        F.size(F.filter("base", lambda b, k=k: b["kind"] == k)).cast("bigint").alias(f"n_{name}")
-        for k, name in enumerate(secret_scan.KINDS[:3])
-    ]
+    def of_kind(k: int) -> Column:
+        return F.size(F.filter("base", lambda b: b["kind"] == k)).cast("bigint")
+
+    counts = [of_kind(k).alias(f"n_{name}") for k, name in enumerate(secret_scan.KINDS[:3])]
     return found.select(
         "doc_id", *counts, F.sha2(secret_scan.as_text(F.col("base")), 256).alias("base_sha256"),
         secret_scan.as_text(F.concat("base", "found")).alias("spans"),
@@ -178,3 +179,83 @@ def op7_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), digest_only=True)
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("text_bytes").cast("string").alias("kept_sha256"))
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(prefix_trie.share_openings(table(spark, sf_dir, "conversations")))
+
+
+# DuckDB has no crc32: the digits go through its state one after the other.
+ORACLES["op11_prefix_trie"] = f"""
+WITH RECURSIVE own AS (
+  SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}}
+                       ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+digits AS (
+  SELECT conv_id, 4294967295::BIGINT AS state, CAST(conv_id AS VARCHAR) AS rest FROM own
+  UNION ALL
+  SELECT conv_id, list_reduce([xor(state, ascii(rest[1])::BIGINT), 0, 0, 0, 0, 0, 0, 0, 0],
+           lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END), rest[2:]
+  FROM digits WHERE rest <> ''),
+shared AS (SELECT conv_id, xor(state, 4294967295) % 4 AS h FROM digits WHERE rest = ''),
+rebuilt AS (
+  SELECT o.conv_id, coalesce(b.turns, [])[1:h] || o.turns[h + 1:] AS turns
+  FROM own o JOIN shared USING (conv_id) LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 20),
+prefixes AS (SELECT conv_id, turns, d, turns[1:d] AS node FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM rebuilt)),
+nodes AS (
+  SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(turns) = d), '')) AS ends_sha256,
+         CASE WHEN d > 0 THEN len(regexp_extract_all(node[d].text, '[^\x20\x09-\x0D]+')) ELSE 0 END AS words
+  FROM prefixes GROUP BY node, d),
+edges AS (
+  SELECT c.node, c.d, p.conv_id AS parent_conv_id, p.node AS parent FROM nodes c JOIN nodes p ON p.d = c.d - 1 AND p.node = c.node[1:c.d - 1]),
+widths AS (SELECT parent AS node, count(*) AS n_children FROM edges GROUP BY 1),
+below AS (
+  SELECT t.node, sum((s.n_convs - 1) * s.words) AS saved_tokens, count(*) FILTER (w.node IS NULL) AS n_leaves
+  FROM nodes s LEFT JOIN widths w ON w.node = s.node JOIN nodes t ON t.d <= s.d AND t.node = s.node[1:t.d] GROUP BY 1)
+SELECT conv_id, d AS depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+FROM nodes JOIN below USING (node) LEFT JOIN widths USING (node) LEFT JOIN edges USING (node, d)"""
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(spark, table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_collocations"] = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM worded GROUP BY lang),
+counts AS (
+  SELECT lang, m, phrase, count(*) AS f
+  FROM (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase
+        FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM worded, range(1, 6) AS sizes(m) WHERE len(w) >= m))
+  GROUP BY ALL HAVING count(*) >= 100),
+candidates AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE m > 1),
+inside AS (
+  SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT *, unnest(range(1, m - k + 2)) AS i FROM candidates, range(2, 5) AS sizes(k) WHERE k < m) GROUP BY ALL),
+free AS (SELECT c.* FROM candidates c LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a),
+cuts AS (SELECT *, array_to_string(w[1:k], ' ') AS p1, array_to_string(w[k + 1:], ' ') AS p2 FROM (SELECT *, unnest(range(1, m)) AS k FROM free)),
+scored AS (
+  SELECT lang, cuts.phrase, a, x.f AS l, y.f AS r, n, k, CAST((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM cuts JOIN counts x USING (lang) JOIN counts y USING (lang) JOIN totals USING (lang)
+  WHERE x.phrase = p1 AND y.phrase = p2),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER w AS rank, phrase, a, l, r, n, score FROM weakest
+WINDOW w AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY rank <= 2000"""
+
+
+@query
+def op13_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket", "batch",
+    )
