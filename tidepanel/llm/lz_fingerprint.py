@@ -40,16 +40,14 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def phrase_ends(text: str) -> list[int]:
-    """End offsets of the phrases; a tail that is already a phrase adds none.
+def _parse(text: str, seen: set[str], at: int, size: int, stop: int, ends: list[int]) -> tuple[int, int]:
+    """Go on with the phrases from ``at`` while they end by ``stop``; the place and length to go on from.
 
     The dictionary holds every prefix of its phrases, so the length of the next phrase is found by
     stepping from the length of the last one.
     """
-    seen: set[str] = set()
-    ends: list[int] = []
-    at, n, size = 0, len(text), 1
-    while at < n:
+    n = len(text)
+    while at < stop:
         if text[at : at + size] in seen:
             size += 1
             while text[at : at + size] in seen and at + size <= n:
@@ -57,20 +55,44 @@ def phrase_ends(text: str) -> list[int]:
         else:
             while size > 1 and text[at : at + size - 1] not in seen:
                 size -= 1
-        if at + size > n:
+        if at + size > stop:
             break
         seen.add(text[at : at + size])
         at += size
         ends.append(at)
+    return at, size
+
+
+def phrase_ends(text: str) -> list[int]:
+    """End offsets of the phrases; a tail that is already a phrase adds none."""
+    ends: list[int] = []
+    _parse(text, set(), 0, 1, len(text), ends)
     return ends
 
 
+def ends_of_both(text: str, edited: str, common: int) -> tuple[list[int], list[int]]:
+    """Phrase ends of two texts that agree up to ``common``; what they share is parsed once."""
+    seen: set[str] = set()
+    ends: list[int] = []
+    at, size = _parse(text, seen, 0, 1, common, ends)
+    own = ends.copy()
+    _parse(text, seen, at, size, len(text), own)
+    starts = [at, *own[len(ends) :]]
+    seen.difference_update([text[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)])
+    _parse(edited, seen, at, size, len(edited), ends)
+    return own, ends
+
+
 def minima(text: str | None, k: int = MINIMA) -> np.ndarray:
     """The k smallest distinct 32-bit phrase hashes, ascending."""
+    return minima_of(text, phrase_ends(text), k) if text else np.empty(0, np.uint32)
+
+
+def minima_of(text: str, phrases: list[int], k: int = MINIMA) -> np.ndarray:
     if not text:
         return np.empty(0, np.uint32)
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    ends = np.array(phrase_ends(text), np.int64)
+    ends = np.array(phrases, np.int64)
     starts = np.concatenate(([0], ends[:-1]))
     up, down = _tables(len(points) + 1)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((points + np.uint64(1)) * up[: len(points)], dtype=np.uint64)))
@@ -175,22 +197,26 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for batch in batches:
-                for peek, i, t in zip(batch["peek"].to_pylist(), batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                    yield peek, i, t, minima(t)
+                yield from zip(batch["peek"].to_pylist(), batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True)
 
         out: list[tuple] = []
-        for (_, doc_id, text, own), (_, _, after, follows) in pairs(rows()):
+        held, after = None, None
+        for (_, doc_id, text), (_, _, after) in pairs(rows()):
             half = len(text) // 2
             edited = text[: len(text) - half] + after[:half]
-            changed = minima(edited)
-            out.append((
+            phrases, changed = ends_of_both(text, edited, len(text) - half)
+            own, changed = minima_of(text, phrases), minima_of(edited, changed)
+            if held is not None:
+                out.append((*held[:-1], likeness_of(held[-1], own)))
+            held = (
                 doc_id, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), pack(own),
-                pack(changed), likeness_of(own, changed), likeness_of(own, follows),
-            ))
+                pack(changed), likeness_of(own, changed), own,
+            )
             if len(out) == 2000:
                 yield _batch(out)
                 out = []
-        if out:
+        if held is not None:
+            out.append((*held[:-1], likeness_of(held[-1], minima(after))))
             yield _batch(out)
 
     return in_id_order(docs).select("peek", "doc_id", "text").mapInArrow(walk, SUCCESSOR_SCHEMA)
