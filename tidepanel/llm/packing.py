@@ -15,9 +15,10 @@ run again. A task holds one text with its ids, an Arrow batch of output and a bo
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
@@ -26,11 +27,18 @@ from tidepanel.session import scratch_path
 
 SEQUENCE = 4096
 END_ID = 2
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 CACHED_LENGTH = 48
 OUT_BYTES = 8 << 20
 
 
+def _bytes(ids: list[int]) -> bytes:
+    values = array("I", ids)
+    if sys.byteorder == "big":
+        values.byteswap()
+    return values.tobytes()
+
+
 class WordIds(dict):
     """Token ids of white-space separated words, as little-endian 32-bit bytes.
 
@@ -42,7 +50,7 @@ class WordIds(dict):
 
     # Contractions and classes of the vocabulary's own splitting pattern, within Latin-1.
     _PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
-    _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿ]+|[0-9]|[^a-zà-öø-ÿ0-9]+")
+    _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -61,10 +69,11 @@ class WordIds(dict):
         return all(self._split(s) == self._whole(s) for s in samples)
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _model(self, part: str) -> bytes:
-        return np.array([t.id for t in self.tokenizer.model.tokenize(part.translate(self._spelled))], "<u4").tobytes()
+        spelled = part if part.isascii() else part.translate(self._spelled)
+        return _bytes([t.id for t in self.tokenizer.model.tokenize(spelled)])
 
     def _split(self, word: str) -> bytes:
         return b"".join(map(self._model, self._PARTS.findall(word.lower())))
@@ -124,7 +133,7 @@ def pieces(docs: DataFrame, vocabulary: str, most: int = SEQUENCE, end_id: int =
     """Pieces with their ids; ``part`` is the task and ``slot`` numbers its pieces of equal length from 0."""
     if most & (most - 1):
         raise ValueError("the longest sequence must be a power of two")
-    end = np.array([end_id], "<u4").tobytes()
+    end = _bytes([end_id])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part, slots, rows, held = word_ids(vocabulary), TaskContext.get().partitionId(), {}, [], 0
