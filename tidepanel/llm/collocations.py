@@ -32,8 +32,8 @@ from tidepanel.llm.suffix_dedup import Strings
 LONGEST = 5
 THRESHOLD = 100
 CHUNK_BYTES = 2 << 20
-FLUSH_ENTRIES = 6_000_000
-FLUSH_PHRASES = 400_000
+FLUSH_ENTRIES = 4_000_000
+FLUSH_PHRASES = 250_000
 PARTITION_BYTES = 8 << 20
 HASH_BITS, FILTER_BITS = 48, 26
 NO_LANGUAGE = "und"
@@ -232,10 +232,8 @@ def _segments(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     )
 
 
-def frequent_filter(texts: DataFrame, threshold: int) -> np.ndarray:
+def frequent_filter(texts: DataFrame, threshold: int, parts: int) -> np.ndarray:
     """Bits of all sequences that may occur ``threshold`` times; 2**FILTER_BITS bits, whatever the input."""
-    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = min(1 << (64 - HASH_BITS - 1), max(1, -(-int(size) // PARTITION_BYTES)))
     sent = texts.mapInArrow(_summaries(parts), "part int, mass bigint, blob binary")
     weighed = sent.select("part", "blob", F.sum("mass").over(Window.partitionBy("part")).alias("total"))
     bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
@@ -246,28 +244,43 @@ def frequent_filter(texts: DataFrame, threshold: int) -> np.ndarray:
     return bits
 
 
-def _count(shared, threshold_names: tuple[str, ...] = ("lang", "phrase", "words", "f")):
-    """Second pass: exact counts of the sequences whose bit is set; a row without phrase counts all words."""
-    def send(counts: dict[tuple[int, int, bytes], int], names: list[str]) -> pa.RecordBatch:
+_COUNTS = "part int, lang array<string>, phrase array<string>, words array<int>, f array<bigint>"
+_COUNTED = "lang string, phrase string, words int, f bigint"
+
+
+def _count(shared, parts: int):
+    """Second pass: exact counts of the sequences whose bit is set, by partition of the hash range.
+
+    A sequence without words and phrase counts all words of its language.
+    """
+    def send(counts: dict[tuple[int, int, int, bytes], int], names: list[str]) -> pa.RecordBatch:
+        keys = sorted(counts)
+        heads = [i for i, k in enumerate(keys) if not i or k[0] != keys[i - 1][0]]
+        ends = pa.array([*heads, len(keys)], pa.int32())
+        columns = [
+            pa.array([names[k[1]] for k in keys], pa.string()), pa.array([k[3].decode("utf-8", "surrogatepass") if k[2] else None for k in keys], pa.string()),
+            pa.array([k[2] for k in keys], pa.int32()), pa.array([counts[k] for k in keys], pa.int64()),
+        ]
         return pa.RecordBatch.from_arrays(
-            [
-                pa.array([names[k[0]] for k in counts], pa.string()), pa.array([k[2].decode("utf-8", "surrogatepass") if k[1] else None for k in counts], pa.string()),
-                pa.array([k[1] for k in counts], pa.int32()), pa.array(list(counts.values()), pa.int64()),
-            ],
-            names=list(threshold_names),
+            [pa.array([keys[i][0] for i in heads], pa.int32()), *(pa.ListArray.from_arrays(ends, c) for c in columns)],
+            names=["part", "lang", "phrase", "words", "f"],
         )
 
+    def place(hashes: np.ndarray) -> np.ndarray:
+        return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, languages, counts = shared.value, Languages(), {}
         for block in _blocks(batches, languages):
             for number, n in zip(*np.unique(block.language, return_counts=True), strict=True):
-                counts[int(number), 0, b""] = counts.get((int(number), 0, b""), 0) + int(n)
+                key = (int(place(languages.seeds[number : number + 1])[0]), int(number), 0, b"")
+                counts[key] = counts.get(key, 0) + int(n)
             for n, at, hashes in block.sequences(languages.seeds):
                 spot = (hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
                 keep = np.flatnonzero((bits[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1)
-                _, first, times = np.unique(hashes[keep], return_index=True, return_counts=True)
-                for i, f in zip(at[keep[first]].tolist(), times.tolist(), strict=True):
-                    key = (int(block.language[i]), n, block.phrase(i, n))
+                found, first, times = np.unique(hashes[keep], return_index=True, return_counts=True)
+                for part, i, f in zip(place(found).tolist(), at[keep[first]].tolist(), times.tolist(), strict=True):
+                    key = (part, int(block.language[i]), n, block.phrase(i, n))
                     counts[key] = counts.get(key, 0) + f
             if len(counts) >= FLUSH_PHRASES:
                 yield send(counts, list(languages))
@@ -278,15 +291,40 @@ def _count(shared, threshold_names: tuple[str, ...] = ("lang", "phrase", "words"
     return run
 
 
+def _add_counts(threshold: int):
+    """Partitions of the hash range, one after the other: sequences with their whole counts."""
+    def done(counts: dict[tuple, int]) -> pa.RecordBatch:
+        kept = [(*k, f) for k, f in counts.items() if k[1] is None or f >= threshold]
+        kinds = (pa.string(), pa.string(), pa.int32(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in kept], k) for i, k in enumerate(kinds)], names=["lang", "phrase", "words", "f"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, counts = None, {}
+        for batch in batches:
+            for row in range(len(batch)):
+                if (p := batch["part"][row].as_py()) != part:
+                    if counts:
+                        yield done(counts)
+                    part, counts = p, {}
+                columns = (batch[c][row].as_py() for c in ("lang", "phrase", "words", "f"))
+                for lang, phrase, words, f in zip(*columns, strict=True):
+                    counts[lang, phrase, words] = counts.get((lang, phrase, words), 0) + f
+        if counts:
+            yield done(counts)
+
+    return run
+
+
 def frequent_sequences(spark: SparkSession, docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, f) of all sequences of 1 to 5 words with f >= threshold, and (lang, n) of all words."""
     texts = docs.select(F.coalesce("lang", F.lit(NO_LANGUAGE)).alias("lang"), "text")
-    shared = spark.sparkContext.broadcast(frequent_filter(texts, threshold))
-    partial = texts.mapInArrow(_count(shared), "lang string, phrase string, words int, f bigint")
-    summed = materialize(
-        partial.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where(F.col("phrase").isNull() | (F.col("f") >= threshold)), "sequences"
-    )
-    return summed.where("phrase is not null"), summed.where("phrase is null").select("lang", F.col("f").alias("n"))
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = min(1 << (64 - HASH_BITS - 1), max(1, -(-int(size) // PARTITION_BYTES)))
+    shared = spark.sparkContext.broadcast(frequent_filter(texts, threshold, parts))
+    sent = texts.mapInArrow(_count(shared, parts), _COUNTS)
+    whole = sent.repartition("part").sortWithinPartitions("part").mapInArrow(_add_counts(threshold), _COUNTED)
+    stored = materialize(whole, "sequences")
+    return stored.where("phrase is not null"), stored.where("phrase is null").select("lang", F.col("f").alias("n"))
 
 
 def _slices(least: int, whole: bool = False):
