@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidepanel import fixed_values as fv
 from tidepanel.functions.timefn import MICROS, micros
-from tidepanel.operators.registry import accepted_events, exactly_one
 from tidepanel.schemas import require_columns
 
 _SNAPSHOT = [
@@ -19,7 +20,15 @@ _SNAPSHOT = [
     "scope_classification_status", "scope_classification_provenance", "exchange_info_onboard_at",
     "exchange_info_delivery_at", "latest_known_status", "metadata_acquired_at",
 ]
+_FLAGS = ["is_crypto_underlying", "is_stablecoin_underlying", "is_leveraged_token"]
+_STATUSES = ["stablecoin_evidence_status", "leveraged_evidence_status"]
 _AGE = 30 * 86_400 * MICROS
+_INTERVAL = [
+    "symbol", "lifecycle_episode_id", "age_live_anchor_at", "anchor_basis", "eligible_from",
+    "listing_article_id", "delisting_announcement_published_at", "delisting_article_id",
+    "last_trading_at", "termination_basis", "eligibility_end_at", "interval_evidence_status",
+    "conflicts",
+]
 
 
 @dataclass(frozen=True)
@@ -43,69 +52,134 @@ class CatalogInputs:
     search_completed: bool = True
 
 
-def _prefixed(df: DataFrame, key: str, columns: list[str], prefix: str) -> DataFrame:
-    return df.select(key, *[F.col(c).alias(prefix + c) for c in columns])
+def gather(key: str, sides: Sequence[tuple[str, DataFrame, Sequence[str], bool]]) -> DataFrame:
+    """Bring any number of narrow sides of one key together in one shuffle.
+
+    Each side is (name, rows, columns, repeats). Rows become (key, one struct named after the side), all
+    are united and grouped once: a side that does not repeat gives its struct or NULL, one that does
+    an array of its structs. In place of a chain of joins, whose every side would be shuffled and sorted.
+    """
+    tagged = [rows.select(key, F.struct(*columns).alias(name)) for name, rows, columns, _ in sides]
+    united = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), tagged)
+    return united.groupBy(key).agg(
+        *[(F.collect_list(name) if repeats else F.any_value(name, True)).alias(name) for name, _, _, repeats in sides]
+    )
+
+
+def _only(matches: Column) -> Column:
+    """The single match, or NULL for none and for several."""
+    return F.when(F.size(matches) == 1, F.get(matches, F.lit(0)))
+
+
+def _sides(inputs: CatalogInputs) -> DataFrame:
+    """Every side of every archived symbol, with its reviewed episodes folded into ``__adjudicated``.
+
+    What repeats are an instrument's own articles, episodes and cutoffs: a handful each.
+    """
+    listings = inputs.evidence.filter(F.col("event_type") == "listing").withColumn("accepted", F.col("match_status") == "accepted")
+    unclear = inputs.evidence.filter((F.col("event_type") == "delisting") & F.col("match_status").contains("ambiguous"))
+    trades = inputs.episode_trades.withColumn("symbol", F.substring_index("lifecycle_episode_id", ":", 1))
+    sides = [
+        ("arch", inputs.archive, ["first_archive_month", "last_archive_month", "archive_discovery_provenance"], False),
+        ("s", inputs.snapshot, _SNAPSHOT, False),
+        (
+            "listed", listings,
+            ["article_code", "article_published_at", "official_event_at", "event_time_evidence_status", "accepted"], True,
+        ),
+        ("unclear", unclear, ["match_status"], False),
+        ("trade", inputs.first_trades, ["earliest_trade_timestamp", "evidence_status"], False),
+        (
+            "cut", inputs.cutoffs,
+            ["lifecycle_episode_id", "review_status", "official_publication_timestamp", "article_code", "terminal_last_trading_at"], True,
+        ),
+        ("opened", trades, ["lifecycle_episode_id", "earliest_trade_timestamp"], True),
+        (
+            "episode", inputs.episodes,
+            ["position", "lifecycle_episode_id", "listing_article_id", "terminated_at", "termination_basis"], True,
+        ),
+        ("refused", inputs.rejected, ["position", "article_id", "reason"], True),
+    ]
+    if inputs.scope is not None:
+        columns = ["base_asset", "quote_asset", "product_scope", "scope_audit_status", *_FLAGS, *_STATUSES]
+        sides.append(("r", inputs.scope.withColumnRenamed("contract_identity", "symbol"), columns, False))
+    sided = gather("symbol", sides).filter("arch IS NOT NULL")
+    reasons = F.transform(F.sort_array(F.transform("refused", lambda r: F.struct(r["position"], r["reason"]))), lambda r: r["reason"])
+    known = sided.select("*", reasons.alias("reasons"), F.array_sort("episode").alias("episodes"))
+
+    def interval(e: Column) -> Column:
+        same = lambda x: x["lifecycle_episode_id"] == e["lifecycle_episode_id"]
+        anchor = F.get(F.filter("opened", same), F.lit(0))["earliest_trade_timestamp"]
+        cut = F.get(F.filter("cut", same), F.lit(0))
+        published, last = cut["official_publication_timestamp"], F.coalesce(e["terminated_at"], cut["terminal_last_trading_at"])
+        fields = [
+            F.col("symbol"), e["lifecycle_episode_id"], anchor, F.lit(fv.ANCHOR_BASIS), F.timestamp_micros(micros(anchor) + F.lit(_AGE)),
+            e["listing_article_id"], published, cut["article_code"], last, e["termination_basis"], F.coalesce(published, last),
+            F.lit("reviewed_resolved"), F.col("reasons"),
+        ]
+        return F.struct(*[f.alias(n) for f, n in zip(fields, _INTERVAL, strict=True)])
+
+    first = F.concat("symbol", F.lit(":1"))
+    position = lambda of: lambda e: (e["position"] == 1) & e[of].isNotNull()
+    cited = F.get(F.filter("episodes", position("listing_article_id")), F.lit(0))["listing_article_id"]
+    demoted = F.get(F.filter("refused", position("article_id")), F.lit(0))["article_id"]
+    return known.select(
+        "*", F.when(F.size("episodes") > 0, F.transform("episodes", interval)).alias("__adjudicated"),
+        _only(F.filter("listed", lambda x: x["accepted"])).alias("l"),
+        _only(F.filter("listed", lambda x: x["article_code"] == cited)).alias("a"),
+        _only(F.filter("listed", lambda x: x["article_code"] == demoted)).alias("d"),
+        F.get(F.filter("cut", lambda x: x["lifecycle_episode_id"] == first), F.lit(0)).alias("c"),
+    )
 
 
 def _scoped_base(inputs: CatalogInputs) -> DataFrame:
     """Archive rows with snapshot, registry (which overrides) and single accepted listing."""
-    snapshot = _prefixed(inputs.snapshot, "symbol", _SNAPSHOT, "s_").withColumn("__now", F.lit(True))
-    base = inputs.archive.join(snapshot, "symbol", "left")
-    flags = ["is_crypto_underlying", "is_stablecoin_underlying", "is_leveraged_token"]
-    statuses = ["stablecoin_evidence_status", "leveraged_evidence_status"]
-    if inputs.scope is not None:
-        scope = _prefixed(
-            inputs.scope.withColumnRenamed("contract_identity", "symbol"),
-            "symbol",
-            ["base_asset", "quote_asset", "product_scope", "scope_audit_status", *flags, *statuses],
-            "r_",
-        ).withColumn("__reviewed", F.lit(True))
-        base = base.join(scope, "symbol", "left")
-    reviewed = F.col("__reviewed").isNotNull() if inputs.scope is not None else F.lit(False)
-    now = F.col("__now").isNotNull()
+    base = _sides(inputs)
+    flags, statuses = _FLAGS, _STATUSES
+    reviewed = F.col("r").isNotNull() if inputs.scope is not None else F.lit(False)
+    now = F.col("s").isNotNull()
 
     def override(name: str) -> Column:
         if inputs.scope is None:
-            return F.col(f"s_{name}")
-        return F.when(reviewed, F.col(f"r_{name}")).otherwise(F.col(f"s_{name}"))
+            return F.col(f"s.{name}")
+        return F.when(reviewed, F.col(f"r.{name}")).otherwise(F.col(f"s.{name}"))
 
     chosen = {name: override(name) for name in flags}
     for name in statuses:
         chosen[name] = F.when(now | reviewed, override(name)).otherwise(F.lit(fv.UNRESOLVED))
     for name in ("base_asset", "quote_asset"):
         chosen[name] = (
-            F.coalesce(F.col(f"r_{name}"), F.col(f"s_{name}")) if inputs.scope is not None
-            else F.col(f"s_{name}")
+            F.coalesce(F.col(f"r.{name}"), F.col(f"s.{name}")) if inputs.scope is not None
+            else F.col(f"s.{name}")
         )
     chosen["quote_asset"] = F.when(
         ~now & chosen["quote_asset"].isNull() & F.col("symbol").endswith(fv.QUOTE_ASSET),
         F.lit(fv.QUOTE_ASSET),
     ).otherwise(chosen["quote_asset"])
-    status = F.when(now, F.col("s_scope_classification_status")).otherwise(fv.UNRESOLVED)
+    status = F.when(now, F.col("s.scope_classification_status")).otherwise(fv.UNRESOLVED)
     if inputs.scope is not None:
         status = F.when(
             reviewed,
-            F.when(F.col("r_scope_audit_status") == "complete", "resolved_reviewed_finite_universe")
+            F.when(F.col("r.scope_audit_status") == "complete", "resolved_reviewed_finite_universe")
             .otherwise(fv.UNRESOLVED),
         ).otherwise(status)
-        disposition = F.when(reviewed, F.col("r_product_scope")).otherwise(fv.UNRESOLVED)
+        disposition = F.when(reviewed, F.col("r.product_scope")).otherwise(fv.UNRESOLVED)
         provenance = F.when(reviewed, "candidate_set_bound_historical_scope_registry").otherwise(
-            F.col("s_scope_classification_provenance")
+            F.col("s.scope_classification_provenance")
         )
     else:
-        crypto = F.coalesce("s_is_crypto_underlying", F.lit(False))
-        excluded = F.coalesce("s_is_stablecoin_underlying", F.lit(False)) | F.coalesce(
-            "s_is_leveraged_token", F.lit(False)
+        crypto = F.coalesce("s.is_crypto_underlying", F.lit(False))
+        excluded = F.coalesce("s.is_stablecoin_underlying", F.lit(False)) | F.coalesce(
+            "s.is_leveraged_token", F.lit(False)
         )
         disposition = F.when(
-            now & (F.col("s_scope_classification_status") != fv.UNRESOLVED),
+            now & (F.col("s.scope_classification_status") != fv.UNRESOLVED),
             F.when(F.col("symbol") == fv.BENCHMARK_SYMBOL, fv.BENCHMARK_ONLY)
             .when(crypto & ~excluded, fv.IN_SCOPE)
             .otherwise("excluded"),
         ).otherwise(fv.UNRESOLVED)
-        provenance = F.col("s_scope_classification_provenance")
+        provenance = F.col("s.scope_classification_provenance")
     conflict = {
-        name: F.coalesce(F.col(f"s_{name}"), F.lit("none"))
+        name: F.coalesce(F.col(f"s.{name}"), F.lit("none"))
         for name in ("stablecoin_conflict_status", "leveraged_conflict_status")
     }
     plain = [
@@ -113,54 +187,31 @@ def _scoped_base(inputs: CatalogInputs) -> DataFrame:
         "exchange_info_onboard_at", "exchange_info_delivery_at", "latest_known_status",
         "metadata_acquired_at",
     ]
-    listing = accepted_events(
-        inputs.evidence, "listing",
-        ["article_code", "article_published_at", "official_event_at", "event_time_evidence_status"],
-    ).select(
-        "symbol",
-        F.col("article_code").alias("l_code"),
-        F.col("article_published_at").alias("l_published"),
-        F.col("official_event_at").alias("l_event"),
-        F.col("event_time_evidence_status").alias("l_status"),
-    )
-    trades = inputs.first_trades.select(
-        "symbol",
-        F.col("earliest_trade_timestamp").alias("first_observed_trade_at"),
-        F.col("evidence_status").alias("first_observed_trade_evidence_status"),
-    )
-    ambiguous = (
-        inputs.evidence.filter(
-            (F.col("event_type") == "delisting") & F.col("match_status").contains("ambiguous")
-        )
-        .select("symbol").distinct().withColumn("__ambiguous", F.lit(True))
-    )
-    first_cutoff = inputs.cutoffs.filter(
-        F.col("lifecycle_episode_id") == F.concat("symbol", F.lit(":1"))
-    ).select(
-        "symbol",
-        F.lit(True).alias("__cutoff"),
-        F.col("review_status").alias("c_status"),
-        F.col("official_publication_timestamp").alias("c_published"),
-        F.col("terminal_last_trading_at").alias("c_terminal"),
-        F.col("article_code").alias("c_code"),
-    )
-    return (
-        base.select(
-            "symbol", "first_archive_month", "last_archive_month", "archive_discovery_provenance",
-            now.alias("present_in_current_exchange_info"),
-            F.coalesce("s_market_family", F.lit(fv.MARKET_FAMILY)).alias("market_family"),
-            F.coalesce("s_product_family", F.lit(fv.PRODUCT_FAMILY)).alias("product_family"),
-            *[F.col(f"s_{c}").alias(c) for c in plain],
-            *[expr.alias(name) for name, expr in chosen.items()],
-            *[expr.alias(name) for name, expr in conflict.items()],
-            status.alias("scope_classification_status"),
-            provenance.alias("scope_classification_provenance"),
-            disposition.alias("scope_disposition"),
-        )
-        .join(listing, "symbol", "left")
-        .join(trades, "symbol", "left")
-        .join(ambiguous, "symbol", "left")
-        .join(first_cutoff, "symbol", "left")
+    c = F.col("c")
+    return base.select(
+        "symbol", "arch.*",
+        now.alias("present_in_current_exchange_info"),
+        F.coalesce("s.market_family", F.lit(fv.MARKET_FAMILY)).alias("market_family"),
+        F.coalesce("s.product_family", F.lit(fv.PRODUCT_FAMILY)).alias("product_family"),
+        *[F.col(f"s.{p}").alias(p) for p in plain],
+        *[expr.alias(name) for name, expr in chosen.items()],
+        *[expr.alias(name) for name, expr in conflict.items()],
+        status.alias("scope_classification_status"),
+        provenance.alias("scope_classification_provenance"),
+        disposition.alias("scope_disposition"),
+        *[
+            F.col(side)[field].alias(f"{side}_{name}")
+            for side in ("l", "a", "d")
+            for field, name in (("article_code", "code"), ("article_published_at", "published"), ("official_event_at", "event"))
+        ],
+        F.col("l.event_time_evidence_status").alias("l_status"),
+        F.col("trade.earliest_trade_timestamp").alias("first_observed_trade_at"),
+        F.col("trade.evidence_status").alias("first_observed_trade_evidence_status"),
+        F.when(F.col("unclear").isNotNull(), True).alias("__ambiguous"),
+        F.when(c.isNotNull(), True).alias("__cutoff"),
+        c["review_status"].alias("c_status"), c["official_publication_timestamp"].alias("c_published"),
+        c["terminal_last_trading_at"].alias("c_terminal"), c["article_code"].alias("c_code"),
+        "__adjudicated",
     )
 
 
@@ -210,63 +261,18 @@ def adjudicated_intervals(inputs: CatalogInputs) -> DataFrame:
     )
 
 
-_INTERVAL = [
-    "symbol", "lifecycle_episode_id", "age_live_anchor_at", "anchor_basis", "eligible_from",
-    "listing_article_id", "delisting_announcement_published_at", "delisting_article_id",
-    "last_trading_at", "termination_basis", "eligibility_end_at", "interval_evidence_status",
-    "conflicts",
-]
-
-
 def catalog_merge(inputs: CatalogInputs) -> DataFrame:
     """One row per archived instrument with scope, anchors, states, readiness and intervals.
 
-    Precedence: registry over snapshot, adjudicated episodes over single events. Every side is
-    keyed by symbol; joins are left to Spark's size estimates.
+    Precedence: registry over snapshot, adjudicated episodes over single events. All sides are keyed
+    by symbol and meet in one shuffle.
     """
     require_columns(
         inputs.archive,
         ["symbol", "first_archive_month", "last_archive_month", "archive_discovery_provenance"],
         "archive observations",
     )
-    base = _scoped_base(inputs)
-    reviewed = adjudicated_intervals(inputs)
-    # Episodes per symbol are the reviewed relistings: a handful, bounded by hand review.
-    folded = reviewed.groupBy("symbol").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("position", F.struct(*_INTERVAL).alias("i")))),
-            lambda e: e["i"],
-        ).alias("__adjudicated")
-    )
-    launches = exactly_one(
-        inputs.evidence.filter(F.col("event_type") == "listing"),
-        ["symbol", "article_code"],
-        ["article_published_at", "official_event_at"],
-    )
-    first_listing = (
-        reviewed.filter("position = 1")
-        .select("symbol", F.col("listing_article_id").alias("article_code"))
-        .join(launches, ["symbol", "article_code"])
-        .select(
-            "symbol", F.col("article_code").alias("a_code"),
-            F.col("article_published_at").alias("a_published"),
-            F.col("official_event_at").alias("a_event"),
-        )
-    )
-    demoted = (
-        inputs.rejected.filter("position = 1")
-        .select("symbol", F.col("article_id").alias("article_code"))
-        .join(launches, ["symbol", "article_code"])
-        .select(
-            "symbol", F.col("article_code").alias("d_code"),
-            F.col("article_published_at").alias("d_published"),
-        )
-    )
-    row = (
-        base.join(folded, "symbol", "left")
-        .join(first_listing, "symbol", "left")
-        .join(demoted, "symbol", "left")
-    )
+    row = _scoped_base(inputs)
     adjudicated = F.col("__adjudicated").isNotNull()
     first = F.get("__adjudicated", F.lit(0))
     final = F.element_at("__adjudicated", -1)
@@ -409,7 +415,7 @@ def catalog_merge(inputs: CatalogInputs) -> DataFrame:
     ).drop(
         "__adjudicated", "__delisting_ready", "__trading", "__in_research", "__cutoff", "__ambiguous",
         "l_code", "l_published", "l_event", "l_status", "c_status", "c_published", "c_terminal",
-        "c_code", "a_code", "a_published", "a_event", "d_code", "d_published",
+        "c_code", "a_code", "a_published", "a_event", "d_code", "d_published", "d_event",
     )
 
 
