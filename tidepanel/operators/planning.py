@@ -219,6 +219,16 @@ def archive_bounds(parsed: DataFrame) -> DataFrame:
     )
 
 
+def archive_observations(parsed: DataFrame) -> DataFrame:
+    """Every listed symbol with its monthly bounds; symbols with daily files only lie at the frontier."""
+    month = F.when(F.col("source_kind") == "monthly", F.col("source_period"))
+    return parsed.filter("symbol IS NOT NULL").groupBy("symbol").agg(
+        F.min(month).alias("first_archive_month"), F.max(month).alias("last_archive_month"),
+    ).withColumn(
+        "archive_discovery_provenance", F.when(F.col("first_archive_month").isNull(), fv.FRONTIER_ONLY).otherwise("observed")
+    )
+
+
 def observed_key_lists(parsed: DataFrame) -> DataFrame:
     """Sorted key list per symbol (one key per month: a list of a few hundred at most)."""
     keys = parsed.filter(F.col("source_kind") == "monthly").select("symbol", "object_key").distinct()

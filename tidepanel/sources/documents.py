@@ -24,12 +24,23 @@ _LISTING = T.StructType(
 def read_listing_pages(spark: SparkSession, path: str) -> DataFrame:
     """Saved object-listing XML pages, one row per page with its prefixes and keys as arrays."""
     pages = spark.read.format("xml").option("rowTag", "ListBucketResult").schema(_LISTING).load(path)
+    return _listing_rows(pages.select(F.col("_metadata.file_path").alias("source_path"), *_LISTING.names))
 
+
+def read_listing_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The same from text files with one page a line, so that a file may hold very many pages."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("source_path"), F.from_xml("value", _LISTING.simpleString()).alias("page")
+    )
+    return _listing_rows(lines.select("source_path", "page.*"))
+
+
+def _listing_rows(pages: DataFrame) -> DataFrame:
     def texts(column: str, field: str):
         return F.coalesce(F.col(f"{column}.{field}"), F.array().cast("array<string>"))
 
     return pages.select(
-        F.col("_metadata.file_path").alias("source_path"),
+        "source_path",
         F.col("Prefix").alias("prefix"),
         (F.col("IsTruncated") == "true").alias("truncated"),
         F.col("KeyCount").alias("declared_count"),
