@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidepanel import fixed_values as fv
 from tidepanel.functions import text as tx
+from tidepanel.session import materialize
 
 
 def symbols_per_article(articles: DataFrame, known: DataFrame) -> DataFrame:
@@ -51,10 +52,13 @@ def article_symbols(articles: DataFrame, known: DataFrame) -> DataFrame:
     )
 
 
-def _without(segment: Column, symbols: Column) -> Column:
-    bare = F.regexp_replace(F.regexp_replace(segment, fv.DATE_FIRST, " "), fv.TIME_FIRST, " ")
-    bare = F.aggregate(symbols, bare, lambda rest, s: F.replace(rest, s, F.lit(" ")))
-    return F.regexp_replace(bare, fv.ROW_FILLER, "")
+def _bare(segment: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(segment, fv.DATE_FIRST, " "), fv.TIME_FIRST, " ")
+
+
+def _rest(bare: Column, symbols: Column) -> Column:
+    """What is left of a segment without its time once symbols and filler are gone."""
+    return F.regexp_replace(F.aggregate(symbols, bare, lambda rest, s: F.replace(rest, s, F.lit(" "))), fv.ROW_FILLER, "")
 
 
 def _acts(segment: Column, launch: Column) -> Column:
@@ -68,59 +72,77 @@ def _acts(segment: Column, launch: Column) -> Column:
     ).otherwise(stated(["delist", "cease", "settle", "close", "terminate"], fv.DELIST_ACTION))
 
 
-def _anchored_hits(text: Column, one_line: Column, launch: Column, symbols: Column) -> Column:
-    """array<struct<symbol, at>>: every (symbol, time) the text ties to an action.
+def _read_segments(text: Column, one_line: Column, launch: Column) -> Column:
+    """What the segments of a text say, without the text: those with a symbol or an action, by number.
 
-    A time counts in a sentence holding the action, the symbol and exactly one time, or in a bare
-    symbol/time row below an action header. A header stays in force over bare rows and ends with
-    anything else; the fold over the segments of one article carries just that flag.
+    ``bare`` is set for a segment that is but a time and symbols, and holds no more than those symbols.
     """
     pieces = F.concat(tx.segments(text), tx.segments(one_line))
     # Most segments hold neither a symbol nor a time; plain substring tests settle them.
     read = F.transform(
         pieces,
-        lambda s: F.struct(
-            s.alias("segment"),
-            F.when(tx.may_name_symbols(s), F.array_intersect(tx.symbols_in_order(s), symbols))
-            .otherwise(F.array().cast("array<string>"))
-            .alias("found"),
-            F.when(tx.may_hold_instants(s), tx.instants_in_order(s))
-            .otherwise(F.array().cast("array<timestamp>"))
-            .alias("times"),
+        lambda s, i: F.struct(
+            i.alias("number"), s.alias("segment"),
+            F.when(tx.may_name_symbols(s), tx.symbols_in_order(s)).otherwise(F.array().cast("array<string>")).alias("found"),
+            F.when(tx.may_hold_instants(s), tx.instants_in_order(s)).otherwise(F.array().cast("array<timestamp>")).alias("times"),
             _acts(s, launch).alias("acts"),
         ),
     )
 
-    def judge(f: Column) -> Column:
-        one_time = (F.size(f["found"]) > 0) & (F.size(f["times"]) == 1)
+    def narrow(f: Column) -> Column:
         mixed = F.lit(False)
         for marker in fv.MIXED_PURPOSE_MARKERS:
             mixed = mixed | F.lower(f["segment"]).contains(marker)
+        one_time = (F.size(f["found"]) > 0) & (F.size(f["times"]) == 1)
+        by_length = F.transform(
+            F.reverse(F.array_sort(F.transform(f["found"], lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))), lambda y: y["x"]
+        )
+        bare = _bare(f["segment"])
+        return F.struct(
+            f["number"].alias("number"), f["found"].alias("found"), F.size(f["times"]).alias("times"), F.get(f["times"], F.lit(0)).alias("at"),
+            f["acts"].alias("acts"), mixed.alias("mixed"), F.when(one_time & (F.length(_rest(bare, by_length)) == 0), bare).alias("bare"),
+        )
+
+    return F.transform(F.filter(read, lambda f: (F.size(f["found"]) > 0) | f["acts"]), narrow)
+
+
+def _anchored_hits(read: Column, symbols: Column) -> Column:
+    """array<struct<symbol, at>>: every (symbol, time) that the segments tie to an action.
+
+    A time counts in a sentence holding the action, the symbol and exactly one time, or in a bare
+    symbol/time row below an action header. A header stays in force over bare rows and ends with
+    anything else; the fold over the segments of one article carries just that flag.
+    """
+    known = F.transform(read, lambda f: F.struct(f.alias("f"), F.array_intersect(f["found"], symbols).alias("found")))
+
+    def judge(k: Column) -> Column:
+        f, found = k["f"], k["found"]
+        one_time = (F.size(found) > 0) & (f["times"] == 1)
         return F.struct(
-            F.transform(
-                f["found"], lambda x: F.struct(x.alias("symbol"), F.get(f["times"], F.lit(0)).alias("at"))
-            ).alias("hits"),
-            (one_time & (F.length(_without(f["segment"], f["found"])) == 0)).alias("bare_row"),
-            (f["acts"] & one_time & ~mixed).alias("stated"),
-            (f["acts"] & (F.size(f["found"]) == 0) & (F.size(f["times"]) == 0)).alias("header"),
+            f["number"].alias("number"),
+            F.transform(found, lambda x: F.struct(x.alias("symbol"), f["at"].alias("at"))).alias("hits"),
+            (one_time & F.coalesce(F.length(_rest(f["bare"], found)) == 0, F.lit(False))).alias("bare_row"),
+            (f["acts"] & one_time & ~f["mixed"]).alias("stated"),
+            (f["acts"] & (F.size(found) == 0) & (f["times"] == 0)).alias("header"),
         )
 
     start = F.struct(
-        F.lit(False).alias("below_header"),
+        F.lit(False).alias("below_header"), F.lit(-1).alias("number"),
         F.array().cast("array<struct<symbol:string,at:timestamp>>").alias("hits"),
     )
 
     def step(state: Column, f: Column) -> Column:
-        counts = f["stated"] | (f["bare_row"] & state["below_header"])
+        below = state["below_header"] & (f["number"] == state["number"] + 1)
+        counts = f["stated"] | (f["bare_row"] & below)
         return F.struct(
-            F.when(f["bare_row"], state["below_header"]).otherwise(f["header"]).alias("below_header"),
+            F.when(f["bare_row"], below).otherwise(f["header"]).alias("below_header"), f["number"].alias("number"),
             F.when(counts, F.concat(state["hits"], f["hits"])).otherwise(state["hits"]).alias("hits"),
         )
 
-    return F.aggregate(F.transform(read, judge), start, step, lambda state: state["hits"])
+    return F.aggregate(F.transform(known, judge), start, step, lambda state: state["hits"])
 
 
-def _table_hits(one_line: Column, symbols: Column) -> Column:
+def _table_rows(one_line: Column) -> Column:
     """Explicit launch-table rows by increasing precedence; a later one overrides an earlier one."""
 
     def rows(pattern: str, date: int, clock: int, ampm: int, symbol: int) -> Column:
@@ -129,31 +151,56 @@ def _table_hits(one_line: Column, symbols: Column) -> Column:
             lambda t: F.struct(F.upper(t["name"]).alias("symbol"), t["value"].alias("at")),
         )
 
-    both = F.concat(rows(fv.STRUCTURED_LAUNCH, 1, 2, 3, 4), rows(fv.LEGACY_LAUNCH, 2, 3, 4, 1))
-    return F.filter(both, lambda r: F.array_contains(symbols, r["symbol"]))
+    return F.concat(rows(fv.STRUCTURED_LAUNCH, 1, 2, 3, 4), rows(fv.LEGACY_LAUNCH, 2, 3, 4, 1))
 
 
-def with_event_times(articles: DataFrame) -> DataFrame:
-    """Add ``events``: array<struct<symbol, official_event_at>>, one item per symbol in order.
+def read_articles(articles: DataFrame) -> DataFrame:
+    """One pass over the texts: ``body_text`` gives way to what later steps need of it.
 
-    ``articles`` has (body_text, article_class, symbols). Only classes that can prove an event are
-    searched. Everything happens inside the article's row: no shuffle, no Python. One distinct time
-    per symbol is kept, several leave it unresolved; launch-table rows override for launches.
+    Adds article_class, title_symbols and body_symbols (candidates by first appearance), segments and
+    table_rows (of classes that can prove an event). Everything happens inside the article's row, however
+    long; no text is carried on, so none is ever shuffled.
     """
     shown = F.col("body_text")
+    classed = articles.withColumn("article_class", tx.article_class(F.col("title"), shown))
     launch = F.col("article_class") == fv.LAUNCH_CLASS
-    proving = launch | (F.col("article_class") == fv.DELISTING_CLASS)
+    proving = (launch | (F.col("article_class") == fv.DELISTING_CLASS)) & tx.may_hold_instants(shown)
+    lined = classed.withColumn("__line", F.when(proving, tx.squeezed(shown)))
+    return lined.withColumns(
+        {
+            "title_symbols": tx.symbols_in_order(F.col("title")),
+            "body_symbols": F.when(tx.may_name_symbols(shown), tx.symbols_in_order(shown)).otherwise(F.array().cast("array<string>")),
+            "segments": F.when(proving, _read_segments(shown, F.col("__line"), launch)),
+            "table_rows": F.when(proving & launch, _table_rows(F.col("__line"))),
+        }
+    ).drop("body_text", "__line")
+
+
+def with_known_symbols(read: DataFrame, known: DataFrame) -> DataFrame:
+    """Articles that name a known symbol, with ``symbols``: those of the title or else of the body, in order.
+
+    ``read`` comes from ``read_articles`` with an ``article_key`` and should be stored, as it is used twice.
+    """
+    named = read.select("article_key", F.explode(F.array_union("title_symbols", "body_symbols")).alias("symbol"))
+    hits = named.join(known.select("symbol").distinct(), "symbol", "left_semi").groupBy("article_key").agg(F.collect_set("symbol").alias("__known"))
+
+    def of(column: str) -> Column:
+        return F.filter(column, lambda s: F.array_contains("__known", s))
+
+    titled, bodied = of("title_symbols"), of("body_symbols")
+    return read.join(hits, "article_key").withColumn("symbols", F.when(F.size(titled) > 0, titled).otherwise(bodied)).drop("__known")
+
+
+def with_event_times(read: DataFrame) -> DataFrame:
+    """Add ``events``: array<struct<symbol, official_event_at>>, one item per symbol in order.
+
+    One distinct time per symbol is kept, several leave it unresolved; launch-table rows override for launches.
+    """
     none = F.array().cast("array<struct<symbol:string,at:timestamp>>")
-    dated = tx.may_hold_instants(shown)
-    lined = articles.withColumn("__line", F.when(proving & dated, tx.squeezed(shown)))
-    hits = lined.withColumns(
+    hits = read.withColumns(
         {
-            "__hits": F.when(
-                proving & dated, _anchored_hits(shown, F.col("__line"), launch, F.col("symbols"))
-            ).otherwise(none),
-            "__table": F.when(
-                launch & dated, _table_hits(F.col("__line"), F.col("symbols"))
-            ).otherwise(none),
+            "__hits": F.coalesce(_anchored_hits(F.col("segments"), F.col("symbols")), none),
+            "__table": F.coalesce(F.filter("table_rows", lambda r: F.array_contains("symbols", r["symbol"])), none),
         }
     )
 
@@ -169,7 +216,18 @@ def with_event_times(articles: DataFrame) -> DataFrame:
         )
         return F.struct(symbol.alias("symbol"), at.alias("official_event_at"))
 
-    return hits.withColumn("events", F.transform("symbols", event)).drop("__line", "__hits", "__table")
+    return hits.withColumn("events", F.transform("symbols", event)).drop("__hits", "__table")
+
+
+def timed_articles(articles: DataFrame, known: DataFrame) -> DataFrame:
+    """Articles about known symbols with class, ``symbols`` and ``events``, without their bodies.
+
+    ``articles`` has (article_key, title, body_text). What was read is stored before the known symbols decide.
+    """
+    read = materialize(
+        read_articles(articles).filter((F.size("title_symbols") > 0) | (F.size("body_symbols") > 0)), "read-articles"
+    )
+    return with_event_times(with_known_symbols(read, known))
 
 
 def evidence_rows(
@@ -179,17 +237,12 @@ def evidence_rows(
     """One row per (article, symbol) with semantic class, status and event time.
 
     ``articles`` has (event_type, article_code, title, body_text, article_published_at) and may
-    carry snapshot columns; they pass through. Texts are read twice, once for mentions and once for
-    class and times; articles without a known symbol never reach the second step.
+    carry snapshot columns; they pass through. Every text is read once and stays where it is.
     """
     keyed = articles.withColumn("article_key", F.concat_ws("\u0001", "event_type", "article_code"))
-    named = keyed.join(symbols_per_article(keyed, known), "article_key")
-    classed = named.withColumn(
-        "article_class", tx.article_class(F.col("title"), F.col("body_text"))
-    )
     expected = F.when(F.col("event_type") == "listing", fv.LAUNCH_CLASS).otherwise(fv.DELISTING_CLASS)
     carried = [c for c in articles.columns if c not in ("title", "body_text")]
-    timed = with_event_times(classed).select(
+    timed = timed_articles(keyed, known).select(
         *carried, "title", "article_class", (F.col("article_class") == expected).alias("__accepted"),
         # Never empty here; the outer form keeps Spark from evaluating the array in a guard first.
         F.explode_outer("events").alias("e"),

@@ -169,10 +169,7 @@ def _(v: Views):
 )
 def _(v: Views):
     keyed = v.articles.withColumn("article_key", F.col("article_code"))
-    named = keyed.join(ev.symbols_per_article(keyed, v.known_symbols), "article_key").withColumn(
-        "article_class", tx.article_class(F.col("title"), F.col("body_text"))
-    )
-    return ev.with_event_times(named).select("article_code", F.explode_outer("events").alias("e")).select(
+    return ev.timed_articles(keyed, v.known_symbols).select("article_code", F.explode_outer("events").alias("e")).select(
         "article_code", "e.symbol", "e.official_event_at"
     )
 
