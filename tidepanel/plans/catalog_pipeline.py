@@ -115,3 +115,24 @@ def build_catalog(
     sides = ["archive", "snapshot", "evidence", "first_trades", "episode_trades", "cutoffs", "episodes", "rejected", "scope"]
     graph.derive("catalog", sides, lambda *tables: catalog_merge(CatalogInputs(*tables)))
     return graph
+
+
+def primitive_tables(spark: SparkSession, sources: str) -> dict[str, DataFrame]:
+    """The five evidence tables as the raw snapshots give them now; all have a ``symbol``.
+
+    Discovery layers (which source knows a symbol), listed objects, article evidence, first trades and
+    the boundaries of every symbol's archive.
+    """
+    pages = sd.read_listing_lines(spark, f"{sources}/listings")
+    objects = sd.listing_keys(pages).select("object_key", parse_object_key(F.col("object_key")).alias("k")).select(
+        F.col("k.symbol").alias("symbol"), F.col("k.source_kind").alias("source_kind"), F.col("k.period").alias("source_period"), "object_key"
+    )
+    current = sd.flatten_instruments(_lines(spark, f"{sources}/instruments")).select("symbol", F.lit("current_snapshot").alias("layer"))
+    layers = objects.select("symbol", F.concat("source_kind", F.lit("_archive")).alias("layer")).unionByName(current).distinct()
+    boundaries = archive_observations(objects)
+    index, details = (read(spark, f"{sources}/{n}") for n, read in (("article_index", _read_index), ("article_details", _read_details)))
+    first = _read_trades(spark, f"{sources}/trades").groupBy("symbol").agg(F.min("traded_at").alias("earliest_trade_timestamp"))
+    return {
+        "discovery_layers": layers, "listings": objects, "articles": evidence_side(index, details, boundaries), "first_trades": first,
+        "boundary_indexes": boundaries,
+    }

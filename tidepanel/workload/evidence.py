@@ -509,7 +509,7 @@ def _(v: Views):
 
 
 @query(
-    "evidence_replay", "source i:stored_rows i:replayed_rows is_equal",
+    "evidence_replay_articles", "source i:stored_rows i:replayed_rows is_equal",
     f"""SELECT 'same' AS source, count(*) AS stored_rows, count(*) AS replayed_rows, true AS is_equal FROM ({_EVIDENCE})
         UNION ALL SELECT 'revised', count(*), count(*), count(*) = 0 OR bool_and(match_status <> 'accepted') FROM ({_EVIDENCE})""",
     "planted",

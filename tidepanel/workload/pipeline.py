@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidepanel import fixed_values as fv
 from tidepanel.functions.keys import daily_bar_key, monthly_bar_key
 from tidepanel.functions.timefn import plus_seconds
-from tidepanel.plans.catalog_pipeline import CATALOGS, build_catalog
-from tidepanel.session import scratch_path
+from tidepanel.operators.quality import located_differences, located_summary
+from tidepanel.plans.catalog_pipeline import CATALOGS, build_catalog, primitive_tables
+from tidepanel.session import materialize, scratch_path
+from tidepanel.sources.sinks import read_stage, write_stage
 from tidepanel.workload.registry import query
 from tidepanel.workload.views import BENCHMARK, SQL_VIEWS, Views, event_symbol
 
@@ -216,3 +218,68 @@ def _(v: Views):
     after = build_catalog(v.spark, sources, root, moved={"reviews": revised})
     counted_by_file = ["instruments", "article_index"]  # documents hold many instruments or articles
     return before.provenance(after).filter(~F.col("input").isin(counted_by_file))
+
+
+def _stored_and_replayed(v: Views) -> dict[str, tuple[DataFrame, DataFrame, DataFrame]]:
+    """Per evidence table: as stored, as stored by someone else, and derived anew from the raw files.
+
+    The other store lacks bucket 1, gives bucket 3 other words or times, and has bucket 2 under a name more.
+    """
+    sources, root = scratch_path(v.spark, "sources"), scratch_path(v.spark, "evidence")
+    write_sources(v, sources)
+    out = {}
+    bucket = F.regexp_extract("symbol", "([0-9])USDT$", 1).cast("int")
+    other = {
+        "discovery_layers": ("layer", F.lit("daily_archive")), "listings": ("object_key", F.concat("object_key", F.lit(".part"))),
+        "articles": ("official_event_at", plus_seconds(F.coalesce("official_event_at", "article_published_at"), 60)),
+        "first_trades": ("earliest_trade_timestamp", plus_seconds(F.col("earliest_trade_timestamp"), 1)), "boundary_indexes": ("last_archive_month", F.lit("2019-01")),
+    }
+    for name, table in primitive_tables(v.spark, sources).items():
+        write_stage(table, f"{root}/{name}")
+        stored = read_stage(v.spark, f"{root}/{name}")
+        column, value = other[name]
+        revised = stored.filter(bucket != 1).withColumn(column, F.when(bucket == 3, value).otherwise(F.col(column)))
+        more = stored.filter(bucket == 2).withColumn("symbol", F.concat(F.lit("OLD"), "symbol"))
+        out[name] = (stored, materialize(revised.unionByName(more), f"other-{name}"), primitive_tables(v.spark, sources)[name])
+    return out
+
+
+# Rows of each evidence table by symbol; discovery knows one archive kind and, up to bucket 6, the snapshot.
+SQL_VIEWS["primitive"] = (
+    "spans",
+    """SELECT 'discovery_layers' AS source, symbol, bucket, 1 + CAST(bucket <= 6 AS INTEGER) AS n FROM spans
+        UNION ALL SELECT 'listings', symbol, bucket, CASE WHEN bucket = 9 THEN 1 ELSE 2 END FROM spans
+        UNION ALL SELECT 'articles', symbol, bucket, CASE WHEN bucket IN (3, 4, 7) THEN 2 ELSE 1 END FROM spans WHERE bucket IN (0, 1, 2, 3, 4, 5, 7)
+        UNION ALL SELECT 'first_trades', symbol, bucket, 1 FROM spans WHERE bucket <> 6
+        UNION ALL SELECT 'boundary_indexes', symbol, bucket, 1 FROM spans""",
+)
+
+
+@query(
+    "evidence_replay", "source i:stored_rows i:replayed_rows is_equal",
+    """SELECT source, sum(n) AS stored_rows, sum(n) AS replayed_rows, true AS is_equal FROM primitive GROUP BY source
+        UNION ALL SELECT source || ':other', coalesce(sum(CASE bucket WHEN 1 THEN 0 WHEN 2 THEN 2 * n ELSE n END), 0), sum(n), count(*) FILTER (bucket IN (1, 2, 3)) = 0
+            FROM primitive GROUP BY source""",
+    "primitive",
+)
+def _(v: Views):
+    rows = None
+    for name, (stored, other, replayed) in _stored_and_replayed(v).items():
+        for label, side in ((name, stored), (f"{name}:other", other)):
+            row = located_summary(label, side, replayed, ["symbol"])
+            rows = row if rows is None else rows.unionByName(row)
+    return rows
+
+
+@query(
+    "evidence_replay_findings", "source symbol finding",
+    """SELECT source, symbol, CASE bucket WHEN 1 THEN 'only_replayed' ELSE 'changed' END AS finding FROM primitive WHERE bucket IN (1, 3)
+        UNION ALL SELECT source, 'OLD' || symbol, 'only_stored' FROM primitive WHERE bucket = 2""",
+    "primitive",
+)
+def _(v: Views):
+    rows = None
+    for name, (stored, other, replayed) in _stored_and_replayed(v).items():
+        row = located_differences(other, replayed, ["symbol"]).unionByName(located_differences(stored, replayed, ["symbol"]))
+        rows = row.withColumn("source", F.lit(name)) if rows is None else rows.unionByName(row.withColumn("source", F.lit(name)))
+    return rows
