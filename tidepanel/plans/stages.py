@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tidepanel.operators.contracts import ContractViolation, source_containment, validate_canonical
 from tidepanel.operators.eligibility import apply_eligibility, eligibility_projection
 from tidepanel.operators.gaps import active_gaps, active_ranges
-from tidepanel.operators.quality import replay_equal
+from tidepanel.operators.planning import attempt_findings
+from tidepanel.operators.quality import checksum_findings, replay_equal, set_difference
 from tidepanel.operators.rollup import rollup_rejected, rollup_strict, unexplained_rejects
 from tidepanel.operators.scope import unknown_identities
 from tidepanel.plans.slice import SliceSpec, observations_from_eligible
-from tidepanel.sources.sinks import read_splits, read_stage, write_by_split, write_stage
+from tidepanel.sources.sinks import partition_fingerprints, read_splits, read_stage, write_by_split, write_stage
 
 
 @dataclass(frozen=True)
@@ -100,6 +101,33 @@ def replay_gate(
     )
 
 
+def partition_gate(stage: str, stored: DataFrame, replayed: DataFrame, period: str = "yyyy-MM") -> DataFrame:
+    """The same by time partition: gate, partition, stored_rows, replayed_rows, passed."""
+    marks = F.struct("row_count", "hash_sum", "hash_xor")
+    a, b = (partition_fingerprints(t, period).select("partition", marks.alias(n)) for t, n in ((stored, "a"), (replayed, "b")))
+    return a.join(b, "partition", "full_outer").select(
+        F.lit(stage).alias("gate"), "partition", F.coalesce("a.row_count", F.lit(0)).alias("stored_rows"),
+        F.coalesce("b.row_count", F.lit(0)).alias("replayed_rows"), F.col("a").eqNullSafe(F.col("b")).alias("passed"),
+    )
+
+
+def source_gate(planned: DataFrame, attempts: DataFrame, files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """One row: every planned source was fetched once, verified, and its bytes are what the manifest says.
+
+    ``planned`` has (source_key), ``attempts`` (source_key, status), ``files`` (path, content), ``manifest``
+    (path, sha256, byte_count).
+    """
+    unequal = set_difference(planned, attempts, ["source_key"]).agg(F.count(F.lit(1)).alias("unequal_keys"))
+    unfit = attempt_findings(attempts, planned).agg(F.count(F.lit(1)).alias("attempt_findings"))
+    broken = checksum_findings(files, manifest).agg(F.count(F.lit(1)).alias("file_findings"))
+    # Three aggregate rows.
+    one = unequal.join(F.broadcast(unfit)).join(F.broadcast(broken))
+    return one.select(
+        F.lit("sources").alias("gate"), "*",
+        ((F.col("unequal_keys") == 0) & (F.col("attempt_findings") == 0) & (F.col("file_findings") == 0)).alias("passed"),
+    )
+
+
 def gates(
     spark: SparkSession, catalog: DataFrame, spec: SliceSpec, paths: StagePaths,
     names: Sequence[str] = ("completed_4h", "rejected_4h", "lifecycle_eligibility", "observations"),
