@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidepanel.operators.features import FeatureSpec
+from tidepanel.operators.inference import baseline_strata, block_bootstrap, plateau, poisson_thresholds
 from tidepanel.operators.quality import observation_gate, slice_audit
 from tidepanel.operators.series import Grid
 from tidepanel.plans.slice import SliceSpec, build_slice
@@ -329,3 +330,87 @@ def _(v: Views):
     return replay_gate("completed_4h", stored, rollup_strict(hourly)).unionByName(
         replay_gate("completed_4h_of_other_hours", stored, rollup_strict(fewer))
     )
+
+
+# --- outcomes ----------------------------------------------------------------------------------------
+
+_LENGTH, _REPLICATES = 3, 100
+
+
+def _starts_sql(index: str) -> str:
+    """Poisson draws of a third from the first 32 bits of an MD5."""
+    draw = f"CAST('0x' || substr(md5('block/' || CAST(replicate AS VARCHAR) || '/' || CAST({index} AS VARCHAR)), 1, 8) AS BIGINT)"
+    return "(" + " + ".join(f"CASE WHEN {draw} >= {end} THEN 1 ELSE 0 END" for end in poisson_thresholds(1 / _LENGTH)) + ")"
+
+
+SQL_VIEWS["outcomes"] = (
+    _DAILY_SQL,
+    f"""SELECT *, fresh AS is_fresh_breakout, CAST(hot_decile AS INTEGER) AS decile, CAST(epoch_us(open_time) // 86400000000 AS BIGINT) AS day FROM {_DAILY_SQL}
+        WHERE is_eligible AND NOT is_benchmark AND hot_decile IS NOT NULL AND fwd_return_3d IS NOT NULL""",
+)
+
+
+def _outcomes(v: Views):
+    kept = daily_slice(v).filter("is_eligible AND NOT is_benchmark AND hot_decile IS NOT NULL AND fwd_return_3d IS NOT NULL")
+    shaped = kept.withColumns({"decile": F.col("hot_decile").cast("int"), "day": F.expr("unix_micros(open_time) div 86400000000")})
+    return materialize(shaped, "outcomes")
+
+
+SQL_VIEWS["tops"] = ("outcomes", "SELECT decile, count(*) AS n, sum(fwd_return_3d) / count(*) AS mean FROM outcomes GROUP BY decile")
+SQL_VIEWS["bounds"] = (
+    "outcomes",
+    f"""SELECT decile, list_sort(list(m))[greatest(CAST(ceil(count(*) * CAST(0.025 AS DOUBLE)) AS INTEGER), 1)] AS low,
+            list_sort(list(m))[greatest(CAST(ceil(count(*) * CAST(0.975 AS DOUBLE)) AS INTEGER), 1)] AS high
+        FROM (SELECT decile, replicate, sum(w * fwd_return_3d) / sum(w) AS m
+            FROM outcomes JOIN (SELECT day, replicate, {" + ".join(_starts_sql(f"(day - {j})") for j in range(_LENGTH))} AS w
+                FROM (SELECT DISTINCT day FROM outcomes), range(1, {_REPLICATES + 1}) AS r(replicate)) USING (day)
+            WHERE w > 0 GROUP BY 1, 2) GROUP BY decile""",
+)
+SQL_VIEWS["fits"] = (
+    "tops",
+    """SELECT decile, max(low) AS fitted FROM (
+            SELECT i.decile, a.decile AS a, min(m) AS low FROM tops i
+            JOIN (SELECT x.decile AS decile, y.decile AS b, sum(z.mean * z.n) / sum(z.n) AS m
+                FROM tops x JOIN tops y ON y.decile >= x.decile JOIN tops z ON z.decile BETWEEN x.decile AND y.decile GROUP BY 1, 2) a
+              ON a.decile <= i.decile AND a.b >= i.decile GROUP BY 1, 2) GROUP BY decile""",
+)
+
+
+@query(
+    "decile_outcome_summary", "i:decile i:n d:mean d:low d:high d:fitted",
+    f"""SELECT t.decile, t.n, t.mean, b.low, b.high, f.fitted FROM tops t LEFT JOIN bounds b USING (decile) JOIN fits f USING (decile)""",
+    "tops bounds fits", recursive=True,
+)
+def _(v: Views):
+    # Forward returns by decile: intervals clustered by time, and the nearest ordered plateau.
+    summary = materialize(block_bootstrap(_outcomes(v), ["decile"], "fwd_return_3d", "day", _LENGTH, _REPLICATES), "summary")
+    return plateau(summary, "decile", "mean", "n")
+
+
+_BASELINES = {
+    "hot_score": "hot_decile = 10", "strength_3d": "rs_3d_pct >= 0.8", "expansion_24h": "vol_exp_24h_pct >= 0.8",
+    "fresh_breakout": "is_fresh_breakout", "unconditional": "true",
+}
+_STRATA = {
+    "split": SPLIT_SQL.format(t="open_time"), "liquidity": "CASE WHEN liquidity_pct >= 0.5 THEN 'high' WHEN liquidity_pct < 0.5 THEN 'low' END",
+    "age": "CASE WHEN contract_age_days >= 14 THEN 'old' ELSE 'young' END",
+}
+
+
+@query(
+    "baseline_strata", "baseline stratum level i:symbols i:n d:mean d:least d:most",
+    f"""WITH member AS (SELECT symbol, fwd_return_3d AS value, baseline, {', '.join(f"coalesce({c}, 'unknown') AS {n}" for n, c in _STRATA.items())}
+            FROM outcomes, (VALUES {', '.join(f"('{n}')" for n in _BASELINES)}) AS b(baseline)
+            WHERE CASE baseline {' '.join(f"WHEN '{n}' THEN {c}" for n, c in _BASELINES.items())} END),
+        cells AS (SELECT baseline, 'all' AS stratum, 'all' AS level, symbol, value FROM member
+            {' '.join(f"UNION ALL SELECT baseline, '{n}', {n}, symbol, value FROM member" for n in _STRATA)}),
+        each AS (SELECT baseline, stratum, level, symbol, sum(value) AS s, count(*) AS k FROM cells GROUP BY ALL),
+        rest AS (SELECT *, (sum(s) OVER w - s) / nullif(sum(k) OVER w - k, 0) AS without FROM each WINDOW w AS (PARTITION BY baseline, stratum, level))
+        SELECT baseline, stratum, level, count(*) AS symbols, sum(k) AS n, sum(s) / sum(k) AS mean, min(without) AS least, max(without) AS most
+        FROM rest GROUP BY 1, 2, 3""",
+    "outcomes", recursive=True,
+)
+def _(v: Views):
+    return baseline_strata(
+        _outcomes(v), {n: F.expr(c) for n, c in _BASELINES.items()}, {n: F.expr(c) for n, c in _STRATA.items()}, "fwd_return_3d"
+    )
