@@ -92,19 +92,19 @@ def baseline_strata(outcomes: DataFrame, baselines: dict[str, Column], strata: d
     """
     member = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in baselines.items()]))
     rows = outcomes.filter(F.col(value).isNotNull()).select(
-        "symbol", F.explode(member).alias("baseline"), F.col(value).alias("value"),
+        "symbol", F.explode(member).alias("baseline"), F.col(value).alias("__value"),
         *[F.coalesce(c.cast("string"), F.lit("unknown")).alias(n) for n, c in strata.items()],
     )
     keys = [F.col("baseline"), F.col("symbol")]
     sets = [keys, *[[*keys, F.col(n)] for n in strata]]
     sums = rows.groupingSets(sets, *keys, *[F.col(n) for n in strata]).agg(
-        F.sum("value").alias("s"), F.count("value").alias("n"), *[F.grouping(n).alias(f"__{n}") for n in strata]
+        F.sum("__value").alias("__s"), F.count("__value").alias("__n"), *[F.grouping(n).alias(f"__of_{n}") for n in strata]
     )
     stratum, level = F.lit("all"), F.lit("all")
     for name in strata:
-        stratum = F.when(F.col(f"__{name}") == 0, name).otherwise(stratum)
-        level = F.when(F.col(f"__{name}") == 0, F.col(name)).otherwise(level)
-    named = sums.select("baseline", stratum.alias("stratum"), level.alias("level"), "symbol", "s", "n")
+        stratum = F.when(F.col(f"__of_{name}") == 0, name).otherwise(stratum)
+        level = F.when(F.col(f"__of_{name}") == 0, F.col(name)).otherwise(level)
+    named = sums.select("baseline", stratum.alias("stratum"), level.alias("level"), "symbol", F.col("__s").alias("s"), F.col("__n").alias("n"))
     cell = Window.partitionBy("baseline", "stratum", "level")  # one row for each symbol
     without = (F.sum("s").over(cell) - F.col("s")) / F.nullif(F.sum("n").over(cell) - F.col("n"), F.lit(0))
     return named.withColumn("without", without).groupBy("baseline", "stratum", "level").agg(

@@ -30,6 +30,7 @@ from tidepanel.operators import planning as pl
 from tidepanel.operators import registry as rg
 from tidepanel.operators import scope as sc
 from tidepanel.operators.eligibility import apply_eligibility
+from tidepanel.operators.numbering import with_row_number
 from tidepanel.operators.presence import presence_findings
 from tidepanel.workload.registry import query
 from tidepanel.workload.views import BENCHMARK, SQL_VIEWS, TAGGED, Views, at, order_symbol
@@ -765,8 +766,6 @@ def _(v: Views):
     "spans",
 )
 def _(v: Views):
-    from pyspark.sql import Window
-
     root = fv.DAILY_BAR_ROOT
     none = F.array().cast("array<string>")
     path = F.concat(F.lit(root), "symbol", F.lit("/"))
@@ -779,10 +778,10 @@ def _(v: Views):
         F.when(F.col("bucket") == 2, F.array(path)).otherwise(none).alias("prefixes"),
         F.array(F.concat(path, F.lit("x.zip"))).alias("keys"),
     )
-    numbered = roots.unionByName(groups).withColumn(
-        "sequence", F.row_number().over(Window.orderBy("id")) + F.when(F.col("id") >= "VIEW", 1).otherwise(0)
+    numbered = with_row_number(roots.unionByName(groups), ["id"], "place").withColumn(
+        "sequence", (F.col("place") + F.when(F.col("id") >= "VIEW", 1).otherwise(0)).cast("int")
     )
-    return pg.listing_group_findings(numbered, root)
+    return pg.listing_group_findings(numbered.drop("place"), root)
 
 
 # --- registries --------------------------------------------------------------------------------------
