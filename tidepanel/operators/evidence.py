@@ -145,13 +145,17 @@ def _anchored_hits(read: Column, symbols: Column) -> Column:
 def _table_rows(one_line: Column) -> Column:
     """Explicit launch-table rows by increasing precedence; a later one overrides an earlier one."""
 
-    def rows(pattern: str, date: int, clock: int, ampm: int, symbol: int) -> Column:
-        return F.transform(
+    def rows(pattern: str, part: str, date: int, clock: int, ampm: int, symbol: int) -> Column:
+        """``part`` is a piece of the pattern that is found fast; most texts have none."""
+        found = F.transform(
             tx.placed_instants(one_line, pattern, date, clock, ampm, symbol),
             lambda t: F.struct(F.upper(t["name"]).alias("symbol"), t["value"].alias("at")),
         )
+        return F.when(one_line.rlike(part), found).otherwise(F.array().cast("array<struct<symbol:string,at:timestamp>>"))
 
-    return F.concat(rows(fv.STRUCTURED_LAUNCH, 1, 2, 3, 4), rows(fv.LEGACY_LAUNCH, 2, 3, 4, 1))
+    return F.concat(
+        rows(fv.STRUCTURED_LAUNCH, r"(?iuU)Perpetual\s+Contract", 1, 2, 3, 4), rows(fv.LEGACY_LAUNCH, r"(?iuU)Launch\s+Time", 2, 3, 4, 1)
+    )
 
 
 def read_articles(articles: DataFrame) -> DataFrame:
@@ -224,9 +228,8 @@ def timed_articles(articles: DataFrame, known: DataFrame) -> DataFrame:
 
     ``articles`` has (article_key, title, body_text). What was read is stored before the known symbols decide.
     """
-    read = materialize(
-        read_articles(articles).filter((F.size("title_symbols") > 0) | (F.size("body_symbols") > 0)), "read-articles"
-    )
+    # No filter here: Spark would push it below and search the texts a second time for it.
+    read = materialize(read_articles(articles), "read-articles")
     return with_event_times(with_known_symbols(read, known))
 
 
