@@ -507,16 +507,20 @@ def _(v: Views):
     return pl.monthly_keys(lists, approved)
 
 
+_READY = """SELECT symbol FROM (SELECT 'P' || substr(o_orderpriority, 1, 1) || 'USDT' AS symbol, count(*) AS n FROM orders GROUP BY 1)
+    WHERE n * (SELECT count(DISTINCT substr(o_orderpriority, 1, 1)) FROM orders) > (SELECT count(*) FROM orders)"""
+
+
 @query(
     "planned_period_keys", "symbol object_key",
-    f"SELECT DISTINCT symbol, {_MONTH_KEY} AS object_key FROM order_keys WHERE source_kind = 'monthly' AND period BETWEEN '2000-02' AND '2000-11' AND symbol IN ('P1USDT', 'P2USDT')",
+    f"SELECT DISTINCT symbol, {_MONTH_KEY} AS object_key FROM order_keys WHERE source_kind = 'monthly' AND period BETWEEN '2000-02' AND '2000-11' AND symbol IN ({_READY})",
     "order_keys",
 )
 def _(v: Views):
-    # One row per symbol of the keys; the customers' symbols of order_ranges are others.
-    ready = v.table("orders").select(order_symbol().alias("symbol")).distinct().filter(
-        F.col("symbol").isin("P1USDT", "P2USDT")
-    )
+    # Ready are the symbols with more orders than the mean of all symbols.
+    counts = v.table("orders").groupBy(order_symbol().alias("symbol")).agg(F.count(F.lit(1)).alias("n"))
+    all_ = counts.agg(F.sum("n").alias("orders"), F.count(F.lit(1)).alias("symbols"))  # one row
+    ready = counts.join(F.broadcast(all_)).filter(F.col("n") * F.col("symbols") > F.col("orders")).select("symbol")
     return pl.planned_period_keys(pl.parsed_keys(v.order_keys), ready, F.lit("2000-02"), F.lit("2000-11"))
 
 
