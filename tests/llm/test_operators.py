@@ -351,6 +351,27 @@ def test_repeats_equal_brute_force(spark, docs, nothing, monkeypatch):
     assert suffix_dedup.remove_repeats(nothing).count() == 0
 
 
+def test_each_text_of_an_id_is_cut_by_its_own_repeats(spark):
+    """Two texts under one id, a passage in every document and repeated rows, against brute force by row."""
+    hot = prose(30, 901)
+    rows = [(2, prose(20, 902) + hot), (2, "z" * 55), (2, "z" * 55), (1, hot[:90]), (5, "y" + hot[3:200]), (7, None), (7, ""), (2, hot)]
+    rows += [(10 + k % 40, prose(6, 910 + k) + hot + prose(4, 1010 + k)) for k in range(80)]
+    first = {}
+    for i, t in rows:
+        b = (t or "").encode()
+        for p in range(len(b) - 49):
+            first[b[p : p + 50]] = min(i, first.get(b[p : p + 50], i))
+    want = []
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = {q for p in range(len(b) - 49) if first[b[p : p + 50]] < i for q in range(p, p + 50)}
+        want.append((i, len(b), len(gone), bytes(x for q, x in enumerate(b) if q not in gone)))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    for block in (1_500, 1 << 23):
+        got = suffix_dedup.remove_repeats(frame, block_bytes=block).collect()
+        assert sorted((r.doc_id, r.n_bytes, r.n_removed, bytes(r.text_bytes)) for r in got) == sorted(want)
+
+
 def test_spans_that_differ_only_outside_their_sides_stay_apart():
     """Around one passage the gram and both sides are the same everywhere; 32 bits for the rest are too few here."""
     rng = np.random.default_rng(12)

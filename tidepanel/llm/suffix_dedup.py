@@ -6,22 +6,27 @@ only: the anchor of a 50-byte window is the 16-byte gram in it with the least ha
 equals). Equal windows have equal anchors, so nothing is missed; about one suffix in 18 is an anchor.
 Neighbouring windows with one anchor form its span of at most 84 bytes.
 
-1. Each task finds the anchors of its documents. Spans that repeat inside the task are settled there;
-   only the smallest document's entry goes on, so a passage in a third of all documents costs one
-   entry per task. Entries are packed, sorted and compressed, by blocks of the anchor's hash.
-2. Each block takes its entries in batches of rising doc_id. A batch gets a suffix array (ordered by the
+1. Documents are dealt to blocks by id and text. A shared window shares 17 bytes right before or right after
+   its gram, so each block sends a hash of gram and side for both sides of its anchors, each once, as sorted
+   differences. Hashes sent by two blocks come back as one bit each. Their length grows with the input, and a
+   collision only lets an entry pass that nothing matches.
+2. Entries of anchors with a repeated side are made anew from the texts. Spans that repeat inside the block are
+   settled there; only the smallest document's entry goes on, so a passage in a third of all documents
+   costs one entry per block. Entries are packed, sorted and compressed, by index blocks of the anchor's hash.
+3. Each index block takes its entries in batches of rising doc_id. A batch gets a suffix array (ordered by the
    first eight bytes, then by fingerprints of the rest of the span), is merge-scanned against the
    existing levels for equal spans, and what is new becomes a level; levels of like size merge, so
    sizes grow geometrically.
-3. A span that is new as a whole may still share windows with another at the same anchor, at the edge of a
-   copy. A shared window shares 17 bytes right before or right after the gram; entries that do are
-   looked up in the texts and their single windows go through the same blocks.
-4. Removed spans meet the texts again, by blocks of the document, and are cut out.
-
-The texts are shuffled once (steps 3 and 4 share one exchange). Entries carry 64 bits of the suffix itself,
-64 bits of fingerprint over the whole span (all that tells spans apart which differ in their outer bytes only) and
-64 bits over the rest of the gram and its two sides. Null texts are empty; rows without doc_id are kept whole and match nothing;
-rows of one doc_id are one document for comparison. Long texts are read in pieces of ``PIECE`` bytes.
+4. A span that is new as a whole may still share windows with another at the same anchor, at the edge of a
+   copy. Where a side is shared, the span's windows that reach over that side are looked up in the texts and go
+   through the index blocks one by one.
+5. Removed spans meet the texts again, by blocks of the documents, and are cut out.
+
+All steps are one plan, and the texts are shuffled once: steps 1, 2, 4 and 5 share that exchange. Entries carry 64
+bits of the suffix itself, 64 bits of fingerprint over the whole span (all that tells spans apart which differ in
+their outer bytes only) and 64 bits over the rest of the gram and its two sides. Null texts are empty; rows without
+doc_id are kept whole, match nothing and are not shuffled; rows of one doc_id are one document for comparison, and
+each of its texts is cut by its own spans. Long texts are read in pieces of ``PIECE`` bytes.
 """
 
 from __future__ import annotations
@@ -37,12 +42,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from tidepanel.llm.common import materialize
-
 MATCH, GRAM, SIDE = 50, 16, 17
 PIECE = 1 << 20
 CHUNK_BYTES = 2 << 20
-FLUSH_BYTES = 24 << 20
 BLOCK_BYTES = 8 << 20
 BATCH_ENTRIES = 1 << 17
 _C1, _C2, _C3 = (np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F))
@@ -87,9 +89,10 @@ def _words8(data: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Entries:
-    """Columns of equal length. k1, gram2, id2, id3 identify a span; doc, start, size say where it is.
+    """Columns of equal length. k1, gram2, id2, id3 identify a span; doc, start, size, text say where it is.
 
-    k1 and gram2 are of the gram, id2 is the fingerprint of the span, id3 holds those of the two sides.
+    k1 and gram2 are of the gram, id2 is the fingerprint of the span, id3 holds those of the two sides. text is the
+    hash of the document's text, lead the place of the gram in the span.
     """
 
     k1: np.ndarray
@@ -99,6 +102,8 @@ class Entries:
     doc: np.ndarray
     start: np.ndarray
     size: np.ndarray
+    lead: np.ndarray
+    text: np.ndarray
 
     def __len__(self) -> int:
         return len(self.k1)
@@ -123,10 +128,16 @@ class Entries:
 
     def pack(self) -> bytes:
         """Compressed columns, bytes of equal weight together; ids as differences."""
-        ids, place = np.unique(self.doc, return_inverse=True)
+        order = np.lexsort((self.text, self.doc))
+        doc, text = self.doc[order], self.text[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(new) - 1
+        ids = doc[new]
         columns = [
             self.k1, self.gram2.astype(np.uint32), self.id2, self.id3.astype(np.uint32), place.astype(np.uint32), self.start.astype(np.uint64),
-            self.size.astype(np.uint16), np.diff(ids, prepend=np.int64(0)),
+            self.size.astype(np.uint16), self.lead.astype(np.uint8), np.diff(ids, prepend=np.int64(0)), text[new],
         ]
         raw = b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(-1, c.itemsize).T.tobytes() for c in columns)
         return struct.pack("<II", len(self), len(ids)) + zstandard.compress(raw, 1)
@@ -135,13 +146,13 @@ class Entries:
     def unpack(blob: bytes) -> Entries:
         n, m = struct.unpack_from("<II", blob)
         raw, at, out = zstandard.decompress(blob[8:]), 0, []
-        for kind, size in (("u8", n), ("u4", n), ("u8", n), ("u4", n), ("u4", n), ("u8", n), ("u2", n), ("i8", m)):
+        for kind, size in (("u8", n), ("u4", n), ("u8", n), ("u4", n), ("u4", n), ("u8", n), ("u2", n), ("u1", n), ("i8", m), ("i8", m)):
             width = np.dtype(kind).itemsize
             planes = np.frombuffer(raw, np.uint8, width * size, at).reshape(width, size)
             out.append(np.ascontiguousarray(planes.T).view(kind).reshape(-1))
             at += width * size
-        ids = np.cumsum(out[7])
-        return Entries(*out[:4], ids[out[4]], out[5].astype(np.int64), out[6])
+        ids = np.cumsum(out[8])
+        return Entries(*out[:4], ids[out[4]], out[5].astype(np.int64), out[6], out[7], out[9][out[4]])
 
 
 def _runs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,8 +164,11 @@ def _runs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return starts[new], ends[np.append(np.flatnonzero(new)[1:] - 1, len(ends) - 1)] if len(ends) else ends
 
 
-def anchors(pieces: list[tuple[int, int, int, int, bytes]]) -> Entries:
-    """Entries of the anchors of pieces (doc, offset in the document, first window, last window + 1, bytes)."""
+def anchors(pieces: list[tuple[int, int, int, int, bytes]], texts: list[int] | None = None) -> Entries:
+    """Entries of the anchors of pieces (doc, offset in the document, first window, last window + 1, bytes).
+
+    ``texts`` has the hash of each piece's text, for documents of several texts.
+    """
     data = np.frombuffer(b"".join(p[4] for p in pieces), np.uint8)
     sizes = np.array([len(p[4]) for p in pieces])
     begins = np.cumsum(sizes) - sizes
@@ -179,11 +193,12 @@ def anchors(pieces: list[tuple[int, int, int, int, bytes]]) -> Entries:
     left = np.where(has_left, strings.hash(np.maximum(p - SIDE, 0), p) >> np.uint64(48) | np.uint64(1), np.uint64(0))
     tail = np.minimum(p + GRAM + SIDE, len(data))
     right = np.where(has_right, strings.hash(p + GRAM, tail) >> np.uint64(48) | np.uint64(1), np.uint64(0))
-    gram2 = (_mix(words[p + 8]) >> np.uint64(32)).astype(np.uint32)
+    gram2 = (_mix(words[p + 8]) >> np.uint64(32) | np.uint64(1)).astype(np.uint32)
     docs, offsets = np.array([x[0] for x in pieces], np.int64), np.array([x[1] for x in pieces])
     return Entries(
         words[p], gram2, strings.hash(s1, s2), (left << np.uint64(16) | right).astype(np.uint32), docs[piece],
-        s1 - begins[piece] + offsets[piece], (s2 - s1).astype(np.uint16),
+        s1 - begins[piece] + offsets[piece], (s2 - s1).astype(np.uint16), (p - s1).astype(np.uint8),
+        np.array(texts or [0] * len(pieces), np.int64)[piece],
     )
 
 
@@ -203,8 +218,8 @@ def _grouped(key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield int(key[part[0]]), part
 
 
-def _block(doc: np.ndarray, blocks: int) -> np.ndarray:
-    return (_mix(doc.view(np.uint64) + _C1) % np.uint64(blocks)).astype(np.int64)
+def _block(doc: np.ndarray, text: np.ndarray, blocks: int) -> np.ndarray:
+    return (_mix((doc.view(np.uint64) + _C1) ^ _mix(text.view(np.uint64) + _C2)) % np.uint64(blocks)).astype(np.int64)
 
 
 _SPAN, _INDEX, _ASK = 0, 1, 2
@@ -220,17 +235,24 @@ def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 
 def _spans(found: Entries, blocks: int, kind: int = _SPAN) -> list[tuple[int, int, bytes]]:
     """Places packed by block of the document; only doc, start and size matter."""
-    bare = Entries(*(np.zeros_like(x) for x in (found.k1, found.gram2, found.id2, found.id3)), found.doc, found.start, found.size)
-    return [(kind, b, bare.take(at).pack()) for b, at in _grouped(_block(found.doc, blocks))] if len(found) else []
+    bare = Entries(
+        *(np.zeros_like(x) for x in (found.k1, found.gram2, found.id2, found.id3)), found.doc, found.start, found.size,
+        np.zeros_like(found.lead), found.text,
+    )
+    return [(kind, b, bare.take(at).pack()) for b, at in _grouped(_block(found.doc, found.text, blocks))] if len(found) else []
 
 
 def _settle(found: Entries, blocks: int) -> list[tuple[int, int, bytes]]:
-    """Pack entries for their blocks; those repeated from a smaller document of this task become spans."""
+    """Pack entries for their blocks; those repeated from a smaller document of this group become spans.
+
+    Entries of one gram share a block; single windows, which have no gram, go by their fingerprint.
+    """
     found = found.ordered()
     first = np.flatnonzero(found.firsts())
     owner = np.repeat(found.doc[first], np.diff(np.append(first, len(found))))
     sent = found.take(found.doc == owner)
-    place = (_mix(sent.k1 + sent.gram2.astype(np.uint64) * _C3) % np.uint64(blocks)).astype(np.int64)
+    gram = np.where(sent.gram2 > 0, sent.k1 + sent.gram2.astype(np.uint64) * _C3, sent.id2)
+    place = (_mix(gram) % np.uint64(blocks)).astype(np.int64)
     return [(_INDEX, b, sent.take(at).pack()) for b, at in _grouped(place)] + _spans(found.take(found.doc > owner), blocks)
 
 
@@ -277,8 +299,8 @@ def index_family(found: Entries) -> tuple[Entries, Entries]:
 
 
 def _edges(known: Entries) -> Entries:
-    """Spans that may share a window with another document's: same gram and same bytes on one side."""
-    ask = np.zeros(len(known), bool)
+    """Windows that may be another document's: same gram, and they reach over a side that is the same too."""
+    ask = []
     for side in (known.id3 >> np.uint32(16), known.id3 & np.uint32(0xFFFF)):
         order = np.lexsort((known.doc, side, known.gram2, known.k1))
         k1, k2, x, doc = known.k1[order], known.gram2[order], side[order], known.doc[order]
@@ -287,28 +309,113 @@ def _edges(known: Entries) -> Entries:
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(order)) - 1
         shared = (doc[first] != doc[last]) & (x[first] != 0)
-        ask[order[np.repeat(shared, last - first + 1)]] = True
-    return known.take(ask)
+        ask.append(np.zeros(len(known), bool))
+        ask[-1][order[np.repeat(shared, last - first + 1)]] = True
+    # Windows up to 17 bytes before the gram hold the left side, those from there on the right one.
+    left, right = ask
+    turn = known.lead.astype(np.int64) - SIDE
+    end = known.size.astype(np.int64) - MATCH
+    first = np.where(left, 0, np.maximum(turn, 0))
+    last = np.where(right, end, np.minimum(turn, end))
+    asked = Entries(*(getattr(known, f.name) for f in fields(Entries)))
+    asked.start, asked.size = known.start + first, np.maximum(last - first + MATCH, 0).astype(np.uint16)
+    return asked.take((left | right) & (last >= first))
+
+
+def _texts(docs: pa.Table) -> Iterator[tuple[int, int, bytes]]:
+    for doc, th, text in zip(*(docs[c].to_pylist() for c in ("doc_id", "th", "text")), strict=True):
+        yield doc, th, (text or "").encode("utf-8", "surrogatepass")
+
+
+def _anchors_of(docs: pa.Table) -> Entries | None:
+    """Entries of all texts of a block, some pieces at a time."""
+    pieces, texts, held, done = [], [], 0, []
+    for doc, th, raw in _texts(docs):
+        for piece in _pieces(doc, raw):
+            pieces.append(piece)
+            texts.append(th)
+            held += len(piece[4])
+            if held >= CHUNK_BYTES:
+                done.append(anchors(pieces, texts))
+                pieces, texts, held = [], [], 0
+    if pieces:
+        done.append(anchors(pieces, texts))
+    return Entries.join(done) if done else None
+
+
+def _sides(found: Entries, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of gram and side, each once; the place among them of every entry's left and right (-1: none)."""
+    gram = _mix(found.k1 * _C1 ^ (found.gram2.astype(np.uint64) + _C3) * _C2)
+    side = np.concatenate([found.id3 >> np.uint32(16), found.id3 & np.uint32(0xFFFF)]).astype(np.uint64)
+    which = np.repeat(np.array([0, 1], np.uint64), len(found))
+    h = _mix(np.concatenate([gram, gram]) + (side << np.uint64(1) | which) * _C3) & np.uint64((1 << bits) - 1)
+    has = side != 0
+    once, place, count = np.unique(h[has], return_inverse=True, return_counts=True)
+    at = np.full(len(h), -1)
+    at[has] = place
+    return once, count, at.reshape(2, -1)
+
+
+_SIDES = "src int, part int, blob binary"
+
+
+def _side_batch(rows: list[tuple[int, int, bytes]]) -> pa.Table:
+    kinds = (pa.int32(), pa.int32(), pa.binary())
+    return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["src", "part", "blob"])
 
 
-def _map(blocks: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, held, done, size = [], 0, [], 0
-        for batch in batches:
-            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                for piece in _pieces(doc, (text or "").encode("utf-8", "surrogatepass")):
-                    pieces.append(piece)
-                    held += len(piece[4])
-                    if held >= CHUNK_BYTES:
-                        done.append(anchors(pieces))
-                        size, pieces, held = size + held, [], 0
-                    if size >= FLUSH_BYTES:
-                        yield _batch(_settle(Entries.join(done), blocks))
-                        done, size = [], 0
-        if pieces:
-            done.append(anchors(pieces))
-        if done:
-            yield _batch(_settle(Entries.join(done), blocks))
+def _ask_sides(blocks: int, bits: int):
+    """Each block's hashes to the parts they fall in, as differences."""
+    width = np.uint64((1 << bits) // blocks + 1)
+
+    def run(docs: pa.Table) -> pa.Table:
+        found = _anchors_of(docs)
+        if found is None:
+            return _side_batch([])
+        once, _, _ = _sides(found, bits)
+        src = docs["part"][0].as_py()
+        rows = []
+        for part, at in _grouped((once // width).astype(np.int64)):
+            steps = np.diff(once[at], prepend=np.uint64(part) * width)
+            planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T)
+            rows.append((src, part, zstandard.compress(planes.tobytes(), 1)))
+        return _side_batch(rows)
+
+    return run
+
+
+def _answer_sides(table: pa.Table) -> pa.Table:
+    """For every block's hashes one bit each: sent by another block too."""
+    sent = []
+    for blob in table["blob"].to_pylist():
+        planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(8, -1)
+        sent.append(np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).reshape(-1)))
+    every = np.sort(np.concatenate(sent))
+    twice = np.unique(every[1:][every[1:] == every[:-1]])
+    rows = []
+    for src, part, mine in zip(table["src"].to_pylist(), table["part"].to_pylist(), sent, strict=True):
+        at = np.searchsorted(twice, mine)
+        known = (at < len(twice)) & (twice[np.minimum(at, len(twice) - 1)] == mine) if len(twice) else np.zeros(len(mine), bool)
+        rows.append((part, src, zstandard.compress(np.packbits(known).tobytes(), 1)))
+    return _side_batch(rows)
+
+
+def _index(blocks: int, bits: int):
+    """Entries of anchors with a side that is found elsewhere too, for their index blocks."""
+    width = np.uint64((1 << bits) // blocks + 1)
+
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        found = _anchors_of(docs)
+        if found is None:
+            return pa.Table.from_batches([_batch([])])
+        once, count, at = _sides(found, bits)
+        answer = dict(zip(answers["src"].to_pylist(), answers["blob"].to_pylist(), strict=True))
+        repeated = count > 1
+        for part, mine in _grouped((once // width).astype(np.int64)):
+            known = np.unpackbits(np.frombuffer(zstandard.decompress(answer[part]), np.uint8), count=len(mine))
+            repeated[mine] |= known.astype(bool)
+        repeated = np.append(repeated, False)  # where the place is -1
+        return pa.Table.from_batches([_batch(_settle(found.take(repeated[at].any(axis=0)), blocks))])
 
     return run
 
@@ -327,36 +434,31 @@ def _reduce(blocks: int, edges: bool):
     return run
 
 
-def _gather(table: pa.Table) -> Entries | None:
-    parts = [Entries.unpack(b) for b in table["blob"].to_pylist()]
+def _gather(table: pa.Table, kind: int) -> Entries | None:
+    parts = [Entries.unpack(b) for k, b in zip(table["kind"].to_pylist(), table["blob"].to_pylist(), strict=True) if k == kind]
     return Entries.join(parts) if parts else None
 
 
 def _windows(blocks: int):
-    """Single windows of the spans asked for, as entries of their own."""
-    def run(docs: pa.Table, asked: pa.Table) -> pa.Table:
-        spans = _gather(asked)
-        if spans is None or not len(docs):
-            return pa.Table.from_batches([_batch([])])
-        raw: dict[int, list[bytes]] = {}
-        for doc, text in zip(docs["doc_id"].to_pylist(), docs["text"].to_pylist(), strict=True):
-            raw.setdefault(doc, []).append((text or "").encode("utf-8", "surrogatepass"))
-        cut = [
-            (doc, start, piece)
-            for doc, start, size in zip(spans.doc.tolist(), spans.start.tolist(), spans.size.tolist(), strict=True)
-            for text in raw[doc] if len(piece := text[start : start + size]) >= MATCH
-        ]
-        data = np.frombuffer(b"".join(c[2] for c in cut), np.uint8)
-        sizes = np.array([len(c[2]) for c in cut])
+    """Single windows of the spans asked for, as entries of their own; removed spans go on as they are."""
+    def run(docs: pa.Table, settled: pa.Table) -> pa.Table:
+        out = [r for r in zip(*(settled[c].to_pylist() for c in ("kind", "part", "blob")), strict=True) if r[0] == _SPAN]
+        spans = _gather(settled, _ASK)
+        if spans is None:
+            return pa.Table.from_batches([_batch(out)])
+        raw = {(doc, th): text for doc, th, text in _texts(docs)}
+        places = zip(spans.doc.tolist(), spans.text.tolist(), spans.start.tolist(), spans.size.tolist(), strict=True)
+        data = np.frombuffer(b"".join(raw[doc, th][start : start + size] for doc, th, start, size in places), np.uint8)
+        sizes = spans.size.astype(np.int64)
         begins, n = np.cumsum(sizes) - sizes, sizes - MATCH + 1
         at = np.repeat(begins - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        shift = at - np.repeat(begins, n)
-        whole, zero = Strings(data).hash(at, at + MATCH), np.zeros(len(at), np.uint32)
+        zero = np.zeros(len(at), np.uint32)
         found = Entries(
-            _words8(data)[at], (whole >> np.uint64(32)).astype(np.uint32), whole, zero, np.repeat(np.array([c[0] for c in cut], np.int64), n),
-            np.repeat(np.array([c[1] for c in cut]), n) + shift, np.full(len(at), MATCH, np.uint16),
+            _words8(data)[at], zero, Strings(data).hash(at, at + MATCH), zero, np.repeat(spans.doc, n),
+            np.repeat(spans.start, n) + at - np.repeat(begins, n), np.full(len(at), MATCH, np.uint16), zero.astype(np.uint8),
+            np.repeat(spans.text, n),
         )
-        return pa.Table.from_batches([_batch(_settle(found, blocks))])
+        return pa.Table.from_batches([_batch(out + _settle(found, blocks))])
 
     return run
 
@@ -364,26 +466,43 @@ def _windows(blocks: int):
 _CUT = "doc_id bigint, text_bytes binary, n_bytes bigint, n_removed bigint, n_spans bigint"
 
 
+def _cut_rows(rows: list[tuple[int | None, bytes, int, int, int]], whole: bool) -> pa.Table:
+    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+    columns = [[r[i] for r in rows] for i in range(5)]
+    if not whole:
+        columns[1] = [hashlib.sha256(b).hexdigest().encode() for b in columns[1]]
+    names = [part.split()[0] for part in _CUT.split(", ")]
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+
 def _cut(whole: bool):
     def run(docs: pa.Table, removed: pa.Table) -> pa.Table:
-        spans = _gather(removed)
-        by_doc = {} if spans is None else {int(spans.doc[at[0]]): at for _, at in _grouped(spans.doc)}
+        spans = _gather(removed, _SPAN)
+        of_text = {}
+        if spans is not None:
+            for _, at in _grouped(spans.doc):
+                for _, mine in _grouped(spans.text[at]):
+                    of_text[int(spans.doc[at[0]]), int(spans.text[at[mine[0]]])] = at[mine]
         rows = []
-        for doc, text in zip(docs["doc_id"].to_pylist(), docs["text"].to_pylist(), strict=True):
-            raw = (text or "").encode("utf-8", "surrogatepass")
-            at = by_doc.get(doc)
+        for doc, th, raw in _texts(docs):
+            at = of_text.get((doc, th))
             if at is None:
                 rows.append((doc, raw, len(raw), 0, 0))
                 continue
             starts, ends = _runs(spans.start[at], spans.start[at] + spans.size[at])
             kept = [raw[a:b] for a, b in zip([0, *ends.tolist()], [*starts.tolist(), len(raw)], strict=True)]
             rows.append((doc, b"".join(kept), len(raw), int((ends - starts).sum()), len(starts)))
-        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-        columns = [[r[i] for r in rows] for i in range(5)]
-        if not whole:
-            columns[1] = [hashlib.sha256(b).hexdigest().encode() for b in columns[1]]
-        names = [part.split()[0] for part in _CUT.split(", ")]
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+        return _cut_rows(rows, whole)
+
+    return run
+
+
+def _untouched(whole: bool):
+    """Rows without id, as they are."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raws = [(t or "").encode("utf-8", "surrogatepass") for t in batch["text"].to_pylist()]
+            yield from _cut_rows([(None, raw, len(raw), 0, 0) for raw in raws], whole).to_batches()
 
     return run
 
@@ -391,25 +510,33 @@ def _cut(whole: bool):
 def remove_repeats(docs: DataFrame, digest_only: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, text_bytes (what is left, or its SHA-256), n_bytes, n_removed, n_spans of every row."""
     docs = docs.select("doc_id", "text")
-    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-int(total) // block_bytes))
-    known = docs.where(F.col("doc_id").isNotNull())
-    settled = materialize(
-        known.mapInArrow(_map(blocks), _OUT).groupBy("part").applyInArrow(_reduce(blocks, True), _OUT), "spans"
+    total = int(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
+    blocks = max(1, -(-total // block_bytes))
+    bits = min(56, (total // 9 + 1).bit_length() + 8)  # about total / 18 anchors of two sides each
+    dealt = (
+        docs.where(F.col("doc_id").isNotNull()).withColumn("th", F.xxhash64("text"))
+        .withColumn("part", _block_column(blocks)).select("part", "doc_id", "th", "text")
+    )
+    by_block = dealt.groupBy("part")
+    answers = (
+        by_block.applyInArrow(_ask_sides(blocks, bits), _SIDES).groupBy("part").applyInArrow(_answer_sides, _SIDES)
+    )
+    settled = (
+        by_block.cogroup(answers.groupBy("part")).applyInArrow(_index(blocks, bits), _OUT)
+        .groupBy("part").applyInArrow(_reduce(blocks, True), _OUT)
     )
-    numbered = docs.withColumn("part", _block_column(blocks)).select("part", "doc_id", "text")
-    asked = settled.where(F.col("kind") == _ASK)
-    edges = (
-        numbered.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(_windows(blocks), _OUT)
+    removed = (
+        by_block.cogroup(settled.groupBy("part")).applyInArrow(_windows(blocks), _OUT)
         .groupBy("part").applyInArrow(_reduce(blocks, False), _OUT)
     )
-    spans = settled.where(F.col("kind") == _SPAN).unionByName(edges)
-    return numbered.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(_cut(not digest_only), _CUT)
+    cut = by_block.cogroup(removed.groupBy("part")).applyInArrow(_cut(not digest_only), _CUT)
+    return cut.unionByName(docs.where(F.col("doc_id").isNull()).mapInArrow(_untouched(not digest_only), _CUT))
 
 
 def _block_column(blocks: int):
-    """The block of a document as ``_block`` computes it; rows without id go by their text."""
-    def run(ids: pa.Array) -> pa.Array:
-        return pa.array(_block(ids.to_numpy(zero_copy_only=False).astype(np.int64), blocks).astype(np.int32))
+    """The block of a document as ``_block`` computes it."""
+    def run(ids: pa.Array, texts: pa.Array) -> pa.Array:
+        doc, th = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (ids, texts))
+        return pa.array(_block(doc, th, blocks).astype(np.int32))
 
-    return F.arrow_udf(run, "int")(F.coalesce(F.col("doc_id"), F.xxhash64("text")))
+    return F.arrow_udf(run, "int")(F.col("doc_id").cast("bigint"), F.col("th"))
