@@ -92,7 +92,8 @@ class Entries:
     """Columns of equal length. k1, gram2, id2, id3 identify a span; doc, start, size, text say where it is.
 
     k1 and gram2 are of the gram, id2 is the fingerprint of the span, id3 holds those of the two sides. text is the
-    hash of the document's text, lead the place of the gram in the span.
+    block of the document and, below 32 bits, the place of the text among those of its id there; lead is the place of
+    the gram in the span.
     """
 
     k1: np.ndarray
@@ -167,7 +168,7 @@ def _runs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def anchors(pieces: list[tuple[int, int, int, int, bytes]], texts: list[int] | None = None) -> Entries:
     """Entries of the anchors of pieces (doc, offset in the document, first window, last window + 1, bytes).
 
-    ``texts`` has the hash of each piece's text, for documents of several texts.
+    ``texts`` has the tag of each piece's text.
     """
     data = np.frombuffer(b"".join(p[4] for p in pieces), np.uint8)
     sizes = np.array([len(p[4]) for p in pieces])
@@ -218,10 +219,6 @@ def _grouped(key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield int(key[part[0]]), part
 
 
-def _block(doc: np.ndarray, text: np.ndarray, blocks: int) -> np.ndarray:
-    return (_mix((doc.view(np.uint64) + _C1) ^ _mix(text.view(np.uint64) + _C2)) % np.uint64(blocks)).astype(np.int64)
-
-
 _SPAN, _INDEX, _ASK = 0, 1, 2
 _OUT = "kind int, part int, blob binary"
 
@@ -233,13 +230,13 @@ def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     )
 
 
-def _spans(found: Entries, blocks: int, kind: int = _SPAN) -> list[tuple[int, int, bytes]]:
+def _spans(found: Entries, kind: int = _SPAN) -> list[tuple[int, int, bytes]]:
     """Places packed by block of the document; only doc, start and size matter."""
     bare = Entries(
         *(np.zeros_like(x) for x in (found.k1, found.gram2, found.id2, found.id3)), found.doc, found.start, found.size,
         np.zeros_like(found.lead), found.text,
     )
-    return [(kind, b, bare.take(at).pack()) for b, at in _grouped(_block(found.doc, found.text, blocks))] if len(found) else []
+    return [(kind, b, bare.take(at).pack()) for b, at in _grouped(found.text >> 32)] if len(found) else []
 
 
 def _settle(found: Entries, blocks: int) -> list[tuple[int, int, bytes]]:
@@ -253,7 +250,7 @@ def _settle(found: Entries, blocks: int) -> list[tuple[int, int, bytes]]:
     sent = found.take(found.doc == owner)
     gram = np.where(sent.gram2 > 0, sent.k1 + sent.gram2.astype(np.uint64) * _C3, sent.id2)
     place = (_mix(gram) % np.uint64(blocks)).astype(np.int64)
-    return [(_INDEX, b, sent.take(at).pack()) for b, at in _grouped(place)] + _spans(found.take(found.doc > owner), blocks)
+    return [(_INDEX, b, sent.take(at).pack()) for b, at in _grouped(place)] + _spans(found.take(found.doc > owner))
 
 
 def _earlier(level: Entries, batch: Entries) -> np.ndarray:
@@ -323,17 +320,23 @@ def _edges(known: Entries) -> Entries:
 
 
 def _texts(docs: pa.Table) -> Iterator[tuple[int, int, bytes]]:
-    for doc, th, text in zip(*(docs[c].to_pylist() for c in ("doc_id", "th", "text")), strict=True):
-        yield doc, th, (text or "").encode("utf-8", "surrogatepass")
+    """Rows of a block as doc_id, text tag (see ``Entries``) and bytes."""
+    keys = list(zip(docs["doc_id"].to_pylist(), docs["th"].to_pylist(), strict=True))
+    tags, last, rank = {}, None, 0
+    for doc, th in sorted(set(keys)):
+        rank = rank + 1 if doc == last else 0
+        tags[doc, th], last = docs["part"][0].as_py() << 32 | rank, doc
+    for key, text in zip(keys, docs["text"].to_pylist(), strict=True):
+        yield key[0], tags[key], (text or "").encode("utf-8", "surrogatepass")
 
 
 def _anchors_of(docs: pa.Table) -> Entries | None:
     """Entries of all texts of a block, some pieces at a time."""
     pieces, texts, held, done = [], [], 0, []
-    for doc, th, raw in _texts(docs):
+    for doc, tag, raw in _texts(docs):
         for piece in _pieces(doc, raw):
             pieces.append(piece)
-            texts.append(th)
+            texts.append(tag)
             held += len(piece[4])
             if held >= CHUNK_BYTES:
                 done.append(anchors(pieces, texts))
@@ -420,15 +423,15 @@ def _index(blocks: int, bits: int):
     return run
 
 
-def _reduce(blocks: int, edges: bool):
+def _reduce(edges: bool):
     def run(table: pa.Table) -> pa.Table:
         rows = list(zip(*(table[c].to_pylist() for c in ("kind", "part", "blob")), strict=True))
         out = [r for r in rows if r[0] == _SPAN]
         if index := [Entries.unpack(blob) for kind, _, blob in rows if kind == _INDEX]:
             removed, known = index_family(Entries.join(index))
-            out += _spans(removed, blocks)
+            out += _spans(removed)
             if edges:
-                out += _spans(_edges(known), blocks, _ASK)
+                out += _spans(_edges(known), _ASK)
         return pa.Table.from_batches([_batch(out)])
 
     return run
@@ -446,9 +449,9 @@ def _windows(blocks: int):
         spans = _gather(settled, _ASK)
         if spans is None:
             return pa.Table.from_batches([_batch(out)])
-        raw = {(doc, th): text for doc, th, text in _texts(docs)}
+        raw = {(doc, tag): text for doc, tag, text in _texts(docs)}
         places = zip(spans.doc.tolist(), spans.text.tolist(), spans.start.tolist(), spans.size.tolist(), strict=True)
-        data = np.frombuffer(b"".join(raw[doc, th][start : start + size] for doc, th, start, size in places), np.uint8)
+        data = np.frombuffer(b"".join(raw[doc, tag][start : start + size] for doc, tag, start, size in places), np.uint8)
         sizes = spans.size.astype(np.int64)
         begins, n = np.cumsum(sizes) - sizes, sizes - MATCH + 1
         at = np.repeat(begins - (np.cumsum(n) - n), n) + np.arange(n.sum())
@@ -484,8 +487,8 @@ def _cut(whole: bool):
                 for _, mine in _grouped(spans.text[at]):
                     of_text[int(spans.doc[at[0]]), int(spans.text[at[mine[0]]])] = at[mine]
         rows = []
-        for doc, th, raw in _texts(docs):
-            at = of_text.get((doc, th))
+        for doc, tag, raw in _texts(docs):
+            at = of_text.get((doc, tag))
             if at is None:
                 rows.append((doc, raw, len(raw), 0, 0))
                 continue
@@ -515,7 +518,7 @@ def remove_repeats(docs: DataFrame, digest_only: bool = False, block_bytes: int
     bits = min(56, (total // 9 + 1).bit_length() + 8)  # about total / 18 anchors of two sides each
     dealt = (
         docs.where(F.col("doc_id").isNotNull()).withColumn("th", F.xxhash64("text"))
-        .withColumn("part", _block_column(blocks)).select("part", "doc_id", "th", "text")
+        .withColumn("part", F.pmod(F.xxhash64("doc_id", "th"), F.lit(blocks)).cast("int")).select("part", "doc_id", "th", "text")
     )
     by_block = dealt.groupBy("part")
     answers = (
@@ -523,20 +526,11 @@ def remove_repeats(docs: DataFrame, digest_only: bool = False, block_bytes: int
     )
     settled = (
         by_block.cogroup(answers.groupBy("part")).applyInArrow(_index(blocks, bits), _OUT)
-        .groupBy("part").applyInArrow(_reduce(blocks, True), _OUT)
+        .groupBy("part").applyInArrow(_reduce(True), _OUT)
     )
     removed = (
         by_block.cogroup(settled.groupBy("part")).applyInArrow(_windows(blocks), _OUT)
-        .groupBy("part").applyInArrow(_reduce(blocks, False), _OUT)
+        .groupBy("part").applyInArrow(_reduce(False), _OUT)
     )
     cut = by_block.cogroup(removed.groupBy("part")).applyInArrow(_cut(not digest_only), _CUT)
     return cut.unionByName(docs.where(F.col("doc_id").isNull()).mapInArrow(_untouched(not digest_only), _CUT))
-
-
-def _block_column(blocks: int):
-    """The block of a document as ``_block`` computes it."""
-    def run(ids: pa.Array, texts: pa.Array) -> pa.Array:
-        doc, th = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (ids, texts))
-        return pa.array(_block(doc, th, blocks).astype(np.int32))
-
-    return F.arrow_udf(run, "int")(F.col("doc_id").cast("bigint"), F.col("th"))
