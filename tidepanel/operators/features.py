@@ -68,16 +68,13 @@ class FeatureSpec:
         )
 
     def fit(self, grid: Grid) -> Grid:
-        """Shorten chunks where the closed-form average would leave the range of a double."""
-        bars = max(grid.chunk_bars, self.lookback)
-        if self.atr_period > 1:
-            bars = min(bars, int(_MAX_EXPONENT / self.decay) - self.lookback)
-            if bars < self.lookback:
-                raise ValueError(
-                    f"a look-back of {self.lookback} bars is too long for atr_period {self.atr_period}: "
-                    "the average would leave the range of a double"
-                )
-        return grid.with_chunk(bars)
+        """Chunks long enough for every look-back; how fast the average forgets does not matter."""
+        return grid.with_chunk(max(grid.chunk_bars, self.lookback))
+
+    @property
+    def block_bars(self) -> int:
+        """Bars over which powers of the average's decay stay inside the range of a double."""
+        return max(1, int(_MAX_EXPONENT / self.decay)) if self.atr_period > 1 else 1
 
     def carried_chunks(self, grid: Grid) -> int:
         """Earlier chunks that can still weigh anything in the recursive average."""
@@ -159,7 +156,6 @@ def with_segment_features(
             daily, spec.liquidity, w.rowsBetween(1 - spec.liquidity, 0)
         ),
         "prev_20d_high": F.when(highs_in_frame == spec.high_bars, F.col("__prior_high")),
-        **_average_parts(spec.atr_period, w),
     }
     third = {
         "vol_exp_24h_raw": daily / _positive(F.col("vol_exp_24h_baseline")),
@@ -168,8 +164,12 @@ def with_segment_features(
             F.lit(False),
         ),
     }
-    featured = chunked.withColumns(first).withColumns(second).withColumns(third)
-    return featured.drop("__highs", "__prior_high", "__rn")
+    featured = chunked.withColumns(first).withColumns(second)
+    if spec.atr_period == 1 or grid.chunk_bars + spec.lookback <= spec.block_bars:
+        featured = featured.withColumns(_average_parts(spec.atr_period, w))
+    else:
+        featured = _blockwise_average_parts(featured, grid, spec)
+    return featured.withColumns(third).drop("__highs", "__prior_high", "__rn")
 
 
 def _average_parts(period: int, w: WindowSpec) -> dict[str, Column]:
@@ -179,7 +179,7 @@ def _average_parts(period: int, w: WindowSpec) -> dict[str, Column]:
     q^i * sum_j(TR_j / p * q^-max(j, p)) for a segment whose start is visible (``__avg_local``).
     For a segment running in from an earlier chunk it equals q^k * average_before + the same sum
     over own bars only (``__avg_own``), k counting own bars. All terms are positive, so nothing
-    cancels, and the chunk length keeps every power inside the range of a double.
+    cancels. Used where a chunk is short enough to keep every power inside the range of a double.
     """
     tr, rn = F.col("true_range"), F.col("__rn")
     running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -195,6 +195,55 @@ def _average_parts(period: int, w: WindowSpec) -> dict[str, Column]:
     }
 
 
+def _blockwise_average_parts(df: DataFrame, grid: Grid, spec: FeatureSpec) -> DataFrame:
+    """The columns of ``_average_parts`` where q^-(bars of a chunk) is no double.
+
+    A block of bars maps the average before it by x -> q^bars * x + (its rescaled sum). Inside a block sums are
+    rescaled by its own start; the maps of the blocks before are composed at their last bars. q^block_bars is
+    e^-600, so what lies two whole blocks back is below the smallest double and two maps are the whole chain.
+    """
+    period, size = spec.atr_period, spec.block_bars
+    w = _segment_window(grid)
+    running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(grid.key, CHUNK, SEGMENT, "__block").orderBy(grid.time).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    q, rn, i = F.lit((period - 1) / period), F.col("__rn"), F.col("__in_block")
+    share = F.col("true_range") / period
+    kinds = ("__avg_local", "__avg_own")
+
+    def of(mark: str, make) -> dict[str, Column]:
+        return {f"{kind}_{mark}": make(kind) for kind in kinds}
+
+    def at_end(col: Column) -> Column:
+        return F.last(F.when(i == size, col), ignorenulls=True).over(earlier)
+
+    df = df.withColumns(
+        {
+            "__block": F.floor((rn - 1) / size),
+            "__in_block": (rn - 1) % size + 1,
+            "__avg_local_term": F.when(rn == period, F.sum(share).over(running)).when(rn > period, share),
+            "__avg_own_term": F.when(F.col(OWN), share).otherwise(0.0),
+            "__k": F.count_if(F.col(OWN)).over(running),
+        }
+    )
+    df = df.withColumns(
+        of("sum", lambda kind: F.coalesce(F.pow(q, i) * F.sum(F.col(f"{kind}_term") * F.pow(q, -i)).over(inside), F.lit(0.0)))
+    )
+    df = df.withColumns(of("last", lambda kind: F.coalesce(at_end(F.col(f"{kind}_sum")), F.lit(0.0))))
+    whole = F.pow(q, F.lit(size))
+    df = df.withColumns(
+        of("before", lambda kind: F.coalesce(at_end(F.col(f"{kind}_sum") + whole * F.col(f"{kind}_last")), F.lit(0.0)))
+    )
+    known = {kind: F.count(f"{kind}_term").over(running) > 0 for kind in kinds}
+    df = df.withColumns(
+        {kind: F.when(known[kind], F.col(f"{kind}_sum") + F.pow(q, i) * F.col(f"{kind}_before")) for kind in kinds}
+    )
+    marks = [f"{kind}_{mark}" for kind in kinds for mark in ("term", "sum", "last", "before")]
+    return df.drop("__block", "__in_block", *marks)
+
+
 def _average(period: int) -> Column:
     """The Wilder average of own bars once the carry is joined in."""
     if period == 1:

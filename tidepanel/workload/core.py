@@ -316,14 +316,18 @@ def _tagged(v: Views):
     return add_time_series_features(v.bars_4h, SPEC, GRID)
 
 
-_ATR = f"""(
+def _atr_sql(period: int) -> str:
+    return f"""(
     WITH RECURSIVE base AS (SELECT * FROM {_TR}), walk AS (
-        SELECT symbol, seg, CAST(14 AS BIGINT) AS rn, avg(tr) AS atr FROM base WHERE rn <= 14
-            GROUP BY symbol, seg HAVING count(*) = 14
+        SELECT symbol, seg, CAST({period} AS BIGINT) AS rn, avg(tr) AS atr FROM base WHERE rn <= {period}
+            GROUP BY symbol, seg HAVING count(*) = {period}
         UNION ALL
-        SELECT b.symbol, b.seg, b.rn, (13 * walk.atr + b.tr) / 14 FROM walk JOIN base b
+        SELECT b.symbol, b.seg, b.rn, ({period - 1} * walk.atr + b.tr) / {period} FROM walk JOIN base b
             ON b.symbol = walk.symbol AND b.seg = walk.seg AND b.rn = walk.rn + 1)
     SELECT base.*, walk.atr FROM base LEFT JOIN walk USING (symbol, seg, rn))"""
+
+
+_ATR = _atr_sql(14)
 _BRK = f"""(SELECT *, coalesce(close > ph AND lag(close) OVER s <= lag(ph) OVER s, false) AS fresh
     FROM (SELECT *, CASE WHEN rn > 120 THEN max(high) OVER ({_w(120)}) END AS ph FROM {_ATR})
     WINDOW s AS (PARTITION BY symbol, seg ORDER BY open_time))"""
@@ -341,6 +345,18 @@ def _(v: Views):
     return _tagged(v)
 
 
+# An average that forgets within a few bars beside a look-back of hundreds.
+_FAST = FeatureSpec(atr_period=2, liquidity=600)
+
+
+@query(
+    "wilder_atr_fast", "symbol t:open_time d:atr_14",
+    f"SELECT symbol, open_time, atr AS atr_14 FROM {_atr_sql(2)}", "seg",
+)
+def _(v: Views):
+    return add_time_series_features(v.bars_4h, _FAST, GRID)
+
+
 @query(
     "distance_atr", "symbol t:open_time d:distance_to_20d_high_atr",
     f"SELECT symbol, open_time, CASE WHEN atr > 0 THEN (ph - close) / atr END AS distance_to_20d_high_atr FROM {_BRK}",
