@@ -287,7 +287,16 @@ def test_presence_rules_and_precedence(spark):
         [("REG", 1, ACCEPTED_CUTOFF, date(2024, 1, 25))],
         "symbol string, position int, review_status string, terminal_day date",
     )
-    got = presence_findings(presence, reviewed, episodes, cutoffs, F.lit("2024-01-30").cast("date")).collect()
+    found = presence_findings(presence, reviewed, episodes, cutoffs, F.lit("2024-01-30").cast("date"))
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    repeated = presence_findings(
+        presence.unionByName(presence).unionByName(spark.createDataFrame([(None, date(2024, 1, 1)), ("FINE", None), ("FINE", date(2024, 3, 1))], presence.schema)),
+        reviewed, episodes, cutoffs, F.lit("2024-01-30").cast("date"),
+    )
+    assert sorted(map(tuple, repeated.collect())) == sorted(map(tuple, found.collect()))
+    none = presence.where("false")
+    assert presence_findings(none, reviewed, episodes, cutoffs, F.lit("2024-01-30").cast("date")).count() == 0
+    got = found.collect()
     assert {(r.symbol, r.finding, str(r.detected_from), str(r.detected_to)) for r in got} == {
         ("HOLE", "interior_discontinuity", "2024-01-04", "2024-01-06"),
         ("MOVED", "reviewed_gap_changed", "2024-01-04", "2024-01-07"),

@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidepanel import fixed_values as fv
-from tidepanel.operators.series import series_steps
-
-# Chunks of about eleven years of days: presence has one row per day.
-_CHUNK_SECONDS = 4096 * 86_400
 
 RULES = [
     "interior_discontinuity",
@@ -19,16 +15,49 @@ RULES = [
 ]
 
 
-def _finding(rows: DataFrame, rule: str, detected_from: Column, detected_to: Column) -> DataFrame:
-    return rows.select(
-        "symbol",
-        F.lit(RULES.index(rule)).alias("priority"),
-        F.lit(rule).alias("finding"),
-        detected_from.alias("detected_from"),
-        detected_to.alias("detected_to"),
+def _events(presence: DataFrame, reviewed_gaps: DataFrame, episodes: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """All four inputs as narrow rows of one type; each kind fills its own columns."""
+    both = F.col("last_before").isNotNull() & F.col("first_after").isNotNull()
+    exact = (F.col("review_status") == fv.ACCEPTED_CUTOFF) & F.col("terminal_day").isNotNull()
+    kinds = [
+        presence.select("symbol", F.col("day").alias("__day"), F.lit(True).alias("__seen")),
+        reviewed_gaps.select(
+            "symbol", F.when(both, F.struct("last_before", "first_after")).alias("__pair"),
+            F.col("terminal_day").alias("__gap_terminal"),
+        ),
+        episodes.select(
+            "symbol", F.col("position").cast("bigint").alias("__position"), F.col("terminated_day").alias("__terminated_day")
+        ),
+        cutoffs.where(exact).select(
+            "symbol", F.struct(F.col("position").cast("bigint").alias("position"), "terminal_day").alias("__cutoff")
+        ),
+    ]
+    events = kinds[0]
+    for kind in kinds[1:]:
+        events = events.unionByName(kind, allowMissingColumns=True)
+    return events.where(F.col("symbol").isNotNull())
+
+
+def _findings(rule: str, spans: Column) -> Column:
+    """Spans (from, to) of an array as findings of a rule."""
+    return F.transform(
+        spans,
+        lambda s: F.struct(
+            F.lit(RULES.index(rule)).alias("priority"), F.lit(rule).alias("finding"),
+            s["from"].alias("detected_from"), s["to"].alias("detected_to"),
+        ),
     )
 
 
+def _span(start: Column, end: Column) -> Column:
+    return F.struct(start.alias("from"), end.alias("to"))
+
+
+def _if(condition: Column, start: Column, end: Column) -> Column:
+    """One span where the condition holds, else none."""
+    return F.filter(F.array(_span(start, end)), lambda _: F.coalesce(condition, F.lit(False)))
+
+
 def presence_findings(
     presence: DataFrame,
     reviewed_gaps: DataFrame,
@@ -43,84 +72,65 @@ def presence_findings(
     episodes       (symbol, position, terminated_day); symbols without rows have one open episode
     cutoffs        (symbol, position, review_status, terminal_day)   reviewed registry rows
     horizon        exclusive date
-    """
-    days = presence.filter(F.col("day") < horizon).groupBy("symbol", "day").agg(F.lit(1).alias("__p"))
-    steps = series_steps(
-        days.withColumn("at", F.col("day").cast("timestamp")), ["symbol"], "at", _CHUNK_SECONDS
-    ).select("symbol", F.to_date("previous").alias("last_before"), F.to_date("current").alias("first_after"))
-    jumps = steps.filter(F.datediff("first_after", "last_before") > 1)
-    gap_pairs = reviewed_gaps.filter("last_before IS NOT NULL AND first_after IS NOT NULL").select(
-        "symbol", "last_before", "first_after"
-    )
-    pair = ["symbol", "last_before", "first_after"]
 
-    unexplained = jumps.join(gap_pairs, pair, "left_anti").groupBy("symbol").agg(
-        F.min(F.concat_ws(" ", "last_before", "first_after")).alias("__first")
-    )
-    first_pair = F.split("__first", " ")
-    interior = _finding(
-        unexplained, "interior_discontinuity", first_pair[0].cast("date"), first_pair[1].cast("date")
-    )
-
-    present = days.select("symbol", "day")
-    both_seen = gap_pairs.join(
-        present.withColumnRenamed("day", "last_before"), ["symbol", "last_before"], "left_semi"
-    ).join(present.withColumnRenamed("day", "first_after"), ["symbol", "first_after"], "left_semi")
-    changed = _finding(
-        both_seen.join(steps, pair, "left_anti"),
-        "reviewed_gap_changed", F.col("last_before"), F.col("first_after"),
-    )
-
-    span = presence.groupBy("symbol").agg(
-        F.max(F.when(F.col("day") < horizon, F.col("day"))).alias("last_day")
-    )
-    state = (
-        span.join(
-            episodes.groupBy("symbol").agg(
-                F.max("position").alias("episode_count"),
-                F.max_by("terminated_day", "position").alias("__final"),
-                F.max("terminated_day").alias("__terminated"),
-            ),
-            "symbol", "left",
-        )
-        .join(reviewed_gaps.select("symbol", F.col("terminal_day").alias("__gap_terminal")), "symbol", "left")
-        .withColumn("episode_count", F.coalesce("episode_count", F.lit(1)))
-    )
-    exact = cutoffs.filter(
-        (F.col("review_status") == fv.ACCEPTED_CUTOFF) & F.col("terminal_day").isNotNull()
-    )
-    closed = exact.join(state.select("symbol", "episode_count"), "symbol").filter(
-        F.col("position") == F.col("episode_count")
-    ).select("symbol").distinct().withColumn("__closed", F.lit(True))
-    state = state.join(closed, "symbol", "left").withColumns(
+    All inputs meet as events in one shuffle by symbol. A symbol's state is its set of days, built by partial
+    aggregation: as long as the calendar, however many rows say so. Rules are expressions over that state, and
+    precedence is the place in their array. Symbols without presence rows and the null symbol have no findings.
+    """
+    symbols = _events(presence, reviewed_gaps, episodes, cutoffs).groupBy("symbol").agg(
+        F.bool_or("__seen").alias("__seen"),
+        F.sort_array(F.collect_set(F.when(F.col("__day") < horizon, F.col("__day")))).alias("__days"),
+        F.collect_set("__pair").alias("__pairs"),
+        F.max("__gap_terminal").alias("__gap_terminal"),
+        F.coalesce(F.max("__position"), F.lit(1).cast("bigint")).alias("__count"),
+        F.max_by("__terminated_day", "__position").alias("__final"),
+        F.max("__terminated_day").alias("__terminated"),
+        F.collect_set("__cutoff").alias("__cutoffs"),
+    ).where("__seen")
+    days, size = F.col("__days"), F.size("__days")
+    steps = F.when(
+        size > 1,
+        F.zip_with(
+            F.slice(days, F.lit(1), size - 1), F.slice(days, F.lit(2), size - 1),
+            lambda a, b: F.struct(a.alias("last_before"), b.alias("first_after")),
+        ),
+    ).otherwise(F.array().cast("array<struct<last_before:date,first_after:date>>"))
+    state = symbols.withColumns(
         {
+            "__steps": steps,
+            "__last": F.get(days, size - 1),
             "__terminal": F.greatest("__terminated", "__gap_terminal"),
-            "__open": F.col("__final").isNull() & F.col("__closed").isNull(),
+            "__open": F.col("__final").isNull() & ~F.exists("__cutoffs", lambda c: c["position"] == F.col("__count")),
         }
     )
-    after_terminal = _finding(
-        state.filter(~F.col("__open") & (F.col("last_day") > F.col("__terminal"))),
-        "activity_after_terminal", F.col("__terminal"), F.col("last_day"),
+    last, expected = F.col("__last"), F.date_sub(horizon, 1)
+    jumps = F.filter(
+        F.filter("__steps", lambda s: F.datediff(s["first_after"], s["last_before"]) > 1),
+        lambda s: ~F.array_contains("__pairs", s),
+    )
+    changed = F.filter(
+        "__pairs",
+        lambda g: F.array_contains("__days", g["last_before"]) & F.array_contains("__days", g["first_after"])
+        & ~F.array_contains("__steps", g),
     )
-    after_cutoff = _finding(
-        exact.join(state.select("symbol", "episode_count", "last_day"), "symbol")
-        .filter((F.col("position") >= F.col("episode_count")) & (F.col("last_day") > F.col("terminal_day")))
-        .groupBy("symbol").agg(F.min("terminal_day").alias("terminal_day"), F.max("last_day").alias("last_day")),
-        "activity_after_registry_terminal", F.col("terminal_day"), F.col("last_day"),
+    passed = F.transform(
+        F.filter("__cutoffs", lambda c: (c["position"] >= F.col("__count")) & (last > c["terminal_day"])),
+        lambda c: c["terminal_day"],
     )
-    expected = F.date_sub(horizon, 1)
-    frontier = _finding(
-        state.filter(F.col("__open") & (F.col("last_day").isNull() | (F.col("last_day") < expected))),
-        "frontier_missing", F.col("last_day"), expected,
+    as_span = lambda s: _span(s["last_before"], s["first_after"])
+    state = state.withColumn("__passed", F.array_min(passed))
+    found = F.concat(
+        _findings("interior_discontinuity", F.slice(F.transform(jumps, as_span), 1, 1)),
+        _findings("reviewed_gap_changed", F.transform(changed, as_span)),
+        _findings(
+            "activity_after_terminal", _if(~F.col("__open") & (last > F.col("__terminal")), F.col("__terminal"), last)
+        ),
+        _findings("activity_after_registry_terminal", _if(F.col("__passed").isNotNull(), F.col("__passed"), last)),
+        _findings("frontier_missing", _if(F.col("__open") & (last.isNull() | (last < expected)), last, expected)),
     )
-    every = interior.unionByName(changed).unionByName(after_terminal).unionByName(
-        after_cutoff
-    ).unionByName(frontier)
-    # At most five candidate rows per symbol; the first rule wins, except that the frontier rule
-    # may follow a registry terminal.
-    lead = every.groupBy("symbol").agg(F.min("priority").alias("__lead"))
-    registry = RULES.index("activity_after_registry_terminal")
-    kept = (F.col("priority") == F.col("__lead")) | (
-        (F.col("__lead") == registry) & (F.col("finding") == "frontier_missing")
+    lead = F.get("__found", F.lit(0))["priority"]
+    registry, frontier = (RULES.index(r) for r in ("activity_after_registry_terminal", "frontier_missing"))
+    kept = F.filter(
+        "__found", lambda f: (f["priority"] == lead) | ((lead == registry) & (f["priority"] == frontier))
     )
-    return every.join(lead, "symbol").filter(kept).drop("__lead", "priority")
+    return state.select("symbol", found.alias("__found")).select("symbol", F.inline(kept)).drop("priority")

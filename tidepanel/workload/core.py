@@ -345,13 +345,14 @@ def _(v: Views):
     return _tagged(v)
 
 
-# An average that forgets within a few bars beside a look-back of hundreds.
-_FAST = FeatureSpec(atr_period=2, liquidity=600)
+# An average that forgets within a few bars beside a look-back of hundreds. With a period of 2, exact values would
+# lie on ties of the rounding to 8 decimals.
+_FAST = FeatureSpec(atr_period=3, liquidity=600)
 
 
 @query(
     "wilder_atr_fast", "symbol t:open_time d:atr_14",
-    f"SELECT symbol, open_time, atr AS atr_14 FROM {_atr_sql(2)}", "seg",
+    f"SELECT symbol, open_time, atr AS atr_14 FROM {_atr_sql(3)}", "seg",
 )
 def _(v: Views):
     return add_time_series_features(v.bars_4h, _FAST, GRID)
