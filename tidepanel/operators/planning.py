@@ -18,15 +18,19 @@ _DAY = 86_400 * MICROS
 
 def parsed_keys(keys: DataFrame) -> DataFrame:
     """``(object_key)`` rows inside the key grammar, with their fields and half-open bounds."""
-    parsed = keys.withColumn("__k", parse_object_key(F.col("object_key"))).filter("__k IS NOT NULL")
-    start, end = period_bounds(F.col("source_kind"), F.col("source_period"))
-    return parsed.select(
+    # Exploding an array of one keeps the optimizer from copying the parse into every use of a field.
+    start, end = period_bounds(F.col("__k.source_kind"), F.col("__k.period"))
+    parsed = keys.select("object_key", F.explode(F.array(parse_object_key(F.col("object_key")))).alias("__k"))
+    bounded = F.struct("__k.*", start.alias("range_start"), end.alias("range_end"))
+    return parsed.filter("__k IS NOT NULL").select("object_key", F.explode(F.array(bounded)).alias("__k")).select(
         "object_key",
         F.col("__k.source_kind").alias("source_kind"),
         F.col("__k.symbol").alias("symbol"),
         F.col("__k.period").alias("source_period"),
         F.col("__k.filename").alias("filename"),
-    ).withColumns({"range_start": start, "range_end": end})
+        F.col("__k.range_start").alias("range_start"),
+        F.col("__k.range_end").alias("range_end"),
+    )
 
 
 def paged_ranges(tails: DataFrame, cutoff: Column, page_hours: int = fv.TAIL_PAGE_HOURS) -> DataFrame:
@@ -79,60 +83,107 @@ def plan_source_tiers(
     warmup_month: Column,
     cutoff: Column,
     page_hours: int = fv.TAIL_PAGE_HOURS,
+) -> SourcePlan:
+    """``plan_from_keys`` for monthly and daily keys that were parsed apart."""
+    return plan_from_keys(
+        monthly.unionByName(daily), approved, candidates, ranges, warmup_month, cutoff, page_hours
+    )
+
+
+def _planning_state(keys: DataFrame, approved: DataFrame, candidates: DataFrame, ranges: DataFrame, hour: Column) -> DataFrame:
+    """One row per symbol from one shuffle: its keys before the hour, its flags and how far it is live.
+
+    A symbol's keys are one per month or day of the calendar, so its list is short.
+    """
+    key = F.struct("range_start", "range_end", F.col("object_key").alias("source_key"), "source_period", "source_kind")
+    flag = F.lit(True)
+    kinds = [
+        keys.filter(F.col("range_end") <= hour).select("symbol", key.alias("__key")),
+        approved.select("symbol", flag.alias("__ours")),
+        candidates.select("symbol", flag.alias("__candidate")),
+        ranges.filter(F.col("range_start") < hour).select("symbol", F.col("range_end").alias("__live")),
+    ]
+    events = kinds[0]
+    for kind in kinds[1:]:
+        events = events.unionByName(kind, allowMissingColumns=True)
+    # Events without symbol belong to no instrument.
+    return events.filter("symbol IS NOT NULL").groupBy("symbol").agg(
+        F.sort_array(F.collect_list("__key")).alias("__keys"),
+        F.coalesce(F.bool_or("__ours"), F.lit(False)).alias("__ours"),
+        F.coalesce(F.bool_or("__candidate"), F.lit(False)).alias("__candidate"),
+        F.max("__live").alias("__live_until"),
+    )
+
+
+def plan_from_keys(
+    keys: DataFrame,
+    approved: DataFrame,
+    candidates: DataFrame,
+    ranges: DataFrame,
+    warmup_month: Column,
+    cutoff: Column,
+    page_hours: int = fv.TAIL_PAGE_HOURS,
 ) -> SourcePlan:
     """Monthly files before the cutoff month, daily files after it, then an hourly tail.
 
-    ``monthly``/``daily`` are parsed keys, ``approved``/``candidates`` symbol tables and ``ranges``
-    the active ranges of the instruments (open ones reaching the cutoff). The first missing day of
-    a symbol ends its daily tier; an observed day after it is an interior gap. Per symbol the days
-    of one month are few, so the calendar below is 31 rows per symbol at most.
+    ``keys`` are parsed keys, ``approved``/``candidates`` symbol tables and ``ranges`` the active ranges of
+    the instruments (open ones reaching the cutoff). The first missing day of a symbol ends its daily
+    tier; an observed day after it is an interior gap. Tiers, gaps and unknown identities are expressions
+    over one row per symbol, so the plan takes one shuffle.
     """
     hour = F.date_trunc("hour", cutoff)
     boundary = F.date_trunc("month", hour)
     last_day_end = F.date_trunc("day", hour)
-    ours = approved.select("symbol").distinct()
+    warmup = F.date_trunc("month", warmup_month)
 
-    months = monthly.filter(
-        (F.col("range_start") >= F.date_trunc("month", warmup_month)) & (F.col("range_end") <= boundary)
-    ).join(ours, "symbol", "left_semi")
-    gone = missing_months(
-        ranges.join(ours, "symbol", "left_semi"),
-        months.select("symbol", F.col("source_period").alias("period")),
-        warmup_month,
-        F.add_months(boundary.cast("date"), -1),
+    state = _planning_state(keys, approved, candidates, ranges, hour)
+    daily = F.filter("__keys", lambda k: k["source_kind"] == "daily")
+    ours = state.filter("__ours").withColumns(
+        {
+            "__months": F.filter(
+                "__keys",
+                lambda k: (k["source_kind"] == "monthly") & (k["range_start"] >= warmup) & (k["range_end"] <= boundary),
+            ),
+            # The n-th observed day of a full run is the n-th day of the month.
+            "__days": F.transform(
+                F.filter(daily, lambda k: k["range_start"] >= boundary),
+                lambda k, i: F.struct(
+                    k.alias("key"), F.timestamp_micros(micros(boundary) + i * F.lit(_DAY)).alias("expected")
+                ),
+            ),
+        }
+    ).withColumns(
+        {
+            "__unbroken": F.transform(
+                F.filter("__days", lambda d: d["key"]["range_start"] == d["expected"]), lambda d: d["key"]
+            ),
+            "__late": F.filter("__days", lambda d: d["key"]["range_start"] > d["expected"]),
+        }
+    ).withColumn(
+        "__tail_start", F.coalesce(F.array_max(F.transform("__unbroken", lambda k: k["range_end"])), boundary)
     )
 
-    in_window = daily.filter(F.col("range_end") <= hour)
-    unknown = (
-        in_window.select("symbol").distinct()
-        .join(candidates.select("symbol"), "symbol", "left_anti")
-    )
-    days = in_window.filter(F.col("range_start") >= boundary).join(ours, "symbol", "left_semi")
-    # The n-th observed day of a full run is the n-th day of the month: the first symbol-wise
-    # mismatch is the first missing day.
-    order = Window.partitionBy("symbol").orderBy("range_start")
-    placed = days.withColumn(
-        "__expected", F.timestamp_micros(micros(boundary) + (F.row_number().over(order) - 1) * F.lit(_DAY))
-    )
-    unbroken = placed.filter(F.col("range_start") == F.col("__expected"))
-    broken = placed.filter(F.col("range_start") > F.col("__expected")).groupBy("symbol").agg(
-        F.min("__expected").alias("missing_day"), F.max("range_start").alias("latest_observed_day")
-    )
-    tail_start = (
-        ours.join(unbroken.groupBy("symbol").agg(F.max("range_end").alias("__end")), "symbol", "left")
-        .select("symbol", F.coalesce("__end", boundary).alias("tail_start"))
-        .filter(F.col("tail_start") < hour)
-    )
-    live = ranges.filter(F.col("range_start") < hour).groupBy("symbol").agg(
-        F.max("range_end").alias("__live_until")
-    )
     # Ranges are clipped at the cutoff, so reaching past the tail start means being active in it.
-    tails = tail_start.join(live, "symbol").filter(F.col("__live_until") > F.col("tail_start"))
-    sources = (
-        _archive_rows(months)
-        .unionByName(_archive_rows(unbroken.filter(F.col("range_start") < last_day_end)))
-        .unionByName(page_sources(paged_ranges(tails, cutoff, page_hours)))
+    is_live = (F.col("__tail_start") < hour) & (F.col("__live_until") > F.col("__tail_start"))
+    archives = ours.select(
+        "symbol",
+        F.inline(F.concat("__months", F.filter("__unbroken", lambda k: k["range_start"] < last_day_end))),
+    ).select(*SOURCE_COLUMNS)
+    tails = ours.filter(is_live).select("symbol", F.col("__tail_start").alias("tail_start"))
+    broken = ours.filter(F.size("__late") > 0).select(
+        "symbol",
+        F.array_min(F.transform("__late", lambda d: d["expected"])).alias("missing_day"),
+        F.array_max(F.transform("__late", lambda d: d["key"]["range_start"])).alias("latest_observed_day"),
+    )
+    gone = missing_months(
+        ranges.join(approved.select("symbol").distinct(), "symbol", "left_semi"),
+        ours.select("symbol", F.explode("__months").alias("m")).select("symbol", F.col("m.source_period").alias("period")),
+        warmup_month,
+        F.add_months(boundary.cast("date"), -1),
     )
+    unknown = state.filter(~F.col("__candidate") & (F.size(daily) > 0)).select("symbol")
+    # Both branches read one exchange: their plans are equal up to the aggregate.
+    sources = archives.unionByName(page_sources(paged_ranges(tails, cutoff, page_hours)))
     return SourcePlan(sources, gone, broken, unknown)
 
 

@@ -574,21 +574,23 @@ _RUNS = f"""(SELECT symbol, day, row_number() OVER (PARTITION BY symbol ORDER BY
     WHERE day < DATE '2024-01-20' AND symbol IN (SELECT * FROM {_OURS}))"""
 
 
-def _plan(v: Views):
+def _listing(v: Views):
+    """Object keys of the presence: a file per day, and for every other user one of the month before."""
+    days = v.presence.select(daily_bar_key(F.col("symbol"), F.col("day").cast("string")).alias("object_key"))
+    users = v.presence.select("symbol", "user_id").distinct().filter(F.col("user_id") % 2 == 0)
+    return days.unionByName(users.select(monthly_bar_key(F.col("symbol"), F.lit("2023-12")).alias("object_key")))
+
+
+def _plan(v: Views, listing=None):
     users = v.presence.select("symbol", "user_id").distinct()
     approved = users.filter(F.col("user_id") % 4 != 1).select("symbol")
     candidates = users.filter(F.col("user_id") != 3).select("symbol")
-    daily = pl.parsed_keys(
-        v.presence.select(daily_bar_key(F.col("symbol"), F.col("day").cast("string")).alias("object_key"))
-    )
-    monthly = pl.parsed_keys(
-        users.filter(F.col("user_id") % 2 == 0).select(monthly_bar_key(F.col("symbol"), F.lit("2023-12")).alias("object_key"))
-    )
+    keys = pl.parsed_keys(_listing(v) if listing is None else listing)
     start = F.when(F.col("user_id") % 2 == 0, at("2023-12-05 00:00:00")).otherwise(at("2024-01-01 00:00:00"))
     end = F.when(F.col("user_id") % 9 == 0, at("2024-01-04 00:00:00")).otherwise(at("2024-01-20 09:00:00"))
     ranges = users.select("symbol", start.alias("range_start"), end.alias("range_end"))
-    return pl.plan_source_tiers(
-        monthly, daily, approved, candidates, ranges, F.lit("2023-12-01").cast("timestamp"),
+    return pl.plan_from_keys(
+        keys, approved, candidates, ranges, F.lit("2023-12-01").cast("timestamp"),
         at("2024-01-20 09:30:00"), page_hours=100,
     )
 
@@ -643,9 +645,11 @@ def _(v: Views):
     from tidepanel.session import scratch_path
     from tidepanel.sources.sinks import read_stage, write_stage
 
-    path = scratch_path(v.spark, "plan")
-    write_stage(_plan(v).sources, path)
-    return replay_equal(read_stage(v.spark, path), _plan(v).sources)
+    # The stored plan against one made anew from the listing as it was stored.
+    plan, listing = (scratch_path(v.spark, name) for name in ("plan", "listing"))
+    write_stage(_plan(v).sources, plan)
+    write_stage(_listing(v), listing)
+    return replay_equal(read_stage(v.spark, plan), _plan(v, read_stage(v.spark, listing)).sources)
 
 
 @query(
