@@ -122,13 +122,15 @@ def duplicate_benchmarks(df: DataFrame, benchmark: str = fv.BENCHMARK_SYMBOL) ->
 
 
 def add_benchmark_relative(
-    df: DataFrame, benchmark: str = fv.BENCHMARK_SYMBOL, horizons: Sequence[str] = tuple(HORIZONS)
+    df: DataFrame, benchmark: str = fv.BENCHMARK_SYMBOL, horizons: Sequence[str] = tuple(HORIZONS),
+    panel: DataFrame | None = None,
 ) -> DataFrame:
     """Forward returns minus the benchmark's at the same timestamp.
 
-    Joins the benchmark rows, one per timestamp, which AQE can broadcast or skew-split.
+    Joins the benchmark rows, one per timestamp, which AQE can broadcast or skew-split. ``panel`` holds the
+    same rows in stored form, where ``df`` is a plan that had better not be run twice.
     """
-    rows = df.filter(F.col("symbol") == benchmark).groupBy("open_time").agg(
+    rows = (df if panel is None else panel).filter(F.col("symbol") == benchmark).groupBy("open_time").agg(
         *[F.max(f"fwd_return_{h}").alias(f"btc_fwd_return_{h}") for h in horizons]
     )
     with_benchmark = df.join(rows, "open_time", "left")
@@ -140,10 +142,15 @@ def add_benchmark_relative(
     )
 
 
-def add_median_excess(df: DataFrame, horizons: Sequence[str] = tuple(HORIZONS)) -> DataFrame:
-    """Forward return minus the median of rankable rows at the same timestamp, for all rows."""
+def add_median_excess(
+    df: DataFrame, horizons: Sequence[str] = tuple(HORIZONS), panel: DataFrame | None = None
+) -> DataFrame:
+    """Forward return minus the median of rankable rows at the same timestamp, for all rows.
+
+    ``panel`` as in ``add_benchmark_relative``.
+    """
     names = [f"fwd_return_{h}" for h in horizons]
-    medians = group_medians(df.filter(rankable()), "open_time", names)
+    medians = group_medians((df if panel is None else panel).filter(rankable()), "open_time", names)
     renamed = medians.select("open_time", *[F.col(n).alias(f"__median_{n}") for n in names])
     joined = df.join(renamed, "open_time", "left")
     return joined.withColumns(

@@ -84,32 +84,53 @@ def add_percentiles(
     do not count. Rows that agree in the group and all sources share one narrow row, which is ranked
     for all sources together and joined back to the wide rows once.
     """
-    mask = rankable() if mask is None else mask
-    values = {source: f"__v{i}" for i, source in enumerate(sources)}
-    keyed = df.withColumns(
-        {v: F.when(mask, present(F.col(s))).cast("double") + F.lit(0.0) for s, v in values.items()}
+    keyed = _keyed(df, sources, rankable() if mask is None else mask)
+    return _join_back(keyed, _ranked_tuples(keyed, sources, group), list(sources.values()), len(sources), group)
+
+
+def _value_names(count: int) -> list[str]:
+    return [f"__v{i}" for i in range(count)]
+
+
+def _keyed(df: DataFrame, sources: Mapping[str, str], mask: Column) -> DataFrame:
+    """Rows with the values that take part in the ranks beside their own columns."""
+    return df.withColumns(
+        {v: F.when(mask, present(F.col(s))).cast("double") + F.lit(0.0) for s, v in zip(sources, _value_names(len(sources)), strict=True)}
     )
-    rows = keyed.groupBy(group, *values.values()).agg(F.count(F.lit(1)).alias("__n"))
+
+
+def _ranked_tuples(keyed: DataFrame, sources: Mapping[str, str], group: str) -> DataFrame:
+    """Each distinct tuple of values of a group with its rows ``__n`` and the percentile of every value."""
+    values = _value_names(len(sources))
+    rows = keyed.groupBy(group, *values).agg(F.count(F.lit(1)).alias("__n"))
     cells = F.array(*[
-        F.struct(F.lit(i).alias("__s"), F.col(v).alias("__x")) for i, v in enumerate(values.values())
+        F.struct(F.lit(i).alias("__s"), F.col(v).alias("__x")) for i, v in enumerate(values)
     ])
     long = rows.select("*", F.explode(cells).alias("__c")).select(
-        group, *values.values(), "__n", "__c.__s", "__c.__x"
+        group, *values, "__n", "__c.__s", "__c.__x"
     ).where(F.col("__x").isNotNull())
-    pct = (F.col("below") + (F.col("ties") + 1) / 2) / F.col("size")
     placed = ordered_counts(long, [group, "__s"], "__x", F.col("__n")).select(
-        group, "__s", "__x", pct.alias("__pct")
+        group, "__s", "__x", _average_place().alias("__pct")
     )
-    back = long.join(placed, [group, "__s", "__x"]).groupBy(group, *values.values()).agg(
-        *[F.max(F.when(F.col("__s") == i, F.col("__pct"))).alias(t) for i, t in enumerate(sources.values())]
+    return long.join(placed, [group, "__s", "__x"]).groupBy(group, *values).agg(
+        F.max("__n").alias("__n"),
+        *[F.max(F.when(F.col("__s") == i, F.col("__pct"))).alias(t) for i, t in enumerate(sources.values())],
     )
-    renamed = {c: f"__r_{c}" for c in (group, *values.values())}
-    right = back.withColumnsRenamed(renamed)
+
+
+def _average_place() -> Column:
+    return (F.col("below") + (F.col("ties") + 1) / 2) / F.col("size")
+
+
+def _join_back(keyed: DataFrame, tuples: DataFrame, targets: list[str], count: int, group: str) -> DataFrame:
+    """The wide rows with the columns of their tuple, in one join."""
+    values = _value_names(count)
+    renamed = {c: f"__r_{c}" for c in (group, *values)}
+    right = tuples.select(group, *values, *targets).withColumnsRenamed(renamed)
     same = F.lit(True)
     for ours, theirs in renamed.items():
         same = same & keyed[ours].eqNullSafe(right[theirs])
-    joined = keyed.drop(*[t for t in sources.values()]).join(right, same, "left")
-    return joined.drop(*values.values(), *renamed.values())
+    return keyed.drop(*targets).join(right, same, "left").drop(*values, *renamed.values())
 
 
 def score_columns() -> dict[str, Column]:
@@ -126,13 +147,21 @@ def decile(pct: Column, buckets: int = 10) -> Column:
     return F.when(pct.isNotNull(), bucket.cast("int"))
 
 
-def add_cross_sectional_ranks(df: DataFrame) -> DataFrame:
-    """Component percentiles, score, score percentile, decile and top-bucket flag."""
-    # The score is ranked in turn: without a cut its branches would repeat the joins above.
-    ranked = materialize(add_percentiles(df, RANK_SOURCES).withColumns(score_columns()), "ranked")
-    scored = add_percentiles(ranked, {"hot_score": "hot_score_pct"})
-    flagged = scored.withColumn("hot_decile", decile(F.col("hot_score_pct")))
-    return flagged.withColumn("is_hot", F.coalesce(F.col("hot_decile") == 10, F.lit(False)))
+def add_cross_sectional_ranks(df: DataFrame, group: str = "open_time") -> DataFrame:
+    """Component percentiles, score, score percentile, decile and top-bucket flag.
+
+    The score depends on the tuple of values alone, so it is formed and ranked on the narrow tuples, which
+    are stored once; the wide rows are neither stored nor joined a second time.
+    """
+    keyed = _keyed(df, RANK_SOURCES, rankable())
+    tuples = materialize(_ranked_tuples(keyed, RANK_SOURCES, group).withColumns(score_columns()), "ranked-tuples")
+    placed = ordered_counts(tuples, [group], "hot_score", F.col("__n")).select(
+        group, "hot_score", _average_place().alias("hot_score_pct")
+    )
+    scored = tuples.join(placed, [group, "hot_score"], "left").withColumn("hot_decile", decile(F.col("hot_score_pct")))
+    targets = [*RANK_SOURCES.values(), "hot_score", "hot_score_pct", "hot_decile"]
+    joined = _join_back(keyed, scored, targets, len(RANK_SOURCES), group)
+    return joined.withColumn("is_hot", F.coalesce(F.col("hot_decile") == 10, F.lit(False)))
 
 
 def top_decile(df: DataFrame) -> DataFrame:
@@ -140,19 +169,19 @@ def top_decile(df: DataFrame) -> DataFrame:
 
 
 def group_medians(df: DataFrame, group: str, values: Sequence[str]) -> DataFrame:
-    """Exact median of every value column per group, without holding a group in one task."""
-    result = df.select(group).distinct()
-    for value in values:
-        plain = df.select(group, present(F.col(value)).alias(value))
-        placed = ordered_counts(plain, [group], value)
-        low, high = F.floor((F.col("size") - 1) / 2), F.floor(F.col("size") / 2)
-        last = F.col("below") + F.col("ties")
-        middle = placed.groupBy(group).agg(
-            F.max(F.when((F.col("below") <= low) & (low < last), F.col(value))).alias("__low"),
-            F.max(F.when((F.col("below") <= high) & (high < last), F.col(value))).alias("__high"),
-        )
-        result = result.join(
-            middle.select(group, ((F.col("__low") + F.col("__high")) / 2).alias(value)),
-            group, "left",
-        )
-    return result
+    """Exact median of every value column per group, without holding a group in one task.
+
+    All columns are turned into rows and counted together: one pass over ``df``, whatever their number.
+    A group without any value has no row.
+    """
+    cells = F.array(*[F.struct(F.lit(i).alias("__s"), present(F.col(v)).cast("double").alias("__x")) for i, v in enumerate(values)])
+    long = df.select(group, F.explode(cells).alias("__c")).select(group, "__c.__s", "__c.__x")
+    placed = ordered_counts(long, [group, "__s"], "__x")
+    low, high = F.floor((F.col("size") - 1) / 2), F.floor(F.col("size") / 2)
+    last = F.col("below") + F.col("ties")
+    middle = placed.where((F.col("below") <= high) & (low < last)).groupBy(group)
+
+    def at(place: Column, i: int) -> Column:
+        return F.max(F.when((F.col("__s") == i) & (F.col("below") <= place) & (place < last), F.col("__x")))
+
+    return middle.agg(*[((at(low, i) + at(high, i)) / 2).alias(v) for i, v in enumerate(values)])

@@ -105,14 +105,14 @@ def observations_from_eligible(eligible: DataFrame, spec: SliceSpec = SliceSpec(
     Three shuffles of wide rows: by (symbol, chunk) for features and labels, by timestamp for
     ranks, benchmark and medians, by series for episode numbers. Rows outside every split are
     dropped last, after episodes were numbered; they carry no labels and whole timestamps fall
-    away, so nothing else depends on when they go. Tables that later branches read more than once
-    are stored first.
+    away, so nothing else depends on when they go. The wide panel is stored before the cross-sections,
+    which all read narrow columns of that one table, and again before episodes are numbered.
     """
     horizons = tuple(spec.horizons)
     panel = materialize(features_and_labels(eligible, spec), "panel")
-    relative = add_median_excess(add_benchmark_relative(panel, spec.benchmark, horizons), horizons)
-    ranked = materialize(add_cross_sectional_ranks(materialize(relative, "relative")), "scored")
-    episodic = add_episodes(ranked, spec.grid)
+    relative = add_benchmark_relative(add_cross_sectional_ranks(panel), spec.benchmark, horizons, panel)
+    scored = materialize(add_median_excess(relative, horizons, panel), "scored")
+    episodic = add_episodes(scored, spec.grid)
     return episodic.filter(classify_split(F.col("open_time"), spec.splits).isNotNull())
 
 
