@@ -400,3 +400,32 @@ def test_rank_file_is_read_by_path(tmp_path):
     path.write_bytes(b"\n".join(base64.b64encode(bytes([i])) + b" %d" % i for i in range(256)))
     tiny = byte_bpe.Tokenizer.from_rank_file(str(path), r"\S+|\s+")
     assert tiny.decode(tiny.encode("a é")) == "a é".encode()
+
+
+def test_repeated_words_make_no_pairs_of_places(spark):
+    """A word repeated in a document and an item: one row per window of the document, whatever the item repeats."""
+    docs = spark.createDataFrame(
+        [(1, "na " * 3000), (2, "na nu " * 1500), (3, "na " * 9), (None, "na " * 10), (None, "na " * 10)], "doc_id bigint, text string"
+    )
+    items = spark.createDataFrame([(1, "na " * 3000), (2, "nu na " * 1500), (3, "na na na")], "item_id bigint, text string")
+    got = sorted((r.doc_id or 0, r.n_words, r.n_hit, r.item_ids) for r in decontaminate.measure(docs, items).collect())
+    assert got == [
+        (0, 10, 10, ["1", "3"]), (0, 10, 10, ["1", "3"]), (1, 3000, 3000, ["1", "3"]), (2, 3000, 3000, ["2"]), (3, 9, 9, ["3"]),
+    ]
+
+
+def test_windows_are_shuffled_where_they_are_too_large_to_broadcast(spark, docs, monkeypatch):
+    bench = spark.createDataFrame([(1, PASSAGE), (5, "ZZ zz, zz")], "item_id bigint, text string")
+    broadcast = sorted(map(str, decontaminate.measure(docs, bench).collect()))
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
+    assert sorted(map(str, decontaminate.measure(docs, bench).collect())) == broadcast
+
+
+def test_columns_named_like_the_working_ones_pass_through(spark):
+    rows = [(1, PASSAGE, "s1", 7, "a", "b", 1.5), (2, "clean", "s2", 8, "c", None, 2.5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, _id int, _th string, _removed string, _row double")
+    bench = spark.createDataFrame([(1, PASSAGE)], "item_id bigint, text string")
+    assert [tuple(r) for r in decontaminate.clean(docs, bench).collect()] == [rows[1]]
+    out = line_dedup.drop_spread_lines(docs)
+    assert out.columns == [*docs.columns, "n_lines", "n_removed"]
+    assert sorted(tuple(r)[:7] for r in out.collect()) == rows

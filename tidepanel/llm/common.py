@@ -31,6 +31,11 @@ def row_key(doc_id: Column, text: Column) -> list[Column]:
     ]
 
 
+def packed(df: DataFrame) -> Column:
+    """All columns of a table as the struct ``_row``, out of the way of the names an operator works with."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).alias("_row")
+
+
 def running_total(values: Column, block: int = 256) -> Column:
     """Inclusive running sums of an array of longs.
 

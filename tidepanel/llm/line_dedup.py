@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidepanel.llm.common import materialize, row_key
+from tidepanel.llm.common import materialize, packed, row_key
 
 SITES = 10
 MARGIN = 0.25
@@ -61,7 +61,8 @@ def spread_lines(lines: DataFrame, sites: int = SITES, margin: float = MARGIN) -
 def drop_spread_lines(docs: DataFrame, site: str = "source", sites: int = SITES, margin: float = MARGIN) -> DataFrame:
     """All rows and columns of ``docs`` with the text rewritten, plus ``n_lines`` and ``n_removed``.
 
-    Texts without removed lines stay as they are. Columns called n_lines or n_removed are replaced.
+    Texts without removed lines stay as they are. Columns called n_lines or n_removed are replaced,
+    others pass through whatever their names.
     """
     docs = docs.drop("n_lines", "n_removed")
     lines = materialize(line_table(docs, site), "lines")
@@ -71,19 +72,18 @@ def drop_spread_lines(docs: DataFrame, site: str = "source", sites: int = SITES,
         .where(F.struct("_id", "_th", "pos") != F.col("first"))
         .groupBy("_id", "_th").agg(F.collect_set("pos").alias("_removed"))
     )
-    keys = row_key(F.col("doc_id"), F.col("text"))
-    keyed = docs.select("*", *keys).alias("d")
+    keyed = docs.select(packed(docs), F.col("text").alias("_text"), *row_key(F.col("doc_id"), F.col("text")))
     joined = keyed.join(
         removed.withColumnsRenamed({"_id": "_rid", "_th": "_rth"}),
         F.col("_id").eqNullSafe(F.col("_rid")) & (F.col("_th") == F.col("_rth")), "left",
     )
-    pieces = _lines(F.col("text"))
+    pieces = _lines(F.col("_text"))
     kept = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.col("_removed"))
-    rewritten = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(
+    rewritten = F.when(F.col("_removed").isNull(), F.col("_text")).otherwise(
         F.concat_ws("\n", F.transform(kept, lambda p: F.get(pieces, p)))
     )
     return joined.select(
-        *[rewritten.alias("text") if c == "text" else F.col(c) for c in docs.columns],
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(pieces)).cast("bigint").alias("n_lines"),
+        *[rewritten.alias("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns],
+        F.when(F.col("_text").isNull(), 0).otherwise(F.size(pieces)).cast("bigint").alias("n_lines"),
         F.coalesce(F.size("_removed"), F.lit(0)).cast("bigint").alias("n_removed"),
     )
