@@ -94,14 +94,24 @@ def validate_bars(bars: DataFrame, interval_seconds: int = 3600) -> Checked:
     violations = flagged.filter(F.size("__broken") > 0).select(
         *bars.columns, F.explode("__broken").alias("rule")
     )
-    metrics = flagged.agg(
-        F.count(F.lit(1)).alias("row_count"),
+    return Checked(valid, violations, _bar_metrics(bars, rules))
+
+
+def _bar_metrics(bars: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """Rows and broken rules in one narrow exchange: counts by key, combined on the map side, then their sums."""
+    keyed = F.lit(True)
+    for key in _KEY:
+        keyed = keyed & F.col(key).isNotNull()
+    per_key = bars.groupBy(*_KEY).agg(
+        F.count(F.lit(1)).alias("__n"), *[F.count_if(rule).alias(name) for name, rule in rules.items()]
+    )
+    repeated = F.when(keyed & (F.col("__n") > 1), F.col("__n"))
+    return per_key.agg(
         *[
-            F.count_if(F.array_contains("__broken", name)).alias(name)
-            for name in ["duplicate_key", *rules]
-        ],
+            F.coalesce(F.sum(count), F.lit(0)).alias(name)
+            for name, count in {"row_count": F.col("__n"), "duplicate_key": repeated, **{n: F.col(n) for n in rules}}.items()
+        ]
     )
-    return Checked(valid, violations, metrics)
 
 
 def validate_canonical(
@@ -110,17 +120,15 @@ def validate_canonical(
     """One row of canonical-layer checks: contract, non-empty, before the cutoff, planned lineage."""
     require_columns(bars, ["source_key", "source_sha256"], "canonical bars")
     limit = F.date_trunc("hour", cutoff)
-    cited = bars.groupBy("source_key").agg(F.count(F.lit(1)).alias("__rows"))
-    unplanned = cited.join(planned_sources.select("source_key"), "source_key", "left_anti")
-    metrics = validate_bars(bars, interval_seconds).metrics
-    late = bars.agg(
-        F.count_if((F.col("open_time") >= limit) | (F.col("close_time") >= limit)).alias(
-            "rows_after_cutoff"
-        )
+    late = (F.col("open_time") >= limit) | (F.col("close_time") >= limit)
+    cited = bars.groupBy("source_key").agg(F.count(F.lit(1)).alias("__rows"), F.count_if(late).alias("__late"))
+    planned = planned_sources.select("source_key", F.lit(True).alias("__planned")).dropDuplicates(["source_key"])
+    by_source = cited.join(planned, "source_key", "left").agg(
+        F.coalesce(F.sum("__late"), F.lit(0)).alias("rows_after_cutoff"),
+        F.coalesce(F.sum(F.when(F.col("__planned").isNull(), F.col("__rows"))), F.lit(0)).alias("rows_from_unplanned_source"),
     )
-    # Every side is a single aggregate row, so these cross joins never grow with the data.
-    outside = unplanned.agg(F.coalesce(F.sum("__rows"), F.lit(0)).alias("rows_from_unplanned_source"))
-    one_row = metrics.join(F.broadcast(late)).join(F.broadcast(outside))
+    # Both sides are single aggregate rows, so this cross join never grows with the data.
+    one_row = validate_bars(bars, interval_seconds).metrics.join(F.broadcast(by_source))
     passed = F.col("row_count") > 0
     for name in one_row.columns:
         if name != "row_count":

@@ -16,8 +16,8 @@ def _shift(col: Column, us: int) -> Column:
     return F.timestamp_micros(micros(col) + F.lit(us))
 
 
-def _edge_rows(names: list[str], kind: str, start: Column, end: Column) -> list[Column]:
-    return [*[F.col(n) for n in names], F.lit(kind).alias("kind"), start.alias("gap_start"), end.alias("gap_end")]
+def _gap(kind: str, start: Column, end: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), start.alias("gap_start"), end.alias("gap_end"))
 
 
 def _range_gaps(
@@ -33,26 +33,20 @@ def _range_gaps(
     bounds = points.groupBy(*keys).agg(
         F.min("open_time").alias("first"), F.max("open_time").alias("last")
     )
-    framed = expected.join(bounds, keys, "left")
-    empty = framed.filter(F.col("first").isNull() & (F.col("range_start") < F.col("range_end")))
-    leading = framed.filter(F.col("first") > F.col("range_start"))
-    trailing = framed.filter(_shift(F.col("last"), step) < F.col("range_end"))
+    first, last = F.col("first"), F.col("last")
+    # At most two gaps lie at the edges of a range; all are read off one joined row.
+    edges = F.array_compact(F.array(
+        F.when(first.isNull() & (F.col("range_start") < F.col("range_end")), _gap(kinds["empty"], F.col("range_start"), F.col("range_end"))),
+        F.when(first > F.col("range_start"), _gap(kinds["leading"], F.col("range_start"), first)),
+        F.when(_shift(last, step) < F.col("range_end"), _gap(kinds["trailing"], _shift(last, step), F.col("range_end"))),
+    ))
+    outer = expected.join(bounds, keys, "left").select(*keys, F.inline(edges))
     steps = series_steps(points, keys, "open_time", _CHUNK_STEPS * step_seconds)
     interior = steps.filter(micros(F.col("current")) - micros(F.col("previous")) > F.lit(step))
-    parts = [
-        empty.select(*_edge_rows(keys, kinds["empty"], F.col("range_start"), F.col("range_end"))),
-        leading.select(*_edge_rows(keys, kinds["leading"], F.col("range_start"), F.col("first"))),
-        interior.select(
-            *_edge_rows(keys, kinds["interior"], _shift(F.col("previous"), step), F.col("current"))
-        ),
-        trailing.select(
-            *_edge_rows(keys, kinds["trailing"], _shift(F.col("last"), step), F.col("range_end"))
-        ),
-    ]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    return outer.unionByName(
+        interior.select(*keys, _gap(kinds["interior"], _shift(F.col("previous"), step), F.col("current")).alias("__gap"))
+        .select(*keys, "__gap.*")
+    )
 
 
 def classify_gaps(bars: DataFrame, expected: DataFrame, step_seconds: int = 3600) -> DataFrame:
