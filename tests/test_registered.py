@@ -16,7 +16,7 @@ from check_oracles import compare, duck  # noqa: E402
 DATA = "/root/testdata/sf0.001"
 SAMPLE = [
     "rollup_strict", "wilder_atr", "decile", "episodes", "barrier_label", "eligibility_pit", "gap_classify",
-    "plan_source_tiers", "page_chain_check", "object_key_parse", "catalog_merge", "extract_symbols", "src_bar_archive",
+    "plan_source_tiers", "page_chain_check", "object_key_parse", "article_text", "validate_bars", "catalog_merge", "extract_symbols", "src_bar_archive",
 ]
 
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables are not present")
