@@ -95,6 +95,9 @@ DELIST_ACTION = (
     r"(?iuU)\b(?:will\s+)?(?:delist(?:ing)?|cease\s+trading|settle|close\s+all\s+positions|"
     r"terminate(?:s|d)?\s+(?:the\s+)?contract)\b"
 )
+# One of these is part of whatever the action patterns match.
+LAUNCH_STEMS = ["launch", "list", "introduce", "begin", "trading"]
+DELIST_STEMS = ["delist", "cease", "settle", "close", "terminate"]
 ROW_FILLER = r"(?iuU)\b(?:and|or|UTC)\b|[\s:;,()\-/]"
 MIXED_PURPOSE_MARKERS = [
     "copy trading", "trading bot", "futures grid", "maintenance", "system upgrade",

@@ -48,13 +48,14 @@ def _placed(text: Column, pattern: str, groups: dict[str, int], build, element:
     return F.aggregate(parts, start, step, lambda state: state["found"])
 
 
-def placed_matches(text: Column, pattern: str, group: int = 1, present: Column | None = None) -> Column:
+def placed_matches(text: Column, pattern: str, group: int = 1, present: Column | None = None, first: str = "") -> Column:
     """array<struct<pos, value>> of one capture group, in order.
 
-    ``present`` is a cheap test without which no match is possible; most texts stop there.
+    ``present`` is a cheap test without which no match is possible; most texts stop there. ``first`` is a class
+    of characters one of which begins every match: prose is passed over by it, not by the longer pattern.
     """
     found = _placed(
-        text, pattern, {"value": group},
+        text, f"(?={first}){pattern}" if first else pattern, {"value": group},
         lambda at, part: F.struct(at.alias("pos"), part["value"].alias("value")),
         _ELEMENT,
     )
@@ -63,17 +64,43 @@ def placed_matches(text: Column, pattern: str, group: int = 1, present: Column |
     return F.when(present, found).otherwise(F.array().cast(f"array<{_ELEMENT}>"))
 
 
+def holds_any(text: Column, words: list[str]) -> Column:
+    """One of some ASCII words in either case. Putting a text with other letters in lower case costs many times this."""
+    first = "".join(sorted({word[0] for word in words}))
+    return text.rlike(f"(?i)(?=[{first}])(?:{'|'.join(words)})")
+
+
 def may_name_symbols(text: Column) -> Column:
     """Cheap necessary condition: every notation names a quote asset."""
     return (
-        text.contains(fv.QUOTE_ASSET) | text.contains("BUSD") | text.contains("USDC")
-        | F.lower(text).contains("usdt-margined")
+        text.contains(fv.QUOTE_ASSET) | text.contains("BUSD") | text.contains("USDC") | _names_margined(text)
     )
 
 
+def _names_margined(text: Column) -> Column:
+    return (text.contains("-m") | text.contains("-M")) & holds_any(text, ["usdt-margined"])
+
+
 def may_hold_instants(text: Column) -> Column:
     """Cheap necessary condition: every notation ends its clock with the zone in brackets."""
-    return F.upper(text).contains("(UTC)")
+    return text.contains("(UTC)") | text.rlike(r"(?i)\(utc\)")
+
+
+def _named_directly(text: Column) -> Column:
+    """Matches of the one notation without white space: only lines that hold a quote asset are searched."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_ELEMENT}>").alias("found"))
+
+    def step(state: Column, line: Column) -> Column:
+        here = F.transform(
+            placed_matches(line, fv.DIRECT_SYMBOL, first="[A-Z0-9]"),
+            lambda m: F.struct((state["at"] + m["pos"]).alias("pos"), m["value"].alias("value")),
+        )
+        quoted = line.contains(fv.QUOTE_ASSET) | line.contains("BUSD") | line.contains("USDC")
+        return F.struct(
+            (state["at"] + F.length(line) + 1).alias("at"), F.when(quoted, F.concat(state["found"], here)).otherwise(state["found"]).alias("found")
+        )
+
+    return F.aggregate(F.split(text, "\n"), start, step, lambda state: state["found"])
 
 
 def symbol_mentions(text: Column) -> Column:
@@ -90,8 +117,7 @@ def symbol_mentions(text: Column) -> Column:
         )
 
     quoted = text.contains(fv.QUOTE_ASSET)
-    any_quote = quoted | text.contains("BUSD") | text.contains("USDC")
-    margined = F.lower(text).contains("usdt-margined")
+    margined = _names_margined(text)
     shared = F.flatten(
         F.transform(
             placed_matches(text, fv.SHARED_SYMBOLS, present=margined),
@@ -105,8 +131,8 @@ def symbol_mentions(text: Column) -> Column:
         )
     )
     return F.concat(
-        placed_matches(text, fv.DIRECT_SYMBOL, present=any_quote),
-        suffixed(placed_matches(text, fv.SLASH_SYMBOL, present=quoted & text.contains("/"))),
+        _named_directly(text),
+        suffixed(placed_matches(text, fv.SLASH_SYMBOL, present=quoted & text.contains("/") & text.rlike(r"(?U)/\s*USDT"), first="[A-Z0-9]")),
         suffixed(placed_matches(text, fv.MARGINED_SYMBOL, present=margined), upper=True),
         shared,
     )
@@ -162,15 +188,35 @@ def instants_in_order(text: Column) -> Column:
 
 
 def squeezed(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)\s+", " ")
+    # A single plain space stays as it is, so most words need no replacement.
+    return F.regexp_replace(text, r"(?U)[^\S ]\s*| \s+", " ")
+
+
+# A line ends, or white space follows the end of a sentence; the first class is tested before all else.
+_SEGMENT_END = (
+    r"(?U)(?=[\s\x1C-\x1E])(?:[\n\r\x0B\f\x1C-\x1E\u0085\u2028\u2029]|(?<=[.!?;])\s+)"
+)
+
+
+def untrimmed_segments(text: Column) -> Column:
+    """Lines, then sentences, with the white space around them; pieces of white space alone are dropped."""
+    return F.filter(F.split(text, _SEGMENT_END), lambda p: p.rlike(r"(?U)\S"))
+
+
+def sentences(text: Column) -> Column:
+    """Pieces that are made of whole segments, cut by plain replacements: few hold more than one."""
+    for end in ".!?;":
+        text = F.replace(text, F.lit(f"{end} "), F.lit(f"{end}\n"))
+    return F.split(text, "\n")
+
+
+def trimmed(segment: Column) -> Column:
+    return F.regexp_replace(segment, r"(?U)^\s+|(?<!\s)\s+\z", "")
 
 
 def segments(text: Column) -> Column:
     """Lines, then sentences; empty pieces are dropped."""
-    lines = F.split(text, r"\r\n|[\n\r\x0B\f\x1C-\x1E\u0085  ]")
-    pieces = F.flatten(F.transform(lines, lambda line: F.split(line, r"(?U)(?<=[.!?;])\s+")))
-    trimmed = F.transform(pieces, lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+\z", ""))
-    return F.filter(trimmed, lambda p: F.length(p) > 0)
+    return F.transform(untrimmed_segments(text), trimmed)
 
 
 def _mentions(text: Column, terms: list[str]) -> Column:
@@ -180,17 +226,37 @@ def _mentions(text: Column, terms: list[str]) -> Column:
     return any_term
 
 
+def _may_act(lowered: Column, stems: list[str]) -> Column:
+    """Cheap necessary condition of an action pattern over lower-case text.
+
+    A dotless i and a long s count as i and s there, so texts with them always go on to the pattern.
+    """
+    return _mentions(lowered, [*stems, "\u0131", "\u017f"])
+
+
 def article_class(title: Column, body: Column) -> Column:
     """Product intent by ordered keyword rules; the first rule that holds decides."""
     t = F.lower(title)
-    both = F.lower(F.concat(title, F.lit("\n"), F.coalesce(body, F.lit(""))))
     venue = _mentions(t, [fv.VENUE_TERM, fv.MARGINED_MARKET_TERM])
     perpetual = t.contains("contract") & _mentions(
         t, ["perpetual", "usdt-margined", fv.MARGINED_MARKET_TERM]
     )
     titled = venue & perpetual
-    futures_body = _mentions(both, [fv.VENUE_TERM, fv.MARGINED_MARKET_TERM + " futures"])
-    perpetual_body = both.contains("perpetual") & both.contains("contract")
+
+    def by_body(both: Column) -> Column:
+        futures = _mentions(both, [fv.VENUE_TERM, fv.MARGINED_MARKET_TERM + " futures"])
+        perpetual = both.contains("perpetual") & both.contains("contract")
+        return (
+            F.when(both.contains("copy trading"), "copy_trading_enablement")
+            .when(_mentions(both, ["trading bot", "futures grid"]), "trading_bot_enablement")
+            .when(_may_act(both, fv.DELIST_STEMS) & both.rlike(fv.DELIST_ACTION), "irrelevant")
+            .when(futures & perpetual & _may_act(both, fv.LAUNCH_STEMS) & both.rlike(fv.LAUNCH_ACTION), fv.LAUNCH_CLASS)
+            .when(_mentions(both, ["futures", "perpetual", "contract"]), "ambiguous")
+            .otherwise("irrelevant")
+        )
+
+    # An array of one, so that the text is put in lower case once for all rules and only where the title decides nothing.
+    both = F.array(F.lower(F.concat(title, F.lit("\n"), F.coalesce(body, F.lit("")))))
     return (
         F.when(t.contains("copy trading"), "copy_trading_enablement")
         .when(_mentions(t, ["trading bot", "futures grid"]), "trading_bot_enablement")
@@ -201,12 +267,7 @@ def article_class(title: Column, body: Column) -> Column:
         .when(_mentions(t, fv.PARAMETER_TERMS), "contract_parameter_update")
         .when(_mentions(t, fv.OPERATIONAL_TERMS), "maintenance_or_operational")
         .when(titled & t.rlike(fv.LAUNCH_ACTION), fv.LAUNCH_CLASS)
-        .when(both.contains("copy trading"), "copy_trading_enablement")
-        .when(_mentions(both, ["trading bot", "futures grid"]), "trading_bot_enablement")
-        .when(both.rlike(fv.DELIST_ACTION), "irrelevant")
-        .when(futures_body & perpetual_body & both.rlike(fv.LAUNCH_ACTION), fv.LAUNCH_CLASS)
-        .when(_mentions(both, ["futures", "perpetual", "contract"]), "ambiguous")
-        .otherwise("irrelevant")
+        .otherwise(F.get(F.transform(both, by_body), F.lit(0)))
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidepanel import fixed_values as fv
@@ -61,15 +63,17 @@ def _rest(bare: Column, symbols: Column) -> Column:
     return F.regexp_replace(F.aggregate(symbols, bare, lambda rest, s: F.replace(rest, s, F.lit(" "))), fv.ROW_FILLER, "")
 
 
-def _acts(segment: Column, launch: Column) -> Column:
-    """Does the segment state the action? Word stems are tested before the full pattern."""
+def _by_action(launch: Column, test: Callable[[list[str]], Column]) -> Column:
+    """A test with the word stems of the action that is looked for."""
+    return F.when(launch, test(fv.LAUNCH_STEMS)).otherwise(test(fv.DELIST_STEMS))
+
 
-    def stated(stems: list[str], pattern: str) -> Column:
-        return F.lower(segment).rlike("|".join(stems)) & segment.rlike(pattern)
+_SILENT = "-"
 
-    return F.when(
-        launch, stated(["launch", "list", "introduce", "begin", "trading"], fv.LAUNCH_ACTION)
-    ).otherwise(stated(["delist", "cease", "settle", "close", "terminate"], fv.DELIST_ACTION))
+
+def _acts(segment: Column, launch: Column) -> Column:
+    """Does the segment, of which a stem is known to be part, state the action?"""
+    return F.when(launch, segment.rlike(fv.LAUNCH_ACTION)).otherwise(segment.rlike(fv.DELIST_ACTION))
 
 
 def _read_segments(text: Column, one_line: Column, launch: Column) -> Column:
@@ -77,22 +81,44 @@ def _read_segments(text: Column, one_line: Column, launch: Column) -> Column:
 
     ``bare`` is set for a segment that is but a time and symbols, and holds no more than those symbols.
     """
-    pieces = F.concat(tx.segments(text), tx.segments(one_line))
-    # Most segments hold neither a symbol nor a time; plain substring tests settle them.
+    def pieces(of: Column) -> Column:
+        """Segments; a sentence that says nothing counts as one of them, since only neighbours matter."""
+
+        def read(s: Column) -> Column:
+            may_say = _by_action(launch, lambda stems: tx.holds_any(s, ["usdt", "busd", "usdc", *stems]))
+            blank = F.array().cast("array<string>")
+            return F.when(may_say, tx.untrimmed_segments(s)).when(s.rlike(r"(?U)\S"), F.array(F.lit(_SILENT))).otherwise(blank)
+
+        return F.flatten(F.transform(tx.sentences(of), read))
+
+    # Most sentences hold neither a symbol nor an action; plain substring tests settle them before all else.
+    numbered = F.transform(F.concat(pieces(text), pieces(one_line)), lambda s, i: F.struct(i.alias("number"), s.alias("segment")))
+    tested = F.transform(
+        F.filter(numbered, lambda p: p["segment"] != _SILENT),
+        lambda p: F.struct(
+            p["number"].alias("number"), tx.trimmed(p["segment"]).alias("segment"),
+            tx.may_name_symbols(p["segment"]).alias("names"), _by_action(launch, lambda stems: tx.holds_any(p["segment"], stems)).alias("stems"),
+        ),
+    )
+    near = F.filter(tested, lambda p: p["names"] | p["stems"])
+    said = F.transform(
+        near,
+        lambda p: F.struct(
+            p["number"].alias("number"), p["segment"].alias("segment"),
+            F.when(p["names"], tx.symbols_in_order(p["segment"])).otherwise(F.array().cast("array<string>")).alias("found"),
+            (p["stems"] & _acts(p["segment"], launch)).alias("acts"),
+        ),
+    )
     read = F.transform(
-        pieces,
-        lambda s, i: F.struct(
-            i.alias("number"), s.alias("segment"),
-            F.when(tx.may_name_symbols(s), tx.symbols_in_order(s)).otherwise(F.array().cast("array<string>")).alias("found"),
-            F.when(tx.may_hold_instants(s), tx.instants_in_order(s)).otherwise(F.array().cast("array<timestamp>")).alias("times"),
-            _acts(s, launch).alias("acts"),
+        F.filter(said, lambda f: (F.size(f["found"]) > 0) | f["acts"]),
+        lambda f: F.struct(
+            f["number"].alias("number"), f["segment"].alias("segment"), f["found"].alias("found"), f["acts"].alias("acts"),
+            F.when(tx.may_hold_instants(f["segment"]), tx.instants_in_order(f["segment"])).otherwise(F.array().cast("array<timestamp>")).alias("times"),
         ),
     )
 
     def narrow(f: Column) -> Column:
-        mixed = F.lit(False)
-        for marker in fv.MIXED_PURPOSE_MARKERS:
-            mixed = mixed | F.lower(f["segment"]).contains(marker)
+        mixed = tx.holds_any(f["segment"], fv.MIXED_PURPOSE_MARKERS)
         one_time = (F.size(f["found"]) > 0) & (F.size(f["times"]) == 1)
         by_length = F.transform(
             F.reverse(F.array_sort(F.transform(f["found"], lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))), lambda y: y["x"]
@@ -103,7 +129,7 @@ def _read_segments(text: Column, one_line: Column, launch: Column) -> Column:
             f["acts"].alias("acts"), mixed.alias("mixed"), F.when(one_time & (F.length(_rest(bare, by_length)) == 0), bare).alias("bare"),
         )
 
-    return F.transform(F.filter(read, lambda f: (F.size(f["found"]) > 0) | f["acts"]), narrow)
+    return F.transform(read, narrow)
 
 
 def _anchored_hits(read: Column, symbols: Column) -> Column:
@@ -145,16 +171,16 @@ def _anchored_hits(read: Column, symbols: Column) -> Column:
 def _table_rows(one_line: Column) -> Column:
     """Explicit launch-table rows by increasing precedence; a later one overrides an earlier one."""
 
-    def rows(pattern: str, part: str, date: int, clock: int, ampm: int, symbol: int) -> Column:
-        """``part`` is a piece of the pattern that is found fast; most texts have none."""
+    def rows(pattern: str, word: str, part: str, date: int, clock: int, ampm: int, symbol: int) -> Column:
+        """``word`` and ``part`` are pieces of the pattern that are found fast; most texts have none."""
         found = F.transform(
             tx.placed_instants(one_line, pattern, date, clock, ampm, symbol),
             lambda t: F.struct(F.upper(t["name"]).alias("symbol"), t["value"].alias("at")),
         )
-        return F.when(one_line.rlike(part), found).otherwise(F.array().cast("array<struct<symbol:string,at:timestamp>>"))
+        return F.when(tx.holds_any(one_line, [word]) & one_line.rlike(part), found).otherwise(F.array().cast("array<struct<symbol:string,at:timestamp>>"))
 
     return F.concat(
-        rows(fv.STRUCTURED_LAUNCH, r"(?iuU)Perpetual\s+Contract", 1, 2, 3, 4), rows(fv.LEGACY_LAUNCH, r"(?iuU)Launch\s+Time", 2, 3, 4, 1)
+        rows(fv.STRUCTURED_LAUNCH, "perpetual", r"(?iuU)Perpetual\s+Contract", 1, 2, 3, 4), rows(fv.LEGACY_LAUNCH, "launch", r"(?iuU)Launch\s+Time", 2, 3, 4, 1)
     )
 
 
