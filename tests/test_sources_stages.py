@@ -166,3 +166,23 @@ def test_stage_chain_and_gates(spark, tmp_path):
     assert result.passed.all() and len(result) == 4
     replay = observations_from_eligible(eligible, spec)
     assert replay.count() == observed.count()
+
+
+def test_listing_query_writes_few_files_however_many_users(spark, tmp_path):
+    """One folder a user took 36 s at sf0.1; now files depend on tasks alone and facts travel with their page."""
+    from pathlib import Path
+
+    from tidepanel.session import shared_folder
+    from tidepanel.workload import QUERIES
+
+    days = [datetime(2024, 1, 1), datetime(2024, 1, 2)]
+    rows = [(u * 2 + i, day, u, "click", 1.0, "{}") for u in range(40) for i, day in enumerate(days)]
+    schema = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "events.parquet"))
+    root = Path(shared_folder(spark))
+    before = set(root.glob("listing-*"))
+    got = QUERIES["src_listing_xml"](spark, str(tmp_path)).collect()
+    (written,) = set(root.glob("listing-*")) - before
+    assert not [p for p in written.iterdir() if p.is_dir()]
+    assert len(got) == 80 and all(r.declared_count == r.entry_count == 4 and r.truncated for r in got)
+    assert {r.object_key for r in got if r.prefix == "k/U7USDT/"} == {"k/U7USDT/2024-01-01.zip", "k/U7USDT/2024-01-02.zip"}

@@ -376,19 +376,15 @@ def _(v: Views):
     )
     # One page per user: at most a month of days.
     pages = v.presence.groupBy("symbol").agg(F.concat_ws("", F.collect_list(entry)).alias("entries"), F.count(F.lit(1)).alias("n"))
-    # One page per file, as saved listings are.
+    # Many pages to a file, one a line: files grow with the input's bytes, not with the number of users.
     pages.select(
-        "symbol",
         F.concat(
             F.lit('<ListBucketResult xmlns="http://s3.amazonaws.com/doc/2006-03-01/"><Prefix>k/'), "symbol",
             F.lit("/</Prefix><IsTruncated>true</IsTruncated><KeyCount>"), (F.col("n") * 2).cast("string"),
             F.lit("</KeyCount><NextContinuationToken>t</NextContinuationToken>"), "entries", F.lit("</ListBucketResult>"),
         ).alias("value"),
-    ).write.partitionBy("symbol").text(path)
-    listed = sd.read_listing_pages(v.spark, path)
-    keys = sd.listing_keys(listed)
-    facts = listed.select("prefix", "truncated", "declared_count", "entry_count")
-    return keys.join(facts, "prefix").select("prefix", "truncated", "declared_count", "entry_count", "object_key")
+    ).write.text(path)
+    return sd.listing_keys(sd.read_listing_lines(v.spark, path), "truncated", "declared_count", "entry_count")
 
 
 @query(
