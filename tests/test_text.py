@@ -132,3 +132,21 @@ def test_texts_are_not_put_in_another_case_as_a_whole(spark):
     plan = read_articles(articles)._jdf.queryExecution().optimizedPlan().toString()
     assert "upper(body_text" not in plan and "lower(body_text" not in plan
     assert plan.count("lower(concat(title") == 1
+
+
+def test_lists_are_judged_as_one_text(spark):
+    """Rules of lists agree with the rule of an item on every item, without a pattern run for each of them."""
+    from tidepanel.functions import identity as idn
+
+    items = ["A1", "B" * 64, "C" * 65, "", " a", "a ", "a b", "a\nb", "A\nB", "~!", "\u00e9", "a\x00", None, "Z9"]
+    lists = [[], None, ["A1"], ["A1", "Z9"], ["A1", "A1"], [None, "A\nB"], *[[x] for x in items], *[["A1", x, "Z9"] for x in items], *[[x, "Z9"] for x in items]]
+    frame = spark.createDataFrame([(x,) for x in lists], "x array<string>")
+    x = F.col("x")
+    got = frame.select("x", idn.is_tag_list(x).alias("tags"), idn.is_distinct_token_list(x).alias("tokens"))
+    assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()
+    for row in got.collect():
+        texts = row.x or []
+        canonical = [t is not None and t != "" and t == t.strip(" ") and all(" " <= c <= "~" for c in t) for t in texts]
+        tokens = [t is not None and 0 < len(t) <= 64 and all(c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789" for c in t) for t in texts]
+        assert row.tags == (bool(texts) and all(canonical)), row.x
+        assert row.tokens == (bool(texts) and all(tokens) and len(set(texts)) == len(texts)), row.x

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import string
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
+from tidepanel.functions.text import char_class
+
+# Faults of the lines of a text: no printable ASCII, empty or padded; no capitals and digits, empty or too long.
+_CAPITALS = string.ascii_uppercase + string.digits
+_NOT_CANONICAL = char_class("".join(map(chr, range(0x20, 0x7F))) + "\n", other=True) + r"|\n(?:[ \n]|\z)|\A(?:[ \n]|\z)| (?:\n|\z)"
+_NOT_TOKEN = char_class(_CAPITALS + "\n", other=True) + rf"|\n(?:\n|\z|{char_class(_CAPITALS)}{{65}})|\A(?:\n|\z|{char_class(_CAPITALS)}{{65}})"
 TOKEN = r"^[A-Z0-9]{1,64}\z"
 
 
@@ -46,12 +53,21 @@ def identity_path(col: Column) -> Column:
     return F.when(is_semantic_identity(col), F.concat(F.lit("identity_"), F.sha2(col, 256)))
 
 
+def _no_item(col: Column, fault: str) -> Column:
+    """No item holds a fault. All items are searched as the lines of one text, and an item has no line end itself."""
+    lines = F.array_join(col, "\n", "\x00")
+    ends = F.length(lines) - F.length(F.replace(lines, F.lit("\n"), F.lit("")))
+    return ~lines.rlike(fault) & (ends == F.size(col) - 1)
+
+
 def is_tag_list(col: Column) -> Column:
     """A non-empty list whose every item is canonical text."""
-    return F.coalesce((F.size(col) > 0) & F.forall(col, is_canonical_text), F.lit(False))
+    canonical = _no_item(col, _NOT_CANONICAL)
+    return F.coalesce((F.size(col) > 0) & canonical, F.lit(False))
 
 
 def is_distinct_token_list(col: Column) -> Column:
     """A non-empty list of distinct tokens (configured exclusion lists)."""
+    tokens = _no_item(col, _NOT_TOKEN)
     distinct = F.size(F.array_distinct(col)) == F.size(col)
-    return F.coalesce((F.size(col) > 0) & F.forall(col, is_token) & distinct, F.lit(False))
+    return F.coalesce((F.size(col) > 0) & tokens & distinct, F.lit(False))

@@ -10,12 +10,21 @@ from html.parser import HTMLParser
 import html
 import json
 import re
+import string
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 from tidepanel import fixed_values as fv
 
+
+
+def char_class(chars: str, other: bool = False) -> str:
+    """A class of single ASCII characters, or of all others: Java looks these up in one table, ranges one by one."""
+    return f"[{'^' if other else ''}{''.join(f'\\x{ord(c):02x}' for c in chars)}]"
+
+
+_CAPITALS = char_class(string.ascii_uppercase + string.digits)
 _ELEMENT = "struct<pos:int,value:string>"
 
 
@@ -92,7 +101,7 @@ def _named_directly(text: Column) -> Column:
 
     def step(state: Column, line: Column) -> Column:
         here = F.transform(
-            placed_matches(line, fv.DIRECT_SYMBOL, first="[A-Z0-9]"),
+            placed_matches(line, fv.DIRECT_SYMBOL, first=_CAPITALS),
             lambda m: F.struct((state["at"] + m["pos"]).alias("pos"), m["value"].alias("value")),
         )
         quoted = line.contains(fv.QUOTE_ASSET) | line.contains("BUSD") | line.contains("USDC")
@@ -132,7 +141,7 @@ def symbol_mentions(text: Column) -> Column:
     )
     return F.concat(
         _named_directly(text),
-        suffixed(placed_matches(text, fv.SLASH_SYMBOL, present=quoted & text.contains("/") & text.rlike(r"(?U)/\s*USDT"), first="[A-Z0-9]")),
+        suffixed(placed_matches(text, fv.SLASH_SYMBOL, present=quoted & text.contains("/") & text.rlike(r"(?U)/\s*USDT"), first=_CAPITALS)),
         suffixed(placed_matches(text, fv.MARGINED_SYMBOL, present=margined), upper=True),
         shared,
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import functions as F
 
 from tidepanel import fixed_values as fv
@@ -15,6 +17,7 @@ from tidepanel.functions.identity import (
     is_token,
 )
 from tidepanel.functions.keys import daily_bar_key, monthly_bar_key, parse_object_key
+from tidepanel.functions.text import char_class
 from tidepanel.functions.timefn import (
     age_days,
     floor_to,
@@ -156,13 +159,12 @@ def _(v: Views):
 )
 def _(v: Views):
     # The words of the whole text as a list; repeats make it no list of distinct tokens.
-    words = F.split("text", r"[ \n]")
-    upper = F.transform(words, lambda w: F.upper(F.regexp_replace(w, "[^A-Za-z0-9]", "")))
-    return v.table("documents").withColumns(
-        {
-            "words": F.size(words), "tags_ok": is_tag_list(words), "tokens_ok": is_distinct_token_list(upper),
-            "distinct_ok": is_distinct_token_list(F.array_distinct(upper)),
-        }
+    # Both lists are columns of their own, so that each is made once and not for every rule.
+    bare = F.upper(F.regexp_replace("text", char_class(f"{string.ascii_letters}{string.digits} \n", other=True) + "+", ""))
+    lists = v.table("documents").select("doc_id", F.split("text", r"[ \n]").alias("l"), F.split(bare, r"[ \n]").alias("u"))
+    return lists.withColumn("d", F.array_distinct("u")).select(
+        "doc_id", F.size("l").alias("words"), is_tag_list(F.col("l")).alias("tags_ok"),
+        is_distinct_token_list(F.col("u")).alias("tokens_ok"), is_distinct_token_list(F.col("d")).alias("distinct_ok"),
     )
 
 
