@@ -149,6 +149,8 @@ def _trades(v: Views) -> DataFrame:
 
 
 def write_sources(v: Views, path: str) -> None:
+    # A row a symbol, read for every source: the events are grouped once.
+    v.spans = materialize(v.spans, "spans")
     articles = _articles(v)
     texts = {"listings": _pages(v), "instruments": _instruments(v), "article_index": _index(articles), "article_details": _details(articles)}
     for name, lines in texts.items():
@@ -234,13 +236,15 @@ def _stored_and_replayed(v: Views) -> dict[str, tuple[DataFrame, DataFrame, Data
         "articles": ("official_event_at", plus_seconds(F.coalesce("official_event_at", "article_published_at"), 60)),
         "first_trades": ("earliest_trade_timestamp", plus_seconds(F.col("earliest_trade_timestamp"), 1)), "boundary_indexes": ("last_archive_month", F.lit("2019-01")),
     }
+    # Derived anew once, and kept: two stores are held against it, and reading articles and trades is most of the work.
+    anew = {name: materialize(table, f"anew-{name}") for name, table in primitive_tables(v.spark, sources).items()}
     for name, table in primitive_tables(v.spark, sources).items():
         write_stage(table, f"{root}/{name}")
         stored = read_stage(v.spark, f"{root}/{name}")
         column, value = other[name]
         revised = stored.filter(bucket != 1).withColumn(column, F.when(bucket == 3, value).otherwise(F.col(column)))
         more = stored.filter(bucket == 2).withColumn("symbol", F.concat(F.lit("OLD"), "symbol"))
-        out[name] = (stored, materialize(revised.unionByName(more), f"other-{name}"), primitive_tables(v.spark, sources)[name])
+        out[name] = (stored, materialize(revised.unionByName(more), f"other-{name}"), anew[name])
     return out
 
 
