@@ -150,3 +150,17 @@ def test_lists_are_judged_as_one_text(spark):
         tokens = [t is not None and 0 < len(t) <= 64 and all(c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789" for c in t) for t in texts]
         assert row.tags == (bool(texts) and all(canonical)), row.x
         assert row.tokens == (bool(texts) and all(tokens) and len(set(texts)) == len(texts)), row.x
+
+
+def test_batches_for_python_are_bounded_by_bytes(spark):
+    """Batches of 10,000 whole texts made a worker's memory grow with the length of the texts."""
+    from pyspark.sql import types as T
+
+    from tidepanel.session import apply_runtime_conf
+
+    @F.pandas_udf(T.LongType())
+    def batch_bytes(texts):
+        return texts.map(len) * 0 + int(texts.map(len).sum())
+
+    big = apply_runtime_conf(spark).range(0, 60, 1, 1).select(F.repeat(F.lit("x"), 1_000_000).alias("t"))
+    assert big.select(F.max(batch_bytes("t"))).first()[0] <= 10_000_000

@@ -16,6 +16,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Batches for Python end after so many bytes, not only after 10,000 rows: a row may be a whole text.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
 }
 
 _LOCAL_SCRATCH: dict[str, str] = {}
